@@ -207,7 +207,8 @@ def classify_keeps_known(spark, sf):
 @query
 def classify_dated_rules(spark, sf):
     name = cl.matched_category(rulebook.DATED_RULES)
-    return _unclassified(spark, sf).select("id", name.alias("category")).filter(F.col("category").isNotNull())
+    rows = cl.with_text(_unclassified(spark, sf), rulebook.DATED_RULES)
+    return rows.select("id", name.alias("category")).filter(F.col("category").isNotNull())
 
 
 @query

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions.text import fold_accents, haystack, matches
 from tallyspark.operators.reports import is_spend
+from tallyspark.plans.small import small
 
 MAX_RULES = 5_000
 
@@ -75,14 +76,20 @@ def ordered(rules: Iterable[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (r.stage, r.priority, r.rule_id))
 
 
-def _text() -> Column:
-    return haystack(F.col("raw_description"), F.col("description"))
+_TEXT, _FOLDED = "_text", "_folded"
 
 
-def condition(rule: Rule, text: Column | None = None) -> Column:
-    """The rule as a boolean column over ledger columns; never NULL."""
-    base = _text() if text is None else text
-    words = fold_accents(base) if rule.fold else base
+def with_text(ledger: DataFrame, rules: Iterable[Rule] = ()) -> DataFrame:
+    """Add the searched text once, so that each rule does not build it again."""
+    out = ledger.withColumn(_TEXT, haystack(F.col("raw_description"), F.col("description")))
+    if any(r.fold for r in rules):
+        out = out.withColumn(_FOLDED, fold_accents(F.col(_TEXT)))
+    return out
+
+
+def condition(rule: Rule) -> Column:
+    """The rule as a boolean column over ``with_text`` rows; never NULL."""
+    words = F.col(_FOLDED if rule.fold else _TEXT)
     hits = F.lit(True)
     if rule.pattern is not None:
         hits = matches(words, rule.pattern)
@@ -130,43 +137,48 @@ def merged(rules: Sequence[Rule]) -> list[Rule]:
     return out
 
 
-def matched_category(rules: Sequence[Rule], text: Column | None = None) -> Column:
-    """Category name of the first rule that hits, NULL without one."""
+def _first_hit(rules: Sequence[Rule], result) -> Column:
     chain = None
     for rule in merged(rules):
-        hit = condition(rule, text)
-        chain = F.when(hit, rule.category) if chain is None else chain.when(hit, rule.category)
-    return F.lit(None).cast("string") if chain is None else chain
+        hit, value = condition(rule), result(rule)
+        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+    return F.lit(None) if chain is None else chain
 
 
-def check_targets(rules: Iterable[Rule], categories: DataFrame) -> None:
-    """Categories are looked up by name only, so a target must not be ambiguous."""
-    wanted = sorted({r.category for r in rules})
-    twice = (
-        categories.filter(F.col("name").isin(*wanted)).groupBy("name").count().filter(F.col("count") > 1).limit(20).collect()
-    )
-    if twice:
-        raise ValueError(f"ambiguous category names: {sorted(r['name'] for r in twice)}")
+def matched_category(rules: Sequence[Rule]) -> Column:
+    """Category name of the first rule that hits ``with_text`` rows, NULL without one."""
+    return _first_hit(rules, lambda r: F.lit(r.category)).cast("string")
+
 
+def category_ids(rules: Iterable[Rule], categories: DataFrame) -> dict[str, int]:
+    """Ids of the categories that the rules name (at most one per rule).
 
-def _category_ids(categories: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    Names are looked up alone, so a name that two categories share is an error.
+    A name that does not exist is absent.
+    """
     wanted = sorted({r.category for r in rules})
-    return categories.filter(F.col("name").isin(*wanted)).select(
-        F.col("category_id").alias("_cid"), F.col("name").alias("_cname")
+    rows = (
+        categories.filter(F.col("name").isin(*wanted)).select("category_id", "name").limit(2 * len(wanted) + 1).collect()
     )
+    names = [r["name"] for r in rows]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"ambiguous category names: {twice}")
+    return {r["name"]: r["category_id"] for r in rows}
 
 
 def classify(ledger: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> DataFrame:
     """Give rows without a category the one of their first matching rule.
 
-    The name is looked up after the match: a rule whose category does not exist
-    leaves its rows without one, later rules are not tried.
+    A rule whose category does not exist leaves its rows without one; later rules
+    are not tried. Ids are literals in the chain, so nothing is joined.
     """
-    name = F.when(F.col("category_id").isNull(), matched_category(rules))
-    targets = _category_ids(categories, rules)
-    rows = ledger.withColumn("_rule_category", name)
-    joined = rows.join(targets, F.col("_rule_category") == F.col("_cname"), "left")
-    return joined.withColumn("category_id", F.coalesce("category_id", "_cid")).select(*ledger.columns)
+    ids = category_ids(rules, categories)
+    found = _first_hit(rules, lambda r: F.lit(ids.get(r.category)).cast("long")).cast("long")
+    rows = with_text(ledger, rules)
+    return rows.withColumn(
+        "category_id", F.when(F.col("category_id").isNotNull(), F.col("category_id")).otherwise(found)
+    ).select(*ledger.columns)
 
 
 def classify_transfers(
@@ -200,8 +212,8 @@ def classify_transfers(
 def tag_frequency(ledger: DataFrame, categories: DataFrame, fixed_patterns: Sequence[str]) -> DataFrame:
     """Tag untagged spending rows as fixed or variable by their text."""
     kinds = categories.select("category_id", F.col("kind").alias("_kind"))
-    joined = ledger.join(kinds, "category_id", "left")
-    fixed = matches(_text(), "|".join(f"(?:{p})" for p in fixed_patterns)) if fixed_patterns else F.lit(False)
+    joined = with_text(ledger).join(small(kinds), "category_id", "left")
+    fixed = matches(F.col(_TEXT), "|".join(f"(?:{p})" for p in fixed_patterns)) if fixed_patterns else F.lit(False)
     untagged = F.col("spend_frequency").isNull() & is_spend(F.col("_kind"), F.col("category_id"), F.col("amount"))
     tag = F.when(untagged, F.when(fixed, "fijo").otherwise("variable")).otherwise(F.col("spend_frequency"))
     return joined.withColumn("spend_frequency", tag).select(*ledger.columns)
@@ -231,14 +243,16 @@ def rule_audit(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     spread out. No row of the ledger is multiplied.
     """
     listed = ordered(rules)
-    open_rows = ledger.filter(F.col("category_id").isNull())
-    hits = F.array(*[F.when(condition(r), F.lit(i)) for i, r in enumerate(listed)])
-    marked = open_rows.select(F.array_compact(hits).alias("_hits"))
+    open_rows = with_text(ledger.filter(F.col("category_id").isNull()), listed)
+    hits = open_rows.select(*[condition(r).alias(f"_h{i}") for i, r in enumerate(listed)])
+    first = F.when(F.col("_h0"), 0)
+    for i in range(1, len(listed)):
+        first = first.when(F.col(f"_h{i}"), i)
     sums = []
     for i in range(len(listed)):
-        sums.append(F.count_if(F.array_contains("_hits", i)).alias(f"_any{i}"))
-        sums.append(F.count_if(F.try_element_at("_hits", F.lit(1)) == i).alias(f"_first{i}"))
-    one = marked.agg(*sums)
+        sums.append(F.count_if(F.col(f"_h{i}")).alias(f"_any{i}"))
+        sums.append(F.count_if(F.col("_first") == i).alias(f"_first{i}"))
+    one = hits.withColumn("_first", first).agg(*sums)
     rows = F.array(
         *[
             F.struct(

@@ -23,6 +23,7 @@ from tallyspark.functions.text import (
     UNCATEGORISED,
     labelled,
 )
+from tallyspark.plans.small import small
 
 MAX_CATEGORIES = 10_000
 
@@ -56,9 +57,10 @@ def with_parent(accounts: DataFrame) -> DataFrame:
 def enrich(ledger: DataFrame, accounts: DataFrame, categories: DataFrame, keep_uncategorised: bool = True) -> DataFrame:
     """Ledger rows with account and category columns.
 
-    Accounts join inner, categories left (or inner). Neither side is forced to
-    broadcast: accounts grow with the data, so Spark decides by their size and
-    splits a hot account when it has to sort and merge.
+    Accounts join inner, categories left (or inner). Categories have few values
+    and are broadcast once their size is checked. Accounts grow with the data, so
+    Spark decides by their size and splits a hot account when it has to sort and
+    merge.
     """
     account = accounts.select(
         "account_id", F.col("owner_id"), F.col("name").alias("account"), F.col("institution")
@@ -67,7 +69,7 @@ def enrich(ledger: DataFrame, accounts: DataFrame, categories: DataFrame, keep_u
         "category_id", F.col("name").alias("category"), F.col("kind"), F.col("nature")
     )
     return ledger.join(account, "account_id").join(
-        category, "category_id", "left" if keep_uncategorised else "inner"
+        small(category), "category_id", "left" if keep_uncategorised else "inner"
     )
 
 
@@ -83,17 +85,22 @@ def monthly_base(
     rows = in_dates(ledger, date_from, date_to)
     if currency is not None:
         rows = rows.filter(F.col("currency") == currency)
-    summed = rows.groupBy(
-        "account_id",
-        "currency",
-        month_key(F.col("date")).alias("month"),
-        "category_id",
-        "spend_frequency",
-        (F.col("amount") < 0).alias("is_charge"),
-    ).agg(F.sum("amount").cast(SUM).alias("amount"))
+    summed = (
+        rows.groupBy(
+            "account_id",
+            "currency",
+            F.trunc("date", "month").alias("_first"),
+            "category_id",
+            "spend_frequency",
+            (F.col("amount") < 0).alias("is_charge"),
+        )
+        .agg(F.sum("amount").cast(SUM).alias("amount"))
+        .withColumn("month", month_key(F.col("_first")))
+        .drop("_first")
+    )
     owner = accounts.select("account_id", "owner_id")
     category = categories.select("category_id", F.col("name").alias("category"), "kind", "nature")
-    return summed.join(owner, "account_id").join(category, "category_id", "left").drop("account_id")
+    return summed.join(owner, "account_id").join(small(category), "category_id", "left").drop("account_id")
 
 
 def _uncategorised() -> Column:
@@ -121,36 +128,57 @@ def monthly_summary(base: DataFrame, with_categories: bool = False) -> DataFrame
     decimals, so rounding the categories first changes nothing.
     """
     kind, tag = F.col("kind"), F.col("spend_frequency")
-    counted = kind.isin("income", "expense") | _uncategorised() | tag.isNotNull()
-    per_category = (
-        base.filter(counted)
-        .groupBy("owner_id", "currency", "month", "kind", "category", "nature")
-        .agg(
-            _sum_where(kind == "income").alias("income"),
-            _sum_where(kind == "expense", -1).alias("spent"),
-            _sum_where(_uncategorised(), -1).alias("uncategorised"),
-            _sum_where(tag == "fijo", -1).alias("fijo"),
-            _sum_where(tag == "variable", -1).alias("variable"),
+    counted = base.filter(kind.isin("income", "expense") | _uncategorised() | tag.isNotNull())
+    parts = {
+        "income": _sum_where(kind == "income"),
+        "spent": _sum_where(kind == "expense", -1),
+        "uncategorized_expense": _sum_where(_uncategorised(), -1),
+        "fijo_total": _sum_where(tag == "fijo", -1),
+        "variable_total": _sum_where(tag == "variable", -1),
+    }
+    keys = ["owner_id", "currency", "month"]
+    if not with_categories:
+        months = counted.groupBy(*keys).agg(*[c.alias(n) for n, c in parts.items()])
+    else:
+        per_category = counted.groupBy(*keys, "kind", "category", "nature").agg(
+            *[c.alias(n) for n, c in parts.items()]
         )
-    )
-    measures = [
-        F.sum("income").cast(SUM).alias("income"),
-        F.sum("uncategorised").cast(SUM).alias("uncategorized_expense"),
-        F.sum("fijo").cast(SUM).alias("fijo_total"),
-        F.sum("variable").cast(SUM).alias("variable_total"),
-        (F.sum("spent") + F.sum("uncategorised")).cast(SUM).alias("total_expense"),
-        (F.sum("income") - F.sum("spent") - F.sum("uncategorised")).cast(SUM).alias("net"),
-    ]
-    if with_categories:
         # One entry per category of the dimension, not per ledger row.
         entry = F.when(kind == "expense", F.struct((-F.col("spent")).alias("k"), "category", "nature"))
-        measures.append(
+        months = per_category.groupBy(*keys).agg(
+            *[F.sum(n).cast(SUM).alias(n) for n in parts],
             F.transform(
                 F.array_sort(F.collect_list(entry)),
                 lambda e: F.struct(e["category"].alias("category"), e["nature"].alias("nature"), (-e["k"]).alias("amount")),
-            ).alias("categories")
+            ).alias("categories"),
         )
-    return per_category.groupBy("owner_id", "currency", "month").agg(*measures)
+    total = (F.col("spent") + F.col("uncategorized_expense")).cast(SUM)
+    extra = ["categories"] if with_categories else []
+    return months.select(
+        *keys,
+        "income",
+        "uncategorized_expense",
+        "fijo_total",
+        "variable_total",
+        total.alias("total_expense"),
+        (F.col("income") - total).cast(SUM).alias("net"),
+        *extra,
+    )
+
+
+def _net_by_category(base: DataFrame, keys: list[str]) -> DataFrame:
+    """Net spending per category, with one row for uncategorised charges unless
+    they come to nothing; a single pass over ``base``."""
+    spent = base.filter((F.col("kind") == "expense") | _uncategorised())
+    netted = spent.groupBy(*keys, "category", "nature", _uncategorised().alias("_open")).agg(
+        (-F.sum("amount")).cast(SUM).alias("amount")
+    )
+    return netted.filter(~F.col("_open") | (F.col("amount") != 0)).select(
+        *keys,
+        F.when(F.col("_open"), UNCATEGORISED).otherwise(F.col("category")).alias("category"),
+        "nature",
+        "amount",
+    )
 
 
 def spending_by_category(
@@ -167,39 +195,15 @@ def spending_by_category(
     category count only when money went out, and only if the sum is not zero.
     """
     base = monthly_base(ledger, accounts, categories, currency, date_from, date_to)
-    known = (
-        base.filter(F.col("kind") == "expense")
-        .groupBy("owner_id", "category", "nature")
-        .agg((-F.sum("amount")).cast(SUM).alias("amount"))
-    )
-    unknown = (
-        base.filter(_uncategorised())
-        .groupBy("owner_id")
-        .agg((-F.sum("amount")).cast(SUM).alias("amount"))
-        .filter(F.col("amount") != 0)
-        .select("owner_id", F.lit(UNCATEGORISED).alias("category"), F.lit(None).cast("string").alias("nature"), "amount")
-    )
-    return known.unionByName(unknown).orderBy("owner_id", F.desc("amount"), "category")
+    return _net_by_category(base, ["owner_id"]).orderBy("owner_id", F.desc("amount"), "category")
 
 
 def month_breakdown(base: DataFrame, month: str) -> DataFrame:
     """One month's categories with the uncategorised row, largest first."""
     rows = base.filter(F.col("month") == month)
-    known = monthly_category(rows).drop("month")
-    unknown = (
-        rows.filter(_uncategorised())
-        .groupBy("owner_id", "currency")
-        .agg((-F.sum("amount")).cast(SUM).alias("amount"))
-        .filter(F.col("amount") != 0)
-        .select(
-            "owner_id",
-            "currency",
-            F.lit(UNCATEGORISED).alias("category"),
-            F.lit(None).cast("string").alias("nature"),
-            "amount",
-        )
+    return _net_by_category(rows, ["owner_id", "currency"]).orderBy(
+        "owner_id", "currency", F.desc("amount"), "category"
     )
-    return known.unionByName(unknown).orderBy("owner_id", "currency", F.desc("amount"), "category")
 
 
 def _category_names(categories: DataFrame) -> list[str]:

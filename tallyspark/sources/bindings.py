@@ -35,10 +35,17 @@ def money(name: str) -> Column:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, n, k, t, None) for i, n, k, t in CATEGORIES],
-        "category_id long, name string, kind string, nature string, parent_id long",
-    )
+    rows = [
+        F.struct(
+            F.lit(i).cast("long").alias("category_id"),
+            F.lit(n).alias("name"),
+            F.lit(k).alias("kind"),
+            F.lit(t).cast("string").alias("nature"),
+            F.lit(None).cast("long").alias("parent_id"),
+        )
+        for i, n, k, t in CATEGORIES
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,47 +87,60 @@ def _csv_fields(line: Column) -> Column:
     )
 
 
-def _first_index(rows: Column, test) -> Column:
-    """Position (from 1) of the first row that passes, NULL without one."""
-    hits = F.filter(F.transform(rows, lambda r, i: F.when(test(r), i + 1)), lambda x: x.isNotNull())
-    return F.try_element_at(hits, F.lit(1))
+def _text_lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
 
 
-def sectioned_rows(texts: DataFrame) -> DataFrame:
-    """Each text as an array of CSV rows (arrays of fields)."""
-    lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    return texts.select("source_file", F.transform(lines, _csv_fields).alias("rows"))
+def _positions(lines: Column, pattern: str) -> Column:
+    """Positions (from 1) of the lines that match."""
+    return F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(pattern), i + 1)), lambda x: x.isNotNull())
 
 
 def _cell(row: Column, i: int) -> Column:
     return F.try_element_at(row, F.lit(i + 1))
 
 
-def section_period_end(rows: Column) -> Column:
+# Sections are found on raw lines, so only the rows that are kept are split into fields.
+_BALANCE_HEADER = r'^[^,]*,"?Activo"?(,|$)'
+_DATED = r'^"?\d{2}/\d{2}/\d{4}"?(,|$)'
+
+
+def section_period_end(text: Column) -> Column:
     """End of the period in the cell after ``Periodo``: ``Mmm dd yyyy - Mmm dd yyyy``."""
-    at = F.filter(rows, lambda r: F.array_contains(r, "Periodo"))[0]
-    cell = F.try_element_at(at, (F.array_position(at, "Periodo") + 1).cast("int"))
+    cell = F.regexp_extract(text, r'(?m)(?:^|,)"?Periodo"?,"?([^",\n]*)', 1)
     return parse_date_token(F.try_element_at(F.split(cell, " - "), F.lit(2)), "mmm dd yyyy")
 
 
 def stage_sectioned_balances(texts: DataFrame) -> DataFrame:
     """Balances: rows after the header whose second cell is ``Activo`` up to the
     first short row or empty name."""
-    df = sectioned_rows(texts).filter(F.exists("rows", lambda r: _cell(r, 1) == "Activo"))
-    start = _first_index(F.col("rows"), lambda r: _cell(r, 1) == "Activo")
-    df = df.withColumn("_start", start).withColumn("_end", section_period_end(F.col("rows")))
-    df = df.withColumn("_after", F.slice("rows", F.col("_start") + 1, F.size("rows")))
-    stop = _first_index(
-        F.col("_after"), lambda r: (F.size(r) < 9) | F.coalesce(_cell(r, 1) == "", F.lit(True))
+    lines = _text_lines(F.col("text"))
+    placed = texts.select(
+        "source_file",
+        section_period_end(F.col("text")).alias("date"),
+        lines.alias("lines"),
+    )
+    first = F.try_element_at(_positions(F.col("lines"), _BALANCE_HEADER), F.lit(1))
+    after = placed.select("source_file", "date", F.slice("lines", first + 1, F.size("lines")).alias("after"))
+    rows = after.select("source_file", "date", F.transform("after", lambda l: _csv_fields(l)).alias("rows"))
+    stops = F.filter(
+        F.transform(
+            "rows", lambda r, i: F.when((F.size(r) < 9) | F.coalesce(_cell(r, 1) == "", F.lit(True)), i)
+        ),
+        lambda x: x.isNotNull(),
+    )
+    kept = rows.select(
+        "source_file",
+        "date",
+        F.explode(F.slice("rows", F.lit(1), F.coalesce(F.try_element_at(stops, F.lit(1)), F.size("rows")))).alias("r"),
     )
-    df = df.withColumn("_n", F.coalesce(stop - 1, F.size("_after")))
-    kept = df.withColumn("_r", F.explode(F.slice("_after", F.lit(1), F.col("_n"))))
+    r = F.col("r")
     return kept.select(
         "source_file",
-        F.col("_end").alias("date"),
-        _cell(F.col("_r"), 1).alias("sub_portfolio"),
-        _cell(F.col("_r"), 6).try_cast("decimal(24,8)").alias("units"),
-        parse_money(_cell(F.col("_r"), 8)).alias("market_value"),
+        "date",
+        _cell(r, 1).alias("sub_portfolio"),
+        _cell(r, 6).try_cast("decimal(24,8)").alias("units"),
+        parse_money(_cell(r, 8)).alias("market_value"),
         F.lit("USD").alias("currency"),
     )
 
@@ -135,18 +148,17 @@ def stage_sectioned_balances(texts: DataFrame) -> DataFrame:
 def stage_sectioned_movements(texts: DataFrame, sentinel: str) -> DataFrame:
     """Movements: date-shaped rows between the first and the second row whose first
     cell is ``sentinel``; ``source_row`` counts the kept rows."""
-    df = sectioned_rows(texts)
-    marks = F.filter(
-        F.transform(F.col("rows"), lambda r, i: F.when(_cell(r, 0) == sentinel, i + 1)), lambda x: x.isNotNull()
+    placed = texts.select("source_file", _text_lines(F.col("text")).alias("lines"))
+    marks = placed.select(
+        "source_file", "lines", _positions(F.col("lines"), rf'^"?{sentinel}"?(,|$)').alias("marks")
     )
-    df = df.withColumn("_marks", marks).filter(F.size("_marks") > 0)
-    first = F.col("_marks")[0]
-    last = F.coalesce(F.try_element_at("_marks", F.lit(2)), F.size("rows") + 1)
-    inside = F.slice("rows", first + 1, last - first - 1)
-    dated = F.filter(inside, lambda r: F.coalesce(_cell(r, 0).rlike(r"^\d{2}/\d{2}/\d{4}$"), F.lit(False)))
-    rows = df.select("source_file", F.posexplode(dated).alias("source_row", "_r"))
-    r = F.col("_r")
-    return rows.select(
+    first = F.try_element_at("marks", F.lit(1))
+    last = F.coalesce(F.try_element_at("marks", F.lit(2)), F.size("lines") + 1)
+    dated = F.filter(F.slice("lines", first + 1, last - first - 1), lambda l: l.rlike(_DATED))
+    rows = marks.select("source_file", F.posexplode(dated).alias("source_row", "line"))
+    fields = rows.select("source_file", "source_row", _csv_fields(F.col("line")).alias("r"))
+    r = F.col("r")
+    return fields.select(
         "source_file",
         "source_row",
         parse_date_token(_cell(r, 0), "dd/MM/y").alias("date"),
