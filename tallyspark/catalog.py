@@ -26,6 +26,8 @@ from tallyspark.sources import bindings as b, readers, rendered as r
 AS_OF = "2001-06-15"
 LOADED_BEFORE = "1998-01-01"
 MONTH = "1997-05"
+# Ids of the test tables leave wide gaps: about 16,000 orders per block.
+ID_BLOCK = 2**37
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,10 +219,10 @@ def spend_frequency(spark, sf):
     return cl.tag_frequency(untagged, b.categories(spark), rulebook.FIXED_PATTERNS).select("id", "spend_frequency")
 
 
-def _classified(spark: SparkSession, sf: str) -> DataFrame:
+def _classified(spark: SparkSession, sf: str, trace: bool = False) -> DataFrame:
     return cl.classify_all(
         b.ledger(spark, sf, text=True), b.accounts(spark, sf), b.categories(spark), rulebook.HOLDER_PATTERNS,
-        rulebook.TRANSFER_CATEGORY, rulebook.RULES, rulebook.FIXED_PATTERNS, rulebook.HOLDER_EXCLUDED,
+        rulebook.TRANSFER_CATEGORY, rulebook.RULES, rulebook.FIXED_PATTERNS, rulebook.HOLDER_EXCLUDED, trace,
     )
 
 
@@ -231,7 +233,7 @@ def classify_all(spark, sf):
 
 @query
 def classification_counts(spark, sf):
-    return cl.classification_counts(b.ledger(spark, sf, text=True), _classified(spark, sf))
+    return cl.classification_counts(_classified(spark, sf, trace=True))
 
 
 @query
@@ -587,7 +589,7 @@ def distribution_return(spark, sf):
 
 
 def _running(spark: SparkSession, sf: str, anchors: DataFrame | None = None) -> DataFrame:
-    return wl.running_balance(b.ledger(spark, sf), anchors).select("id", "account_id", "date", "amount", "balance")
+    return wl.running_balance(b.ledger(spark, sf), anchors, ID_BLOCK).select("id", "account_id", "date", "amount", "balance")
 
 
 @query
@@ -677,7 +679,9 @@ def extract_signed_rows(spark, sf):
 
 @query
 def extract_scoped_rows(spark, sf):
-    return ex.extract_scoped_rows(r.scoped_lines(spark, sf), "Detail of contributions", GROUP_HEADER, DETAIL_ROW, "Agent:")
+    return ex.extract_scoped_rows(
+        r.scoped_lines(spark, sf), "Detail of contributions", GROUP_HEADER, DETAIL_ROW, "Agent:", block=ID_BLOCK
+    )
 
 
 @query
@@ -749,7 +753,7 @@ def table_region_once(spark, sf):
 @query
 def fill_dates(spark, sf):
     rows = b.ledger(spark, sf).withColumn("printed", F.when(~F.col("source_row").isin(2, 5), F.col("date")))
-    filled = ex.fill_dates(rows, ["account_id"], "id", F.col("printed"))
+    filled = ex.fill_dates(rows, ["account_id"], "id", F.col("printed"), ID_BLOCK)
     return filled.select("id", "account_id", "printed", "filled_date")
 
 

@@ -14,23 +14,38 @@ NATURE_LABEL = {"basico": "Básico", "necesario": "Necesario", "estilo_de_vida":
 FREQUENCY_LABEL = {"fijo": "Fijo", "variable": "Variable"}
 
 
-def _fold_table() -> tuple[str, str]:
-    """Every composed letter of the Latin blocks with its one bare letter."""
-    source, target = [], []
-    for code in range(0xC0, 0x250):
+# Blocks of Latin letters: supplement and extensions, additional, ligatures, full width.
+_LATIN = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
+
+
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Letters that decompose to one bare letter, and those that give several."""
+    source, target, several = [], [], {}
+    for code in (c for block in _LATIN for c in block):
         bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare != chr(code):
+        if len(bare) > 1:
+            several[chr(code)] = bare
+        elif bare and bare != chr(code):
             source.append(chr(code))
             target.append(bare)
-    return "".join(source), "".join(target)
+    return "".join(source), "".join(target), several
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
 
 
 def fold_accents(text: Column) -> Column:
-    """Drop accents: composed letters by table, combining marks by removal."""
-    return F.regexp_replace(F.translate(text, _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
+    """Compatibility decomposition of Latin letters without combining marks.
+
+    Single letters go by table. Ligatures and the like are rare, so they are only
+    replaced in texts that have one.
+    """
+    folded = F.translate(text, _FOLD_FROM, _FOLD_TO)
+    spread = folded
+    for letter, bare in _FOLD_SEVERAL.items():
+        spread = F.replace(spread, F.lit(letter), F.lit(bare))
+    rare = text.rlike("[" + "".join(_FOLD_SEVERAL) + "]")
+    return F.regexp_replace(F.when(rare, spread).otherwise(folded), r"\p{M}", "")
 
 
 def haystack(raw: Column, description: Column) -> Column:

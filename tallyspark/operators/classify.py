@@ -228,11 +228,34 @@ def classify_all(
     rules: Sequence[Rule],
     fixed_patterns: Sequence[str],
     exclude_accounts: Sequence[str] = (),
+    trace: bool = False,
 ) -> DataFrame:
-    """Transfers, then rules, then tags. Running it again changes nothing."""
-    step = classify_transfers(ledger, accounts, holder_patterns, transfer_category, categories, exclude_accounts)
-    step = classify(step, rules, categories)
-    return tag_frequency(step, categories, fixed_patterns)
+    """Transfers, then rules, then tags. Running it again changes nothing.
+
+    ``trace`` adds ``step`` (transfer or rule, where a category was given) and
+    ``newly_tagged``.
+    """
+    rows = ledger.withColumn("_c0", F.col("category_id")).withColumn("_f0", F.col("spend_frequency"))
+    rows = classify_transfers(rows, accounts, holder_patterns, transfer_category, categories, exclude_accounts)
+    rows = rows.withColumn("_c1", F.col("category_id"))
+    rows = tag_frequency(classify(rows, rules, categories), categories, fixed_patterns)
+    if not trace:
+        return rows.select(*ledger.columns)
+    given = F.col("_c0").isNull() & F.col("category_id").isNotNull()
+    return rows.select(
+        *ledger.columns,
+        F.when(given, F.when(F.col("_c1").isNotNull(), "transfer").otherwise("rule")).alias("step"),
+        (F.col("_f0").isNull() & F.col("spend_frequency").isNotNull()).alias("newly_tagged"),
+    )
+
+
+def classification_counts(traced: DataFrame) -> DataFrame:
+    """Rows that each step of a traced run has classified or tagged."""
+    return traced.agg(
+        F.count_if(F.col("step") == "transfer").alias("transfers_classified"),
+        F.count_if(F.col("step") == "rule").alias("merchants_classified"),
+        F.count_if(F.col("newly_tagged")).alias("spend_frequency_tagged"),
+    )
 
 
 def rule_audit(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -269,18 +292,3 @@ def rule_audit(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         (F.col("r.any_hits") == 0).alias("zero_hit"),
         ((F.col("r.any_hits") > 0) & (F.col("r.first_hits") == 0)).alias("shadowed"),
     )
-
-
-def classification_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that gained a category and rows that gained a tag."""
-    def count(df: DataFrame) -> DataFrame:
-        return df.agg(
-            F.count("category_id").alias("categorised"), F.count("spend_frequency").alias("tagged")
-        )
-
-    b, a = count(before), count(after)
-    b = b.select(F.lit(1).alias("_k"), F.col("categorised").alias("_bc"), F.col("tagged").alias("_bt"))
-    return a.withColumn("_k", F.lit(1)).join(b, "_k").select(
-        (F.col("categorised") - F.col("_bc")).alias("rows_classified"),
-        (F.col("tagged") - F.col("_bt")).alias("rows_tagged"),
-    )

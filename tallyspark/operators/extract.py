@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyspark.functions.dates import month_number, month_span, parse_date_token, period_start_from_days
 from tallyspark.functions.money import SUM, parse_money
 from tallyspark.functions.text import fold_accents
-from tallyspark.plans.ordered import block_of, carry_forward, running_sum
+from tallyspark.plans.ordered import BLOCK, block_of, carry_forward, running_sum
 
 FILE = ["source_file"]
 
@@ -26,8 +26,8 @@ def split_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _blocked(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("_block", block_of(F.col("line_no")))
+def _blocked(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    return lines.withColumn("_block", block_of(F.col("line_no"), block))
 
 
 def _group(text: Column, pattern: str, i: int) -> Column:
@@ -70,7 +70,13 @@ def extract_signed_rows(lines: DataFrame) -> DataFrame:
 
 
 def extract_scoped_rows(
-    lines: DataFrame, start: str, header: str, row: str, end: str, groups: DataFrame | None = None
+    lines: DataFrame,
+    start: str,
+    header: str,
+    row: str,
+    end: str,
+    groups: DataFrame | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Sum detail rows under the header they follow.
 
@@ -100,7 +106,7 @@ def extract_scoped_rows(
         inside = inside.join(listed, ["source_file", "_code"], "left").withColumn(
             "_code", F.when(F.col("_listed"), F.col("_code"))
         )
-    scoped = carry_forward(_blocked(inside), FILE, "_block", ["line_no"], F.col("_code"), "code")
+    scoped = carry_forward(_blocked(inside, block), FILE, "_block", ["line_no"], F.col("_code"), "code")
     n_groups = row.count("(") - row.count("(?") - row.count("\\(")
     amount = parse_money(F.regexp_extract(text, row, n_groups))
     return (
@@ -247,10 +253,10 @@ def end_at_headerless_page(words: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def fill_dates(rows: DataFrame, group: list[str], row_no: str, date: Column) -> DataFrame:
+def fill_dates(rows: DataFrame, group: list[str], row_no: str, date: Column, block: int = BLOCK) -> DataFrame:
     """Add ``filled_date``: the row's date, else the last one before it; rows with
     none at all keep NULL and belong in quarantine."""
-    blocked = rows.withColumn("_block", block_of(F.col(row_no)))
+    blocked = rows.withColumn("_block", block_of(F.col(row_no), block))
     return carry_forward(blocked, group, "_block", [row_no], date, "filled_date").drop("_block")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tallyspark.functions.dates import month_key
@@ -11,14 +12,17 @@ from tallyspark.plans.picks import without_known
 def append_new(fresh: DataFrame, path: str) -> int:
     """Append rows to the ledger table, one folder per month; returns their number.
 
-    The rows are spread by month and a share of their id before the write: a
-    month keeps few files, and a hot month still has many writers.
+    Rows are rebalanced by month before the write: small months are packed into
+    few files, and a month that is too big for one writer is split over several.
     """
     seen = Observation("appended")
     rows = fresh.withColumn("month", month_key(F.col("date"))).observe(seen, F.count(F.lit(1)).alias("rows"))
-    spread = F.pmod(F.xxhash64("account_id", "source_file"), F.lit(16))
-    rows.repartition("month", spread).write.mode("append").partitionBy("month").parquet(path)
-    return int(seen.get["rows"])
+    rows.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+    try:
+        return int(seen.get["rows"])
+    except Py4JJavaError:
+        # Nothing to write: Spark cut the plan short, the counter with it.
+        return 0
 
 
 def upsert_dimension(existing: DataFrame, incoming: DataFrame, keys: list[str], refreshed: list[str]) -> DataFrame:

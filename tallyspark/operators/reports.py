@@ -23,7 +23,7 @@ from tallyspark.functions.text import (
     UNCATEGORISED,
     labelled,
 )
-from tallyspark.plans.small import small
+from tallyspark.plans.small import only_named, small
 
 MAX_CATEGORIES = 10_000
 
@@ -323,9 +323,9 @@ def search_transactions(
     names = accounts.select("account_id", F.col("name").alias("account"))
     labels = categories.select("category_id", F.col("name").alias("category"))
     if account is not None:
-        rows = rows.join(names.filter(F.col("account") == account), "account_id", "left_semi")
+        rows = only_named(rows, "account_id", names, "account", account)
     if category is not None:
-        rows = rows.join(labels.filter(F.col("category") == category), "category_id", "left_semi")
+        rows = only_named(rows, "category_id", labels, "category", category)
     order = [F.desc("date"), F.asc("id")]
     top = rows.orderBy(*order).limit(limit)
     return (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions.money import SUM
-from tallyspark.plans.ordered import block_of, running_sum
+from tallyspark.plans.ordered import BLOCK, block_of, running_sum
 from tallyspark.plans.picks import last_per_key
 
 
@@ -187,14 +187,15 @@ def net_worth(balances: DataFrame) -> DataFrame:
     )
 
 
-def running_balance(ledger: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+def running_balance(ledger: DataFrame, anchors: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Balance of an account after each of its transactions, by date and id.
 
     ``anchors`` (``account_id, opening``) holds opening balances, one per account.
     Days cut an account, blocks of ids cut a day, so neither a hot account nor a
-    hot day is sorted in one task.
+    hot day is sorted in one task. ``block`` is the width of a block; ids with
+    gaps need a wider one.
     """
-    rows = ledger.withColumn("_block", block_of(F.col("id")))
+    rows = ledger.withColumn("_block", block_of(F.col("id"), block))
     summed = running_sum(rows, ["account_id"], ["date", "_block"], ["id"], F.col("amount").cast(SUM), "_run")
     if anchors is None:
         return summed.withColumn("balance", F.col("_run").cast(SUM)).drop("_run", "_block")

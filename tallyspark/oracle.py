@@ -341,12 +341,14 @@ ORACLE["spend_frequency"] = (
     _TABLES + f" SELECT id, {_tagged('category_id', 'CAST(NULL AS VARCHAR)')} AS spend_frequency FROM ledger"
 )
 _CLASSIFIED = _TABLES + f""",
-classified AS (SELECT * EXCLUDE (category_id), category_id AS old_category, CAST(CASE WHEN category_id IS NOT NULL THEN category_id
+classified AS (SELECT * EXCLUDE (category_id), category_id AS old_category, {_IS_TRANSFER} AS is_transfer, CAST(CASE WHEN category_id IS NOT NULL THEN category_id
     WHEN {_IS_TRANSFER} THEN 9 ELSE {_BY_RULE} END AS BIGINT) AS category_id FROM ledger),
 tagged AS (SELECT *, {_tagged('category_id', 'spend_frequency')} AS new_tag FROM classified)"""
 ORACLE["classify_all"] = _CLASSIFIED + " SELECT id, category_id, new_tag AS spend_frequency FROM tagged"
 ORACLE["classification_counts"] = _CLASSIFIED + """
-SELECT count(category_id) - count(old_category) AS rows_classified, count(new_tag) - count(spend_frequency) AS rows_tagged
+SELECT count(*) FILTER (old_category IS NULL AND is_transfer) AS transfers_classified,
+  count(*) FILTER (old_category IS NULL AND NOT is_transfer AND category_id IS NOT NULL) AS merchants_classified,
+  count(*) FILTER (spend_frequency IS NULL AND new_tag IS NOT NULL) AS spend_frequency_tagged
 FROM tagged"""
 _HITS = "[x for x in [" + ", ".join(
     f"CASE WHEN {_rule(r)} THEN {r.rule_id} END" for r in rulebook.RULES

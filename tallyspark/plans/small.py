@@ -15,3 +15,16 @@ def small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     table stays as it is, and its join is left to Spark and its skew handling.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def only_named(rows: DataFrame, key: str, named: DataFrame, name: str, value: str, max_ids: int = 1_000) -> DataFrame:
+    """Rows whose ``key`` belongs to entries of ``named`` with ``name`` = ``value``.
+
+    A name stands for one entry or a few, so their keys become a literal filter
+    that reaches the scan. More than ``max_ids`` keys are joined instead.
+    """
+    hits = named.filter(F.col(name) == value).select(key)
+    ids = [r[0] for r in hits.limit(max_ids + 1).collect()]
+    if len(ids) > max_ids:
+        return rows.join(hits, key, "left_semi")
+    return rows.filter(F.col(key).isin(*ids)) if ids else rows.filter(F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyspark.functions.dates import parse_date_token
 from tallyspark.functions.money import MONEY, foreign_amount, parse_money
 from tallyspark.functions.text import file_name, unquoted
+from tallyspark.plans.ordered import running_sum
 
 # Fixed format: header of the card CSV.
 CARD_COLUMNS = (
@@ -25,27 +26,34 @@ def with_file_name(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", file_name(F.col("_metadata.file_path")))
 
 
-def read_card_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_card_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw rows of card CSV files (UTF-8, header, all columns as text), numbered
-    per file in the order of the file."""
+    from 0 in the order of each file.
+
+    With ``multi_line`` a quoted field may hold line breaks, and a file is one
+    task. Without it big files are cut into splits; a row's number is then its
+    place in its split plus the rows of the splits before it.
+    """
     schema = ", ".join(f"`{c}` string" for c in CARD_COLUMNS)
     raw = (
         spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
         .option("header", True)
         .option("encoding", "UTF-8")
-        .option("multiLine", True)
-        .option("enforceSchema", True)
+        .option("multiLine", multi_line)
         .schema(schema)
         .csv(path)
     )
-    # A file of this reader is one split (multiLine), so ids inside it rise in file order.
-    placed = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
-    first = placed.groupBy("_path").agg(F.min("_id").alias("_base"))
+    placed = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    numbered = running_sum(placed, ["_path"], ["_split"], ["_id"], F.lit(1), "_n")
     return (
-        placed.join(first, "_path")
-        .withColumn("source_file", file_name(F.col("_path")))
-        .withColumn("source_row", (F.col("_id") - F.col("_base")).cast("int"))
-        .drop("_path", "_id", "_base")
+        numbered.withColumn("source_file", file_name(F.col("_path")))
+        .withColumn("source_row", (F.col("_n") - 1).cast("int"))
+        .drop("_path", "_split", "_id", "_n")
     )
 
 
