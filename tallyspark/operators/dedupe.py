@@ -24,32 +24,29 @@ def dedupe_positional(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     return without_known(staged, ledger, ["account_id", "source_file", "source_row"], null_safe=False)
 
 
-_REFERENCE_KEY = ["account_id", "_k_text", "_k_date", "_k_amount", "_k_row"]
-
-
 def _with_reference_key(df: DataFrame) -> DataFrame:
-    """(reference, date, amount) where a reference is printed, else (file, row)."""
+    """Add ``_key``: (reference, date, amount) where a reference is printed, else
+    (file, row). One struct serves grouping and joining, so they share a shuffle."""
     has = F.col("external_ref").isNotNull()
-    return df.select(
-        "*",
-        F.when(has, F.concat(F.lit("r:"), "external_ref"))
-        .otherwise(F.concat(F.lit("f:"), "source_file"))
-        .alias("_k_text"),
-        F.when(has, F.col("date")).alias("_k_date"),
-        F.when(has, F.col("amount")).alias("_k_amount"),
-        F.when(~has, F.col("source_row")).alias("_k_row"),
+    return df.withColumn(
+        "_key",
+        F.struct(
+            "account_id",
+            F.when(has, F.concat(F.lit("r:"), "external_ref"))
+            .otherwise(F.concat(F.lit("f:"), "source_file"))
+            .alias("text"),
+            F.when(has, F.col("date")).alias("date"),
+            F.when(has, F.col("amount")).alias("amount"),
+            F.when(~has, F.col("source_row")).alias("row"),
+        ),
     )
 
 
-def _drop_key(df: DataFrame) -> DataFrame:
-    return df.drop("_k_text", "_k_date", "_k_amount", "_k_row")
-
-
 def dedupe_by_reference(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """New by reference, date and amount, inside the batch too (first row wins);
     rows without a reference are new by file and row."""
-    once = first_per_key(_with_reference_key(staged), _REFERENCE_KEY, _order())
-    return _drop_key(without_known(once, _with_reference_key(ledger), _REFERENCE_KEY))
+    once = first_per_key(_with_reference_key(staged), ["_key"], _order())
+    return without_known(once, _with_reference_key(ledger), ["_key"]).drop("_key")
 
 
 _AMOUNT_KEY = ["account_id", "date", "amount"]
@@ -88,22 +85,28 @@ def dedupe_cross_format(staged: DataFrame, ledger: DataFrame) -> DataFrame:
 def dedupe_card_feed(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """Both rules of a card feed: known references first, then other formats,
     then repeats inside the batch."""
-    fresh = without_known(_with_reference_key(staged), _with_reference_key(ledger), _REFERENCE_KEY)
+    fresh = without_known(_with_reference_key(staged), _with_reference_key(ledger), ["_key"])
     one_format = _other_format(fresh, ledger)
-    return _drop_key(first_per_key(one_format, _REFERENCE_KEY, _order()))
+    return first_per_key(one_format, ["_key"], _order()).drop("_key")
+
+
+def _first_unknown(staged: DataFrame, known: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """First row of each key that ``known`` does not have."""
+    key = F.struct(*keys)
+    once = first_per_key(staged.withColumn("_key", key), ["_key"], order)
+    return without_known(once, known.select(key.alias("_key")), ["_key"]).drop("_key")
 
 
 def dedupe_by_id(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """New by movement id within an account, inside the batch too."""
     known = ledger.filter(F.col("external_ref").isNotNull())
-    keys = ["account_id", "external_ref"]
-    return without_known(first_per_key(staged, keys, _order()), known, keys)
+    return _first_unknown(staged, known, ["account_id", "external_ref"], _order())
 
 
 def dedupe_snapshots(staged: DataFrame, known: DataFrame) -> DataFrame:
     """New by (account, date, sub-portfolio); no sub-portfolio equals itself."""
     keys = ["account_id", "date", "sub_portfolio"]
-    return without_known(first_per_key(staged, keys, [F.col("source_file"), F.col("id")]), known, keys)
+    return _first_unknown(staged, known, keys, [F.col("source_file"), F.col("id")])
 
 
 def dedupe_periods(staged: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ join has one row per statement on either side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyspark.functions.money import SUM, within
 from tallyspark.functions.text import matches
@@ -119,6 +119,10 @@ def check_product(
     return _checks(rows, [_row(name, printed, F.round(left * right, 2), tolerance)])
 
 
+def _type(df: DataFrame, column: Column) -> T.DataType:
+    return df.select(column).schema[0].dataType
+
+
 def previous_statement(statements: DataFrame) -> DataFrame:
     """Add ``previous_file`` and ``previous_closing``: the statement of the same
     account with the latest period end on or before this period start.
@@ -126,22 +130,15 @@ def previous_statement(statements: DataFrame) -> DataFrame:
     Ends and starts are laid on one time line per account; the last end is
     carried to each start. Years cut the line, so no pairs are formed.
     """
-    ends = statements.select(
-        "account_id",
-        F.col("period_end").alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.col("source_file").alias("_file"),
-        F.struct("source_file", "closing").alias("_end"),
+    end = F.struct("source_file", "closing")
+    row = F.struct(*statements.columns)
+    events = F.array(
+        F.struct(F.col("period_end").alias("_at"), F.lit(0).alias("_kind"), end.alias("_end"), F.lit(None).cast(_type(statements, row)).alias("_row")),
+        F.struct(F.col("period_start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(_type(statements, end)).alias("_end"), row.alias("_row")),
     )
-    starts = statements.select(
-        "account_id",
-        F.col("period_start").alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.col("source_file").alias("_file"),
-        F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"),
-        F.struct(*statements.columns).alias("_row"),
+    line = statements.select("account_id", F.col("source_file").alias("_file"), F.inline(events)).withColumn(
+        "_year", F.year("_at")
     )
-    line = ends.unionByName(starts, allowMissingColumns=True).withColumn("_year", F.year("_at"))
     carried = carry_forward(line, ["account_id"], "_year", ["_at", "_kind", "_file"], F.col("_end"), "_prev")
     return carried.filter(F.col("_kind") == 1).select(
         "_row.*",

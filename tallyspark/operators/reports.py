@@ -273,7 +273,11 @@ def expense_ratio(monthly: DataFrame) -> DataFrame:
         "owner_id",
         "currency",
         "month",
-        F.greatest(F.least(F.floor(raw + F.lit("0.5").cast("decimal(2,1)")), F.lit(999)), F.lit(-999))
+        # greatest and least skip NULLs, so the missing share is kept apart.
+        F.when(
+            raw.isNotNull(),
+            F.greatest(F.least(F.floor(raw + F.lit("0.5").cast("decimal(2,1)")), F.lit(999)), F.lit(-999)),
+        )
         .cast("int")
         .alias("ratio_pct"),
         (F.abs(raw) > 999).alias("capped"),

@@ -220,7 +220,7 @@ FROM (SELECT DISTINCT owner_id FROM account) o CROSS JOIN (VALUES ('Housing'), (
 ORACLE["expense_ratio"] = _MONTHLY + """,
 ratio AS (SELECT *, CASE WHEN income > 0 THEN CAST(total_expense AS DOUBLE) * 100 / CAST(income AS DOUBLE) END AS raw FROM monthly)
 SELECT owner_id, currency, month,
-  CAST(greatest(least(floor(raw + 0.5), 999), -999) AS INTEGER) AS ratio_pct, abs(raw) > 999 AS capped, raw > 100 AS over
+  CASE WHEN raw IS NOT NULL THEN CAST(greatest(least(floor(raw + 0.5), 999), -999) AS INTEGER) END AS ratio_pct, abs(raw) > 999 AS capped, raw > 100 AS over
 FROM ratio"""
 ORACLE["tag_surplus"] = _MONTHLY + """
 SELECT owner_id, currency, month, CAST(fijo_total + variable_total - total_expense AS DOUBLE) AS surplus

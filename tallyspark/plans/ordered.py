@@ -20,12 +20,10 @@ def block_of(position: Column, size: int = BLOCK) -> Column:
     return F.floor(position / F.lit(size))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+def _key(columns: list[str]) -> Column:
+    """The columns as one struct: never NULL itself, and equal where they are
+    equal or both NULL. Windows and joins on it share one shuffle."""
+    return F.struct(*columns)
 
 
 def running_sum(
@@ -45,16 +43,18 @@ def running_sum(
     start = None
     for i, keys in enumerate(levels):
         parent = group if i == 0 else levels[i - 1]
-        before = Window.partitionBy(*parent).orderBy(chunks[i]).rowsBetween(Window.unboundedPreceding, -1)
-        here = totals[i].select(*keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
-        if start is None:
-            start = here
-        else:
-            coarse = start.withColumnRenamed("_s", "_p")
-            start = _joined(here, coarse, parent).select(*keys, (F.col("_s") + F.col("_p")).alias("_s"))
-    local = Window.partitionBy(*levels[-1]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("_l", F.sum("_v").over(local))
-    return _joined(inner, start, levels[-1]).withColumn(out, F.col("_l") + F.col("_s")).drop("_v", "_l", "_s")
+        before = Window.partitionBy("_k").orderBy(chunks[i]).rowsBetween(Window.unboundedPreceding, -1)
+        here = totals[i].withColumn("_k", _key(parent)).select(
+            *keys, "_k", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s")
+        )
+        if start is not None:
+            coarse = start.select(_key(parent).alias("_k"), F.col("_s").alias("_p"))
+            here = here.join(coarse, "_k").withColumn("_s", F.col("_s") + F.col("_p"))
+        start = here.select(*keys, "_s")
+    local = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("_k", _key(levels[-1])).withColumn("_l", F.sum("_v").over(local))
+    offsets = start.select(_key(levels[-1]).alias("_k"), "_s")
+    return inner.join(offsets, "_k").withColumn(out, F.col("_l") + F.col("_s")).drop("_k", "_v", "_l", "_s")
 
 
 def carry_forward(
@@ -66,7 +66,7 @@ def carry_forward(
     last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_t")
     ends = rows.groupBy(*keys).agg(last)
     before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    start = ends.select(*keys, F.last("_t", ignorenulls=True).over(before).alias("_s"))
-    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("_l", F.last("_v", ignorenulls=True).over(local))
-    return _joined(inner, start, keys).withColumn(out, F.coalesce("_l", "_s")).drop("_v", "_l", "_s")
+    start = ends.select(_key(keys).alias("_k"), F.last("_t", ignorenulls=True).over(before).alias("_s"))
+    local = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("_k", _key(keys)).withColumn("_l", F.last("_v", ignorenulls=True).over(local))
+    return inner.join(start, "_k").withColumn(out, F.coalesce("_l", "_s")).drop("_k", "_v", "_l", "_s")

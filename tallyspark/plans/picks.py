@@ -30,21 +30,16 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return _pick(df, keys, order, F.max_by)
 
 
-def null_safe_condition(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
-
-
 def without_known(new: DataFrame, known: DataFrame, keys: list[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``new`` whose key does not occur in ``known`` (duplicates stay).
 
     ``known`` is cut to its distinct keys, so a key it repeats costs nothing in
-    the join. With ``null_safe`` two NULLs are the same key; without it a NULL
-    key never matches.
+    the join. With ``null_safe`` two NULLs are the same key (the key is compared
+    as one struct); without it a NULL key never matches.
     """
+    if null_safe and keys != ["_key"]:
+        key = F.struct(*keys)
+        return without_known(new.withColumn("_key", key), known.select(key.alias("_key")), ["_key"]).drop("_key")
     seen = known.select(*[F.col(k).alias(f"_known_{k}") for k in keys]).distinct()
-    pairs = [(k, f"_known_{k}") for k in keys]
-    if null_safe:
-        condition = null_safe_condition(new, seen, pairs)
-    else:
-        condition = reduce(lambda a, b: a & b, [new[l] == seen[r] for l, r in pairs])
+    condition = reduce(lambda a, b: a & b, [new[k] == seen[f"_known_{k}"] for k in keys])
     return new.join(seen, condition, "left_anti")
