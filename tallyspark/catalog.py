@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyspark import rulebook
+from tallyspark import rulebook, schema
 from tallyspark.functions import dates, money as m, text as t
 from tallyspark.operators import (
     calendar,
@@ -18,6 +18,7 @@ from tallyspark.operators import (
     layout,
     reconcile as rc,
     reports as rp,
+    statements as st,
     wealth as wl,
 )
 from tallyspark.plans.picks import without_known
@@ -538,6 +539,65 @@ def quarantined_movements(spark, sf):
     return held.groupBy("account_id").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
 
 
+# Fixed formats of the rendered statement.
+STATEMENT = st.Layout(
+    feed="checking",
+    fields={
+        "account_id": r"^Cuenta: (\d+)$",
+        "period_start": r"^Periodo: (\S+) al \S+$",
+        "period_end": r"^Periodo: \S+ al (\S+)$",
+        "opening": r"^Saldo Anterior (-?[\d,]+\.\d{2})$",
+        "closing": r"^Saldo Final (-?[\d,]+\.\d{2})$",
+        "printed_charges": r"^Cargos ([\d,]+\.\d{2}) en \d+$",
+        "n_charges": r"^Cargos [\d,]+\.\d{2} en (\d+)$",
+        "printed_credits": r"^Abonos ([\d,]+\.\d{2}) en \d+$",
+        "n_credits": r"^Abonos [\d,]+\.\d{2} en (\d+)$",
+    },
+    date_kind="dd/MM/y",
+    table_on=r"^DETALLE DE MOVIMIENTOS$",
+    table_off=r"^TOTAL DE MOVIMIENTOS$",
+    row=r"^(\d{2})/([A-Z]{3})\s+(\d{2})/([A-Z]{3})\s+(.*?)\s([+-])\s\$([\d,]+\.\d{2})$",
+)
+
+
+def _imported(spark: SparkSession, sf: str) -> st.Imported:
+    """All statements as a batch; those before the cut are registered already."""
+    known = b.statements(spark, sf).filter(F.col("period_end") < F.lit(LOADED_BEFORE).cast("date"))
+    loaded = b.statement_movements(spark, sf).filter(F.lit(False))
+    return st.import_statements(r.statement_lines(spark, sf), STATEMENT, loaded, known, block=2 * ID_BLOCK)
+
+
+@query
+def import_statement_report(spark, sf):
+    return _imported(spark, sf).report
+
+
+@query
+def import_statement_rows(spark, sf):
+    rows = _imported(spark, sf).movements
+    return rows.groupBy("account_id", "op_date").agg(
+        F.count("*").alias("rows"),
+        F.sum("amount").alias("amount"),
+        F.count("external_ref").alias("with_reference"),
+        F.max("description").alias("last_description"),
+    )
+
+
+@query
+def registered_statements(spark, sf):
+    return _imported(spark, sf).statements.select("account_id", "source_file", "period_start", "period_end", "opening", "closing")
+
+
+@query
+def evolved_ledger(spark, sf):
+    """A table that gained a column: its old part has no tag column at all."""
+    rows = b.ledger(spark, sf)
+    cut = F.col("date") < F.lit(LOADED_BEFORE).cast("date")
+    both = schema.union_evolved(rows.filter(cut).drop("spend_frequency"), rows.filter(~cut))
+    full = schema.align_schema(both, schema.TRANSACTION, {"benefit_tag": "none"})
+    return full.groupBy("spend_frequency", "benefit_tag").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
+
+
 # --- Wealth ------------------------------------------------------------------
 
 

@@ -178,14 +178,14 @@ def detect_template(docs: DataFrame, markers: dict[str, str]) -> DataFrame:
     return found.select("source_file", F.when(F.size("_hits") == 1, F.col("_hits")[0]).alias("template"))
 
 
-def assemble_records(lines: DataFrame, is_start: Column, sep: str = "\n") -> DataFrame:
+def assemble_records(lines: DataFrame, is_start: Column, sep: str = "\n", block: int = BLOCK) -> DataFrame:
     """Join each start line with the lines up to the next start.
 
     ``record_no`` counts from 0 in a file; lines before the first start are no
     part of any record.
     """
     numbered = running_sum(
-        _blocked(lines), FILE, ["_block"], ["line_no"], F.coalesce(is_start.cast("long"), F.lit(0)), "_n"
+        _blocked(lines, block), FILE, ["_block"], ["line_no"], F.coalesce(is_start.cast("long"), F.lit(0)), "_n"
     ).filter(F.col("_n") > 0)
     return (
         numbered.groupBy("source_file", (F.col("_n") - 1).alias("record_no"))
@@ -205,13 +205,15 @@ def assemble_records(lines: DataFrame, is_start: Column, sep: str = "\n") -> Dat
     )
 
 
-def table_region(lines: DataFrame, is_on: Column, is_off: Column, once: bool = False) -> DataFrame:
+def table_region(
+    lines: DataFrame, is_on: Column, is_off: Column, once: bool = False, block: int = BLOCK
+) -> DataFrame:
     """Lines between an on and an off marker; markers themselves are left out.
 
     With ``once`` the table ends for good at the first off marker after an on.
     """
     marker = F.when(is_on, F.lit("on")).when(is_off, F.lit("off"))
-    rows = _blocked(lines).withColumn("_mark", marker)
+    rows = _blocked(lines, block).withColumn("_mark", marker)
     state = carry_forward(rows, FILE, "_block", ["line_no"], F.col("_mark"), "_state")
     if once:
         begun = state.filter(F.col("_mark") == "on").groupBy(*FILE).agg(F.min("line_no").alias("_on"))

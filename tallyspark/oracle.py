@@ -499,6 +499,33 @@ _MOVED = "SELECT account_id, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS am
 ORACLE["accepted_movements"] = _STATEMENTS + " " + _MOVED.format(op="NOT IN")
 ORACLE["quarantined_movements"] = _STATEMENTS + " " + _MOVED.format(op="IN")
 
+_IMPORT = _STATEMENTS + """,
+import_checks AS (
+  SELECT source_file, "check" FROM judged j JOIN statement s USING (source_file)
+    WHERE NOT ok AND NOT (s.account_id % 31 = 0 AND "check" IN ('delta', 'chain'))
+      AND ("check" <> 'chain' OR s.period_end >= DATE '1998-01-01')
+  UNION ALL SELECT source_file, 'readable' FROM statement WHERE account_id % 31 = 0
+  UNION ALL SELECT source_file, 'delta' FROM statement WHERE account_id % 31 = 0
+  UNION ALL SELECT n.source_file, 'chain' FROM linked n JOIN statement p ON p.source_file = n.previous_file
+    WHERE n.account_id % 31 = 0 AND n.period_end >= DATE '1998-01-01'
+      AND (p.period_end >= DATE '1998-01-01' OR abs(p.closing - n.opening) > 0.01)),
+import_bad AS (SELECT source_file, string_agg("check", '; ' ORDER BY "check") AS error FROM import_checks GROUP BY 1)"""
+ORACLE["import_statement_report"] = _IMPORT + """
+SELECT s.account_id, s.source_file, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN error IS NULL THEN n_rows ELSE 0 END AS rows, error
+FROM statement s LEFT JOIN import_bad USING (source_file)"""
+ORACLE["import_statement_rows"] = _IMPORT + """
+SELECT account_id, date AS op_date, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount,
+  count(external_ref) AS with_reference, max(description) AS last_description
+FROM moves WHERE statement_file NOT IN (SELECT source_file FROM import_bad) GROUP BY ALL"""
+ORACLE["registered_statements"] = _IMPORT + f"""
+SELECT account_id, source_file, period_start, period_end, {_d('opening', 'closing')} FROM statement
+WHERE period_end >= DATE '1998-01-01' AND source_file NOT IN (SELECT source_file FROM import_bad)"""
+ORACLE["evolved_ledger"] = _TABLES + """
+SELECT CASE WHEN date >= DATE '1998-01-01' THEN spend_frequency END AS spend_frequency, 'none' AS benefit_tag,
+  count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
+FROM ledger GROUP BY ALL"""
+
 _CARD = """WITH card AS (
   SELECT o_custkey AS account_id, 'o' || o_orderkey || '.txt' AS source_file, o_orderkey AS k,
     CAST(o_orderdate AS DATE) AS cutoff_date, CAST(o_totalprice AS DECIMAL(14,2)) AS total,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.functions.dates import MONTH_ABBR, MONTH_FULL
 from tallyspark.functions.money import MONEY
-from tallyspark.sources.bindings import ledger, money, table
+from tallyspark.sources.bindings import ledger, money, statement_name, statements, table
 
 
 def printed(amount: Column) -> Column:
@@ -343,3 +343,42 @@ def card_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_orderkey") * 8 + line) * 1048576 + (F.col("l_partkey") * 509 + supplier) % 1048576).alias("source_row"),
         day.alias("ship_date"),
     )
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of ``bindings.statements`` as printed lines.
+
+    A head with the account, the period and the opening balance, a table with two
+    lines per ledger row, and a foot with the printed totals. Every 31st account
+    leaves its closing balance out.
+    """
+    slash = lambda c: F.date_format(c, "dd/MM/yyyy")
+    key = F.col("account_id")
+    foot = 2**62
+
+    def line(no: int, *text: Column) -> Column:
+        return F.struct(F.lit(no).cast("long").alias("line_no"), F.concat(*text).alias("text"))
+
+    frame = F.array(
+        line(0, F.lit("Cuenta: "), key.cast("string")),
+        line(1, F.lit("Periodo: "), slash("period_start"), F.lit(" al "), slash("period_end")),
+        line(2, F.lit("Saldo Anterior "), printed(F.col("opening"))),
+        line(3, F.lit("DETALLE DE MOVIMIENTOS")),
+        line(foot, F.lit("TOTAL DE MOVIMIENTOS")),
+        line(foot + 1, F.lit("Cargos "), printed(F.col("printed_charges")), F.lit(" en "), F.col("n_charges").cast("string")),
+        line(foot + 2, F.lit("Abonos "), printed(F.col("printed_credits")), F.lit(" en "), F.col("n_credits").cast("string")),
+        line(foot + 3, F.when(key % 31 == 0, F.lit("Sin saldo")).otherwise(F.concat(F.lit("Saldo Final "), printed(F.col("closing"))))),
+    )
+    framed = statements(spark, sf_dir).select("source_file", F.inline(frame))
+    rows = ledger(spark, sf_dir, text=True)
+    day = F.concat_ws("/", F.date_format("date", "dd"), F.upper(month_name(F.col("date"))))
+    sign = F.when(F.col("amount") < 0, "+").otherwise("-")
+    first = F.concat_ws(" ", day, day, F.col("description"), sign, F.concat(F.lit("$"), printed(F.abs("amount"))))
+    second = F.concat(
+        F.lit("nota "), F.coalesce(F.concat(F.lit("Referencia "), F.lpad("external_ref", 12, "0")), F.lit("sin clave"))
+    )
+    pair = F.array(
+        F.struct((F.col("id") * 2 + 10).alias("line_no"), first.alias("text")),
+        F.struct((F.col("id") * 2 + 11).alias("line_no"), second.alias("text")),
+    )
+    return framed.unionByName(rows.select(statement_name().alias("source_file"), F.inline(pair)))

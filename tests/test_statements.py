@@ -1,0 +1,92 @@
+from __future__ import annotations
+
+from datetime import date
+from decimal import Decimal
+
+import pytest
+
+from tallyspark import catalog, schema
+from tallyspark.operators import statements as st
+
+
+def D(x):
+    return Decimal(x)
+
+
+def statement(file, period, opening, closing, rows, charges, credits, n=(None, None), drop=()):
+    n_charges = sum(1 for r in rows if "+" in r) if n[0] is None else n[0]
+    n_credits = sum(1 for r in rows if "- $" in r) if n[1] is None else n[1]
+    text = ["Cuenta: 7", f"Periodo: {period}", f"Saldo Anterior {opening}", "01/ENE 01/ENE before the table + $9.00", "DETALLE DE MOVIMIENTOS"]
+    text += rows + ["TOTAL DE MOVIMIENTOS", "02/ENE 02/ENE after the table + $9.00", f"Cargos {charges} en {n_charges}", f"Abonos {credits} en {n_credits}", f"Saldo Final {closing}"]
+    text = [t for t in text if not t.startswith(drop)] if drop else text
+    return [(file, i, t) for i, t in enumerate(text)]
+
+
+DEC = statement(
+    "a-dec.pdf", "20/12/2023 al 19/01/2024", "100.00", "1,050.00",
+    ["28/DIC 29/DIC SHOP ONE + $40.00", "BNET Referencia 00123456 x", "tail", "05/ENE 06/ENE CLUB - PAY - $1,000.00", "15/ENE 15/ENE FEE + $10.00"], "50.00", "1,000.00",
+)
+FEB = statement("b-feb.pdf", "19/01/2024 al 18/02/2024", "1,050.00", "1,040.00", ["20/ENE 20/ENE SHOP + $10.00"], "10.00", "0.00")
+LDDL = "source_file string, line_no long, text string"
+
+
+@pytest.fixture
+def load(spark):
+    empty = spark.createDataFrame([], schema.TRANSACTION)
+    none = spark.createDataFrame([], schema.STATEMENT_SUMMARY).withColumnsRenamed({"opening_balance": "opening", "closing_balance": "closing"})
+
+    def run(rows, ledger=None, known=None):
+        lines = spark.createDataFrame(rows, LDDL).repartition(4)
+        return st.import_statements(lines, catalog.STATEMENT, ledger or empty, known or none)
+
+    return run
+
+
+def report(out):
+    return {r["source_file"]: (r["status"], r["rows"], r["error"]) for r in out.report.collect()}
+
+
+def test_clean_batch(load):
+    out = load(DEC + FEB)
+    assert report(out) == {"a-dec.pdf": ("ok", 3, None), "b-feb.pdf": ("ok", 1, None)}
+    rows = {(r["source_file"], r["source_row"]): r for r in out.movements.collect()}
+    first = rows[("a-dec.pdf", 0)]
+    assert (first["op_date"], first["charge_date"]) == (date(2023, 12, 28), date(2023, 12, 29))
+    assert (first["description"], first["amount"], first["external_ref"]) == ("SHOP ONE", D("-40.00"), "00123456")
+    assert first["raw_description"].split("\n")[1:] == ["BNET Referencia 00123456 x", "tail"]
+    second = rows[("a-dec.pdf", 1)]
+    assert (second["op_date"], second["description"], second["amount"]) == (date(2024, 1, 5), "CLUB - PAY", D("1000.00"))
+    assert out.statements.count() == 2 and out.quarantined.count() == 0
+
+
+def test_second_import_is_empty(load):
+    first = load(DEC + FEB)
+    again = load(DEC + FEB, first.movements, first.statements)
+    assert again.movements.count() == 0 and again.statements.count() == 0
+    assert report(again) == {"a-dec.pdf": ("ok", 0, None), "b-feb.pdf": ("ok", 0, None)}
+
+
+def test_lost_row_rejects_only_its_file(load):
+    out = load([r for r in DEC if "FEE" not in r[2]] + FEB)
+    assert report(out) == {"a-dec.pdf": ("error", 0, "charge_count; charges; delta"), "b-feb.pdf": ("ok", 1, None)}
+    assert out.quarantined.count() == 2 and [r["source_file"] for r in out.statements.collect()] == ["b-feb.pdf"]
+
+
+def test_broken_chain_against_known_statement(load):
+    first = load(DEC)
+    late = statement("c.pdf", "19/01/2024 al 18/02/2024", "999.00", "989.00", ["20/ENE 20/ENE SHOP + $10.00"], "10.00", "0.00")
+    out = load(late, first.movements, first.statements)
+    assert report(out) == {"c.pdf": ("error", 0, "chain")}
+
+
+def test_missing_field_is_reported(load):
+    torn = statement("d.pdf", "19/01/2024 al 18/02/2024", "0.00", "0.00", [], "0.00", "0.00", drop=("Saldo Final", "Cargos"))
+    out = load(torn + FEB)
+    assert report(out)["d.pdf"] == ("error", 0, "charge_count; charges; delta; readable")
+    assert report(out)["b-feb.pdf"][0] == "ok"
+
+
+def test_file_without_any_field_keeps_its_row(spark):
+    lines = spark.createDataFrame([("x", 0, "nothing")], LDDL)
+    row = st.stage_statements(lines, catalog.STATEMENT).first()
+    assert row["source_file"] == "x" and len(row["missing"]) == 9
