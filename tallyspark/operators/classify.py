@@ -205,7 +205,7 @@ def classify_transfers(
     excluded = accounts.filter(F.col("name").isin(*exclude_accounts)).select(
         "account_id", F.col("name").alias("account")
     )
-    named = ledger.join(excluded, "account_id", "left").withColumn("account", F.coalesce("account", F.lit("")))
+    named = ledger.join(small(excluded), "account_id", "left").withColumn("account", F.coalesce("account", F.lit("")))
     return classify(named, [rule], categories).select(*ledger.columns)
 
 

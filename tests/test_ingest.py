@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import schema
-from tallyspark.operators import dedupe as dd, ingest, reconcile as rc
+from tallyspark.operators import dedupe as dd, ingest, reconcile as rc, reports
 from tallyspark.sources import feeds, readers
-from tallyspark.streaming.ingest import ingest_stream, read_table
+from tallyspark.streaming.ingest import ingest_stream, read_table, related
 
 ROW = "account_id long, date date, amount decimal(14,2), external_ref string, source_file string, source_row int"
 
@@ -334,3 +334,27 @@ def test_stream_loads_each_row_once(spark, tmp_path):
     assert run("c1") == 6
     # A new checkpoint reads every file again; nothing is loaded twice.
     assert run("c2") == 6
+
+
+def test_related_rows_cover_months_and_files(spark):
+    ddl = f"{LEDGER_ROW}, month string"
+    known = spark.createDataFrame(
+        [
+            (1, 1, date(2024, 1, 1), D(1), "R", "old.csv", 0, "2024-01"),
+            (2, 1, date(2023, 5, 1), D(1), None, "a.csv", 0, "2023-05"),
+            (3, 1, date(2023, 5, 1), D(1), None, "other.csv", 0, "2023-05"),
+        ],
+        ddl,
+    )
+    batch = spark.createDataFrame([(9, 1, date(2024, 1, 9), D(1), None, "a.csv", 0)], LEDGER_ROW)
+    assert sorted(r["id"] for r in related(known, batch).collect()) == [1, 2]
+    assert related(known, batch.withColumn("date", F.lit(None).cast("date"))).count() == 3
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_export_is_written_whole(spark, tmp_path, fmt):
+    path = str(tmp_path / "out")
+    export = spark.createDataFrame([(1, date(2024, 1, 1), "a,b"), (2, date(2024, 1, 2), "Básico")], "id int, date date, description string")
+    reports.write_export(export, path, fmt)
+    back = spark.read.option("header", True).format(fmt).load(path)
+    assert sorted(r["description"] for r in back.collect()) == ["Básico", "a,b"]
