@@ -1,4 +1,4 @@
-"""Dimension tables: broadcast only after their size has been checked."""
+"""Small inputs: dimensions to broadcast, names to look up, files with few splits."""
 
 from __future__ import annotations
 
@@ -28,3 +28,14 @@ def only_named(rows: DataFrame, key: str, named: DataFrame, name: str, value: st
     if len(ids) > max_ids:
         return rows.join(hits, key, "left_semi")
     return rows.filter(F.col(key).isin(*ids)) if ids else rows.filter(F.lit(False))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table out to all cores if it has fewer splits than that.
+
+    A small file with one row group is one task, which costs more than the shuffle
+    when each row is expensive (patterns, parsing). Big tables have splits enough
+    and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

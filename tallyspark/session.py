@@ -20,6 +20,9 @@ def local_session(app: str = "tallyspark", cores: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "6g"))
+        # The JVM leaves methods above 8000 bytes of bytecode interpreted; beyond that
+        # size separate operators are faster than one fused stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

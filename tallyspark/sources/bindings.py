@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions.dates import month_key
 from tallyspark.functions.money import MONEY, SUM, UNITS
+from tallyspark.plans.small import spread
 
 # The category dimension: (id, name, kind, nature).
 CATEGORIES = (
@@ -79,6 +80,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     """Line items as signed transactions; ``text=True`` joins the part's words."""
     item = table(spark, sf_dir, "lineitem")
+    if text:
+        item = spread(item)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = item.join(orders, item.l_orderkey == orders.o_orderkey)
     if text:
@@ -86,18 +89,20 @@ def ledger(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         rows = rows.join(part, rows.l_partkey == part.p_partkey)
     price = money("l_extendedprice")
     part_no, supplier, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    category = F.when(part_no % 11 != 0, 1 + part_no % 10)
+    # Category 1 + part % 10, none for every 11th part; 1-6 expense, 7-8 income, 9-10 transfer.
+    digit, unknown = part_no % 10, part_no % 11 == 0
     is_open = F.col("l_linestatus") == "O"
+    one = lambda n: F.lit(n).cast("decimal(1,0)")  # noqa: E731  (small factors keep the product in a long)
     factor = (
-        F.when(part_no % 11 == 0, F.when(is_open, -1).otherwise(1))
-        .when(category <= 6, F.when(F.col("l_returnflag") == "R", 1).otherwise(-1))
-        .when(category == 7, 2)
-        .when(category == 8, 1)
-        .otherwise(F.when(is_open, -1).otherwise(1))
+        F.when(unknown | (digit >= 8), F.when(is_open, one(-1)).otherwise(one(1)))
+        .when(digit <= 5, F.when(F.col("l_returnflag") == "R", one(1)).otherwise(one(-1)))
+        .when(digit == 6, one(2))
+        .otherwise(one(1))
     )
     amount = (price * factor).cast(MONEY)
+    category = F.when(~unknown, 1 + digit)
     tag = F.when(supplier % 3 == 0, "fijo").otherwise("variable")
-    is_spend = (category <= 6) | (category.isNull() & (amount < 0))
+    is_spend = F.when(unknown, is_open & (F.col("l_extendedprice") > 0)).otherwise(digit <= 5)
     columns = [
         ((F.col("l_orderkey") * 8 + line) * 1048576 + (part_no * 509 + supplier) % 1048576).alias("id"),
         F.col("o_custkey").alias("account_id"),

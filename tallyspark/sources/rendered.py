@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.functions.dates import MONTH_ABBR, MONTH_FULL
 from tallyspark.functions.money import MONEY
+from tallyspark.plans.small import spread
 from tallyspark.sources.bindings import ledger, money, statement_name, statements, table
 
 
@@ -29,7 +30,7 @@ def order_file() -> Column:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the columns that the renderers print."""
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         order_file().alias("source_file"),
         F.col("o_orderkey").alias("key"),
         F.col("o_custkey").alias("account_id"),
@@ -158,7 +159,7 @@ def signed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("source_file"), "text")
 
 
