@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm.common import table
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.packing import pack
+from tallyspark.llm.token_files import read_token_files, write_token_files
+from tallyspark.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +20,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
+    return read_token_files(spark, path).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), end_id=0, size=1024)
+
+
 QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
 }
