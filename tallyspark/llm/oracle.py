@@ -1,6 +1,38 @@
 """The answers in DuckDB SQL where SQL can express them."""
 
 ORACLE: dict[str, str] = {
+    "op3_near_dedup": r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as ws
+    from documents
+), s as (
+    select doc_id, case
+        when len(ws) = 0 then []
+        when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+        end as g
+    from w
+), u as (
+    select doc_id, unnest(g) as sh from s
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c
+    from u a join u b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), link as (
+    select x, y from common join s p on p.doc_id = x join s q on q.doc_id = y
+    where 100 * c >= 85 * (len(p.g) + len(q.g) - c)
+), both_ways as (
+    select x, y from link union all select y, x from link
+), reach(doc_id, root) as (
+    select doc_id, doc_id from s
+    union
+    select e.y, r.root from reach r join both_ways e on e.x = r.doc_id
+), low as (
+    select doc_id, min(root) as component_id from reach group by doc_id
+)
+select doc_id, len(g) as n_shingles, component_id, doc_id = component_id as kept from s join low using (doc_id)
+""",
     "op4_exact_dedup": r"""
 with k as (
     select doc_id, coalesce(text, '') as t,

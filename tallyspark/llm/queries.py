@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm.common import table
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.packing import pack
 from tallyspark.llm.token_files import read_token_files, write_token_files
 from tallyspark.session import checkpoint_dir
@@ -16,6 +17,10 @@ from tallyspark.session import checkpoint_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
