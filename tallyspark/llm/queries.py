@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm.common import table
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.packing import pack
 from tallyspark.llm.token_files import read_token_files, write_token_files
@@ -17,6 +18,10 @@ from tallyspark.session import checkpoint_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -38,6 +43,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
