@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import remainder, table
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.language import identify
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.packing import pack
@@ -42,10 +43,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), end_id=0, size=1024)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id")) == 2
+    found = identify(table(spark, sf_dir, "documents"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op10_language_id": op10_language_id,
 }
