@@ -39,7 +39,7 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +88,7 @@ def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     """Hashes of the words of a text, in order; A-Z are lower-cased first."""
     data = text.encode("utf-8", "surrogatepass")
     if lower:
-        data = data.translate(_LOWER)
+        data = data.translate(LOWER)
     start, end = word_spans(data)
     return span_hashes(data, start, end)
 

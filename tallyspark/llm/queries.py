@@ -14,6 +14,7 @@ from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.packing import pack
 from tallyspark.llm.token_files import read_token_files, write_token_files
+from tallyspark.llm.toxicity import toxicity
 from tallyspark.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), end_id=0, size=1024)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id")) == 2
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id")) == 2
     found = identify(table(spark, sf_dir, "documents"), learn=~held_out)
@@ -55,5 +62,6 @@ QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
