@@ -12,6 +12,7 @@ from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.language import identify
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
+from tallyspark.llm.page_text import extract
 from tallyspark.llm.packing import pack
 from tallyspark.llm.token_files import read_token_files, write_token_files
 from tallyspark.llm.toxicity import toxicity
@@ -32,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_page_text": op5_page_text,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
