@@ -1,6 +1,18 @@
 """The answers in DuckDB SQL where SQL can express them."""
 
 ORACLE: dict[str, str] = {
+    "op1_topk": r"""
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), r as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+""",
     "op3_near_dedup": r"""
 with recursive w as (
     select doc_id, regexp_extract_all(

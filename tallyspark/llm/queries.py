@@ -15,12 +15,17 @@ from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.page_text import extract
 from tallyspark.llm.packing import pack
 from tallyspark.llm.token_files import read_token_files, write_token_files
+from tallyspark.llm.topk import top_k
 from tallyspark.llm.toxicity import toxicity
 from tallyspark.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -62,6 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
