@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.common import texts
@@ -102,6 +103,16 @@ def pooled(net: Network, column: list[str], n_labels: int, at_once: int = 4096)
     return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
 
 
+def answers(column: list[str], net: Network, labels: list[str]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    speaks = [bool(LETTER.search(t)) for t in column]
+    if not labels:
+        return [(UNKNOWN, 0.0)] * len(column)
+    p = pooled(net, [t if s else "" for t, s in zip(column, speaks)], len(labels))
+    best = p.argmax(axis=1)
+    return [(labels[b], float(q[b])) if s else (UNKNOWN, 0.0) for b, q, s in zip(best, p, speaks)]
+
+
 def predict(docs: DataFrame, net: Network, labels: list[str], columns: list[str]) -> DataFrame:
     """``columns`` of docs (one of them text) with lang_pred and score, without the text."""
     kept = [c for c in columns if c != "text"]
@@ -112,13 +123,8 @@ def predict(docs: DataFrame, net: Network, labels: list[str], columns: list[str]
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 some = batch.iloc[at : at + 1000]
-                written = [bool(labels and LETTER.search(t)) for t in some["text"]]
-                p = pooled(net, [t if w else "" for t, w in zip(some["text"], written)], max(1, len(labels)))
-                best = p.argmax(axis=1)
-                yield some[kept].assign(
-                    lang_pred=[labels[b] if w else UNKNOWN for b, w in zip(best, written)],
-                    score=[float(q[b]) if w else 0.0 for q, b, w in zip(p, best, written)],
-                )
+                found = answers(list(some["text"]), net, labels)
+                yield some[kept].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
 
     return docs.select(*columns).mapInPandas(run, schema)
 
@@ -138,3 +144,22 @@ def identify(
         rows = rows.withColumnRenamed(lang_col, "lang")
     net, labels = train(training_sample(rows, learn))
     return predict(rows, net, labels, ["doc_id", "text"])
+
+
+def in_known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that are ``und``, all columns as they are.
+
+    What is learned from are all rows with a language, within the bounds above. If nothing
+    can be learned, no text has a known language and none stays.
+    """
+    rows = texts(docs, docs.columns[0], text_col, lang_col).withColumnRenamed(lang_col, "lang")
+    net, labels = train(training_sample(rows, F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for at in range(0, batch.num_rows, 1000):
+                some = [t or "" for t in column.slice(at, 1000).to_pylist()]
+                yield batch.slice(at, 1000).filter(pa.array([a != UNKNOWN for a, _ in answers(some, net, labels)]))
+
+    return docs.mapInArrow(run, docs.schema)

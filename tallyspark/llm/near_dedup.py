@@ -296,3 +296,12 @@ def near_duplicates(
     ids = rows.select("doc_id", "n_shingles", "digest").join(written(named), "digest", "left")
     component = F.coalesce("comp", "doc_id")
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_near_copies(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group, all columns as they are."""
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    kept = written(found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
