@@ -27,7 +27,7 @@ from tallyspark.llm.components import components
 
 ROWS = 5
 MISS = 1e-5
-SIGNATURE = 512
+SIGNATURE = 1024
 LOW_BITS = 2
 SIGMAS = 4
 BLOCK = 128
@@ -182,6 +182,7 @@ class Grouping:
     def __init__(self, nodes: DataFrame, percent: int):
         self.nodes, self.percent = nodes, percent
         self.of = written(nodes.select("node", F.col("node").alias("comp")))
+        self.tested: DataFrame | None = None
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs between different components."""
@@ -189,7 +190,12 @@ class Grouping:
 
     def join(self, pairs: DataFrame) -> None:
         """Confirm pairs on full sets and join the components of those that hold."""
-        links = confirmed(written(pairs.select("a", "b").distinct()), self.nodes, self.percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        links = confirmed(pairs, self.nodes, self.percent)
         edges = _two_sides(written(links), self.of, "comp")
         merged = written(components(edges, "comp_a", "comp_b"))
         moved = merged.select(F.col("node").alias("comp"), F.col("component").alias("to"))
@@ -289,7 +295,7 @@ def near_duplicates(
         blocks = written(_blocks(slim, group, hubs))
         if blocks.isEmpty():
             break
-        group.join(group.apart(_block_pairs(blocks, nodes, percent, first, last)))
+        group.join(_block_pairs(blocks, nodes, percent, first, last))
 
     # Also what is equal only after its node was joined belongs together, whichever id names it.
     named = equal.select("digest", "node").join(group.of, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
