@@ -256,6 +256,41 @@ def _block_pairs(blocks: DataFrame, nodes: DataFrame, percent: int, first: int,
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def shared_buckets(entries: DataFrame) -> DataFrame:
+    """Entries (node, key, ...) of keys that occur more than once, with ``n``, how often.
+
+    Counted and written first: both sides of the join then have a shuffle of their own, so
+    Spark can split a key that very many nodes share.
+    """
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return entries.join(written(shared), "key")
+
+
+def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Nodes with their component (node, comp).
+
+    ``members`` (node, key, n) are the nodes of shared buckets, ``nodes`` (node, size, sig,
+    grams) their signatures and sets.
+    """
+    central = written(members.groupBy("node").agg(F.sum("n").alias("weight")))
+    hubs = members.join(central, "node").groupBy("key")
+    hubs = written(hubs.agg(F.max(F.struct("weight", F.expr("~node").alias("minus"))).alias("top"))).select(
+        "key", F.expr("~top.minus").alias("hub")
+    )
+    group = Grouping(nodes, percent)
+    pairs = members.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    likely = written(estimated(pairs, nodes, percent))
+    group.join(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")))
+    group.join(group.apart(likely.select("a", "b")))
+    slim = members.select("node", "key")
+    for first, last in ROUNDS:
+        blocks = written(_blocks(slim, group, hubs))
+        if blocks.isEmpty():
+            break
+        group.join(_block_pairs(blocks, nodes, percent, first, last))
+    return group.of
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -274,31 +309,12 @@ def near_duplicates(
     full = rows.filter("digest is not null and doc_id is not null")
     # Equal sets are one node, named by its smallest id.
     equal = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
-    entries = written(equal.select("node", F.explode("keys").alias("key")))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(entries.join(written(shared), "key"))
-    central = written(members.groupBy("node").agg(F.sum("n").alias("weight")))
-    hubs = members.join(central, "node").groupBy("key")
-    hubs = written(hubs.agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))).select(
-        "key", (-F.col("top.minus")).alias("hub")
-    )
-    wanted = checked_broadcast(central.select(F.col("node").alias("doc_id")), MAX_BROADCAST)
+    members = written(shared_buckets(written(equal.select("node", F.explode("keys").alias("key")))))
+    wanted = checked_broadcast(members.select(F.col("node").alias("doc_id")).distinct(), MAX_BROADCAST)
     nodes = written(signed(source.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
-    group = Grouping(nodes, percent)
-
-    pairs = members.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = written(estimated(pairs, nodes, percent))
-    group.join(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")))
-    group.join(group.apart(likely.select("a", "b")))
-    slim = members.select("node", "key")
-    for first, last in ROUNDS:
-        blocks = written(_blocks(slim, group, hubs))
-        if blocks.isEmpty():
-            break
-        group.join(_block_pairs(blocks, nodes, percent, first, last))
+    comps = linked(members, nodes, percent)
 
-    # Also what is equal only after its node was joined belongs together, whichever id names it.
-    named = equal.select("digest", "node").join(group.of, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    named = equal.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     ids = rows.select("doc_id", "n_shingles", "digest").join(written(named), "digest", "left")
     component = F.coalesce("comp", "doc_id")
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -14,6 +14,7 @@ from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.page_text import extract
 from tallyspark.llm.packing import pack
+from tallyspark.llm.passages import repeated_passages
 from tallyspark.llm.token_files import read_token_files, write_token_files
 from tallyspark.llm.topk import top_k
 from tallyspark.llm.toxicity import toxicity
@@ -42,6 +43,10 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_page_text": op5_page_text,
+    "op6_passages": op6_passages,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
