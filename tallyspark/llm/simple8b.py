@@ -18,31 +18,60 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64])
 ESCAPE = 15
 
 
+#: Room behind a block for the unused fields of its last word.
+ROOM = BLOCK + int(COUNTS.max())
+
+
+LIMITS = np.array([1 << int(b) for b in BITS[:-1]], dtype=np.uint64)
+_SHORT = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Index of the narrowest field, in order of selectors, that holds each id."""
-    limits = np.array([1 << int(b) for b in BITS[:-1]], dtype=np.uint64)
-    return np.searchsorted(limits, ids, side="right").astype(np.uint8)
+    if ids.max() < len(_SHORT):
+        return _SHORT[ids.astype(np.uint16)]
+    return np.searchsorted(LIMITS, ids, side="right").astype(np.uint8)
+
 
+def _in_rows(values: np.ndarray) -> np.ndarray:
+    """One row for each block, zeros behind its values."""
+    blocks = -(-len(values) // BLOCK)
+    rows = np.zeros((blocks, ROOM), dtype=values.dtype)
+    full = len(values) // BLOCK
+    rows[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+    if blocks > full:
+        rows[full, : len(values) - full * BLOCK] = values[full * BLOCK :]
+    return rows.reshape(-1)
 
-def _best_selector(ids: np.ndarray) -> np.ndarray:
+
+def _best_selector(width: np.ndarray) -> np.ndarray:
     """For every place, the selector of the word that would start there.
 
-    Places behind the end of a block count as zeros; they are never read back.
+    A word of more and narrower fields fits only where the next wider one does, so each
+    step looks at the places that are left. Places behind a block count as zeros.
     """
-    blocks = -(-len(ids) // BLOCK)
-    width = np.zeros((blocks, 2 * BLOCK), dtype=np.uint8)
-    flat = np.zeros(blocks * BLOCK, dtype=np.uint8)
-    flat[: len(ids)] = _widths(ids)
-    width[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    best = np.full((blocks, BLOCK), ESCAPE, dtype=np.uint8)
-    running, span = width, 1
-    for selector in range(ESCAPE - 1, -1, -1):
+    rows = width.reshape(-1, ROOM)
+    # Every place fits the word whose fields hold the widest id.
+    widest = min(int(width.max()), ESCAPE)
+    best = np.full(rows.shape, widest, dtype=np.uint8)
+    span = int(COUNTS[widest])
+    most = rows[:, :BLOCK].copy()
+    for k in range(1, span):
+        np.maximum(most, rows[:, k : k + BLOCK], out=most)
+    left = (np.arange(len(rows), dtype=np.int32)[:, None] * ROOM + np.arange(BLOCK, dtype=np.int32)).reshape(-1)
+    best, most = best.reshape(-1), most.reshape(-1)
+    for selector in range(widest - 1, -1, -1):
+        fits = most <= selector
+        left, most = left[fits], most[fits]
         while span < COUNTS[selector]:
-            step = min(span, int(COUNTS[selector]) - span)
-            running = np.maximum(running[:, : running.shape[1] - step], running[:, step:])
-            span += step
-        best[running[:, :BLOCK] <= selector] = selector
-    return best.reshape(-1)[: len(ids)]
+            np.maximum(most, width[left + span], out=most)
+            span += 1
+        fits = most <= selector
+        left, most = left[fits], most[fits]
+        if len(left) == 0:
+            break
+        best[left] = selector
+    return best
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,78 +79,69 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     if len(ids) == 0:
         return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u4")
-    best = _best_selector(ids)
     blocks = -(-len(ids) // BLOCK)
-    ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, len(ids))
+    rows, best = _in_rows(ids), _best_selector(_in_rows(_widths(ids)))
+    first = np.arange(blocks) * ROOM
+    ends = first + np.minimum(BLOCK, len(ids) - np.arange(blocks) * BLOCK)
     # All blocks step from word to word together.
-    place, live = np.arange(blocks) * BLOCK, np.arange(blocks)
-    starts, owners = [], []
+    place, live, starts = first.copy(), np.arange(blocks), []
     while len(live):
         at = place[live]
         starts.append(at)
-        owners.append(live)
         place[live] = at + COUNTS[best[at]]
         live = live[place[live] < ends[live]]
-    start, owner = np.concatenate(starts), np.concatenate(owners)
-    order = np.lexsort((start, owner))
-    start, owner = start[order], owner[order]
+    start = np.sort(np.concatenate(starts))
     selector = best[start]
     size = np.where(selector == ESCAPE, 2, 1)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), dtype=np.uint64)
-    padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), dtype=np.uint64)])
     for s in range(len(COUNTS)):
         pick = np.flatnonzero(selector == s)
         if len(pick) == 0:
             continue
-        words[where[pick]] = np.uint64(s) << np.uint64(60)
+        word = np.full(len(pick), s << 60, dtype=np.uint64)
         if s == ESCAPE:
-            words[where[pick] + 1] = ids[start[pick]]
-            continue
-        for k in range(int(COUNTS[s]) if BITS[s] else 0):
-            at = start[pick] + k
-            value = np.where(at < ends[owner[pick]], padded[at], np.uint64(0))
-            words[where[pick]] |= value << np.uint64(k * int(BITS[s]))
-    first = np.searchsorted(owner, np.arange(blocks))
-    return words.astype("<u8"), where[first].astype("<u4")
+            words[where[pick] + 1] = rows[start[pick]]
+        else:
+            for k in range(int(COUNTS[s]) if BITS[s] else 0):
+                word |= rows[start[pick] + k] << np.uint64(k * int(BITS[s]))
+        words[where[pick]] = word
+    return words.astype("<u8"), where[np.searchsorted(start, first)].astype("<u4")
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
     """The ids, as unsigned 64-bit integers."""
-    out = np.zeros(n_ids + int(COUNTS.max()), dtype=np.uint64)
     if n_ids == 0:
-        return out[:0]
+        return np.zeros(0, dtype=np.uint64)
     words = words.astype(np.uint64)
     selector = (words >> np.uint64(60)).astype(np.uint8)
-    raw = np.zeros(len(words) + 1, dtype=bool)
-    # The word behind an escape is data. Two in a row can both look like escapes, so
-    # blocks are walked from their offsets only where escapes occur at all.
+    head = np.arange(len(words))
+    # The word behind an escape is data and may look like anything, so blocks with
+    # escapes are walked from their first word.
     if (selector == ESCAPE).any():
-        bounds = np.append(offsets, len(words))
+        data, bounds = np.zeros(len(words) + 1, dtype=bool), np.append(offsets, len(words))
         for b in np.unique(np.searchsorted(offsets, np.flatnonzero(selector == ESCAPE), side="right") - 1):
             w = int(bounds[b])
             while w < bounds[b + 1]:
-                if selector[w] == ESCAPE:
-                    raw[w + 1] = True
-                    w += 1
-                w += 1
-    head = np.flatnonzero(~raw[:-1])
-    counts = COUNTS[selector[head]]
-    block = np.searchsorted(offsets, head, side="right") - 1
-    done = np.cumsum(counts) - counts
+                data[w + 1] = selector[w] == ESCAPE
+                w += 1 + int(selector[w] == ESCAPE)
+        head = np.flatnonzero(~data[:-1])
+    selector = selector[head]
+    done = np.cumsum(COUNTS[selector]) - COUNTS[selector]
     opening = np.searchsorted(head, offsets)
-    place = block * BLOCK + done - done[opening][block]
-    end = np.minimum((block + 1) * BLOCK, n_ids)
+    per_block = np.diff(np.append(opening, len(head)))
+    block_shift = np.arange(len(offsets)) * ROOM - done[opening]
+    place = done + np.repeat(block_shift, per_block)
+    out = np.zeros(len(offsets) * ROOM, dtype=np.uint64)
     for s in range(len(COUNTS)):
-        pick = np.flatnonzero(selector[head] == s)
+        pick = np.flatnonzero(selector == s)
         if len(pick) == 0 or BITS[s] == 0:
             continue
+        at = place[pick]
         if s == ESCAPE:
-            out[place[pick]] = words[head[pick] + 1]
+            out[at] = words[head[pick] + 1]
             continue
-        field = np.uint64((1 << int(BITS[s])) - 1)
+        word, field = words[head[pick]], np.uint64((1 << int(BITS[s])) - 1)
         for k in range(int(COUNTS[s])):
-            at = place[pick] + k
-            keep = at < end[pick]
-            out[at[keep]] = (words[head[pick[keep]]] >> np.uint64(k * int(BITS[s]))) & field
-    return out[:n_ids]
+            out[at + k] = (word >> np.uint64(k * int(BITS[s]))) & field
+    return out.reshape(-1, ROOM)[:, :BLOCK].reshape(-1)[:n_ids]

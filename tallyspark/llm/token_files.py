@@ -19,7 +19,7 @@ from tallyspark.llm import simple8b
 from tallyspark.llm.common import texts
 from tallyspark.llm.tokens import encoder, vocabulary_path
 
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 17
 SEGMENT = (
     "part int, first long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, offsets binary, words binary"
 )

@@ -13,9 +13,9 @@ import os
 import re
 import sys
 import types
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
 
-import numpy as np
 import regex
 
 # Fixed value: the split pattern of this kind of vocabulary.
@@ -23,7 +23,7 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 # A space inside or at the end of a run of white space: the text cannot be cut before it.
 UNSAFE = r"\s (?:\s|\Z)"
 
-MAX_WORDS = 250_000
+MAX_WORDS = 300_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -33,16 +33,38 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each byte: itself where it prints,
+    else one from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Memory(dict):
+    """Ids by string, computed on first use and kept while there is room."""
+
+    def __init__(self, compute: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.compute, self.room = compute, room
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.compute(key)
+        if len(self) < self.room:
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    At most ``max_words`` pieces and as many parts of them are remembered; what comes
+    At most ``max_words`` pieces and a fifth as many other parts are remembered; what comes
     later is encoded again each time, so memory stays bounded for any corpus.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -56,57 +78,37 @@ class Encoder:
             and spec["model"].get("type") == "BPE"
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.parts = Tokenizer.from_file(path)
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split, self.unsafe = regex.compile(SPLIT), re.compile(UNSAFE)
-        self.max_words = max_words
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.split, self.unsafe = regex.compile(SPLIT).findall, re.compile(UNSAFE).search
+        self.letters = byte_letters()
+        self.model = self.whole.model
+        self.parts = _Memory(self._part, max_words // 5)
+        self.pieces = _Memory(self._piece, max_words)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""
-        texts = list(texts)
-        simple = [
-            self.by_word and not self.unsafe.search(t) and not any(a in t for a in self.added) for t in texts
-        ]
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_word or self.unsafe(text) or any(a in text for a in self.added):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         # Every piece but the first stands for itself with a space before it.
-        cut = [t.split(" ") if s else None for t, s in zip(texts, simple)]
-        new = {w for c in cut if c for w in c[1:]}.difference(self.pieces)
-        first = {c[0] for c in cut if c}
-        late = self._pieces(new, " ", self.pieces)
-        firsts = self._pieces(first, "", None)
-        get = self.pieces.__getitem__ if not late else {**self.pieces, **late}.__getitem__
-        return [
-            firsts[c[0]] + b"".join(map(get, c[1:])) if c else self._ids(self.whole.encode(t, add_special_tokens=False).ids)
-            for c, t in zip(cut, texts)
-        ]
-
-    @staticmethod
-    def _ids(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _pieces(self, words: set[str], before: str, keep: dict[str, bytes] | None) -> dict[str, bytes]:
-        """Ids of ``before`` + word, remembered in ``keep`` while there is room; the rest is returned."""
-        split = {w: self.split.findall(before + w) for w in words}
-        parts = {p for found in split.values() for p in found}
-        fresh = sorted(parts.difference(self.known))
-        late: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, ids in zip(some, self._encode_parts(some)):
-                (self.known if len(self.known) < self.max_words else late)[word] = ids
-        rest: dict[str, bytes] = {}
-        for word, found in split.items():
-            ids = b"".join([self.known[p] if p in self.known else late[p] for p in found])
-            (keep if keep is not None and len(keep) < self.max_words else rest)[word] = ids
-        return rest
-
-    def _encode_parts(self, words: list[str]) -> list[bytes]:
-        done = self.parts.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(done.ids, dtype="<u4")
-        counts = np.bincount(np.array(done.word_ids, dtype=np.int64), minlength=len(words))
-        ends = np.cumsum(counts)
-        return [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
+        first, *rest = text.split(" ")
+        return self._split(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def _split(self, text: str) -> bytes:
+        return self._joined(self.split(text))
+
+    def _joined(self, found: list[str]) -> bytes:
+        # A part that starts with a space is a piece like any other.
+        return b"".join([self.pieces[p[1:]] if p[0] == " " and len(p) > 1 else self.parts[p] for p in found])
+
+    def _piece(self, word: str) -> bytes:
+        found = [" " + word] if word.isalpha() else self.split(" " + word)
+        return self._part(found[0]) if len(found) == 1 else self._joined(found)
+
+    def _part(self, part: str) -> bytes:
+        letters = part.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 def encoder(path: str) -> Encoder:
