@@ -109,13 +109,16 @@ def dedupe_snapshots(staged: DataFrame, known: DataFrame) -> DataFrame:
     return _first_unknown(staged, known, keys, [F.col("source_file"), F.col("id")])
 
 
-def dedupe_periods(staged: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+def dedupe_periods(staged: DataFrame, known: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Period entries that are not loaded yet: an entry is never overwritten.
 
     ``keys`` is (account, period start, period end) for income statements and
-    (account, date) for equity statements.
+    (account, date) for equity statements. Of several entries of a batch the first by
+    ``order`` (the file, where there is one, and the row) is taken.
     """
-    return without_known(staged, known, keys)
+    given = order or [c for c in ("source_file", "id") if c in staged.columns]
+    rest = [c for c in staged.columns if c not in keys and c not in given]
+    return _first_unknown(staged, known, keys, [F.col(c) for c in (*given, *rest)])
 
 
 def append_statements(staged: DataFrame, known: DataFrame) -> DataFrame:

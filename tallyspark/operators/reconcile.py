@@ -49,8 +49,17 @@ def movement_totals(movements: DataFrame, left_out: Column | None = None) -> Dat
     )
 
 
+def _on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on the key as one struct: a file whose account could not be read has a NULL
+    account and still meets its own rows."""
+    with_key = lambda df: df.withColumn("_key", F.struct(*KEY))
+    other = with_key(right).drop(*KEY)
+    joined = with_key(left).drop(*KEY).join(other, "_key", how) if how == "full" else with_key(left).join(other, "_key", how)
+    return joined.select(*[F.col("_key")[c].alias(c) for c in KEY], "*").drop("_key") if how == "full" else joined.drop("_key")
+
+
 def _against(statements: DataFrame, totals: DataFrame) -> DataFrame:
-    joined = statements.join(totals, KEY, "left")
+    joined = _on_key(statements, totals, "left")
     return joined.na.fill(0, ["charges", "credits", "charge_count", "credit_count", "delta"])
 
 
@@ -176,6 +185,58 @@ def check_chain(statements: DataFrame, known_gaps: DataFrame | None = None, tole
     return checks.select(*KEY, "c.check", "c.expected", "c.actual", "c.tolerance", (F.col("c.ok") | F.col("_k")).alias("ok"))
 
 
+def check_chain_in_order(
+    fresh: DataFrame, known: DataFrame, failed: DataFrame, known_gaps: DataFrame | None = None, tolerance: str = CENT
+) -> DataFrame:
+    """The chain for a batch, as if its files came one after the other by name.
+
+    A file of ``fresh`` that is not in ``failed`` meets the registered statement with the
+    latest end on or before its start. Registered are those of ``known`` and the files
+    of the batch that came before and were accepted: a rejected or undated file is nobody's
+    predecessor, so a hole stays visible to every file behind it. Files in ``failed`` get no
+    row. The few statements of an account are folded in one row.
+    """
+    end = "struct<period_end: date, source_file: string, closing: decimal(24,2)>"
+    link = "struct<source_file: string, previous: string, expected: decimal(24,2), actual: decimal(24,2), ok: boolean>"
+    amount = lambda c: F.col(c).cast("decimal(24,2)").alias(c)
+    sound = _on_key(fresh, failed.select(*KEY).distinct(), "left_anti").filter(
+        "account_id is not null and period_start is not null and period_end is not null"
+    )
+    item = F.struct("source_file", "period_start", "period_end", amount("opening"), amount("closing"))
+    batch = sound.groupBy("account_id").agg(F.array_sort(F.collect_list(item)).alias("batch"))
+    dated = known.filter("account_id is not null and period_end is not null")
+    last = dated.groupBy("account_id").agg(
+        F.collect_list(F.struct("period_end", "source_file", amount("closing"))).alias("registered")
+    )
+    rows = batch.join(last, "account_id", "left")
+    if known_gaps is not None:
+        gap = F.struct(F.col("previous_closing").cast("decimal(24,2)").alias("c"), F.col("opening").cast("decimal(24,2)").alias("o"))
+        rows = rows.join(known_gaps.groupBy("account_id").agg(F.collect_set(gap).alias("gaps")), "account_id", "left")
+    else:
+        rows = rows.withColumn("gaps", F.lit(None).cast("array<struct<c: decimal(24,2), o: decimal(24,2)>>"))
+    before = "array_max(filter(acc.registered, r -> r.period_end <= x.period_start))"
+    ok = (
+        f"coalesce(abs({before}.closing - x.opening) <= {tolerance}BD, {before} is null)"
+        f" or coalesce(exists(gaps, g -> g.c = {before}.closing and g.o = x.opening), false)"
+    )
+    folded = F.expr(
+        f"aggregate(batch, struct(cast(coalesce(registered, array()) as array<{end}>) as registered,"
+        f" cast(array() as array<{link}>) as links), (acc, x) -> struct("
+        f"if({ok}, concat(acc.registered, cast(array(struct(x.period_end, x.source_file, x.closing)) as array<{end}>)), acc.registered) as registered,"
+        f" concat(acc.links, cast(array(struct(x.source_file, {before}.source_file, {before}.closing, x.opening, {ok})) as array<{link}>)) as links)).links"
+    )
+    links = rows.select("account_id", F.explode(folded).alias("l")).filter("l.previous is not null")
+    return links.select(
+        "account_id",
+        "l.source_file",
+        F.lit("chain").alias("check"),
+        F.col("l.expected").cast(SUM).alias("expected"),
+        F.col("l.actual").cast(SUM).alias("actual"),
+        F.lit(tolerance).cast("decimal(6,2)").alias("tolerance"),
+        "l.ok",
+    )
+
+
 def itemised_fees(movements: DataFrame, pattern: str) -> DataFrame:
     """Fees that a statement prints both as a row and in its summary."""
     amount = F.col("amount")
@@ -237,12 +298,12 @@ def failed_files(checks: DataFrame) -> DataFrame:
 
 def accept(movements: DataFrame, checks: DataFrame) -> DataFrame:
     """Movements of the files that pass every check."""
-    return movements.join(failed_files(checks), KEY, "left_anti")
+    return _on_key(movements, failed_files(checks), "left_anti")
 
 
 def quarantine(movements: DataFrame, checks: DataFrame) -> DataFrame:
     """Movements of the files with a failed check."""
-    return movements.join(failed_files(checks), KEY, "left_semi")
+    return _on_key(movements, failed_files(checks), "left_semi")
 
 
 def import_report(movements: DataFrame, checks: DataFrame) -> DataFrame:
@@ -251,7 +312,7 @@ def import_report(movements: DataFrame, checks: DataFrame) -> DataFrame:
     failed = checks.groupBy(*KEY).agg(
         F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("check")))).alias("_failed")
     )
-    both = failed.join(counted, KEY, "full")
+    both = _on_key(failed, counted, "full")
     bad = F.coalesce(F.size("_failed"), F.lit(0)) > 0
     return both.select(
         *KEY,

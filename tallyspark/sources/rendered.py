@@ -351,18 +351,20 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A head with the account, the period and the opening balance, a table with two
     lines per ledger row, and a foot with the printed totals. Every 31st account
-    leaves its closing balance out.
+    leaves its closing balance out, every 37th its number, and every 41st prints no
+    end of the period in some months.
     """
     slash = lambda c: F.date_format(c, "dd/MM/yyyy")
     key = F.col("account_id")
     foot = 2**62
+    no_end = (key % 41 == 0) & (F.month("period_start") % 5 == 0)
 
     def line(no: int, *text: Column) -> Column:
         return F.struct(F.lit(no).cast("long").alias("line_no"), F.concat(*text).alias("text"))
 
     frame = F.array(
-        line(0, F.lit("Cuenta: "), key.cast("string")),
-        line(1, F.lit("Periodo: "), slash("period_start"), F.lit(" al "), slash("period_end")),
+        line(0, F.lit("Cuenta: "), F.when(key % 37 == 0, F.lit("sin numero")).otherwise(key.cast("string"))),
+        line(1, F.lit("Periodo: "), slash("period_start"), F.lit(" al "), F.when(no_end, F.lit("--/--/----")).otherwise(slash("period_end"))),
         line(2, F.lit("Saldo Anterior "), printed(F.col("opening"))),
         line(3, F.lit("DETALLE DE MOVIMIENTOS")),
         line(foot, F.lit("TOTAL DE MOVIMIENTOS")),

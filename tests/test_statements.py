@@ -90,3 +90,40 @@ def test_file_without_any_field_keeps_its_row(spark):
     lines = spark.createDataFrame([("x", 0, "nothing")], LDDL)
     row = st.stage_statements(lines, catalog.STATEMENT).first()
     assert row["source_file"] == "x" and len(row["missing"]) == 9
+
+
+MAR = statement("c-mar.pdf", "18/02/2024 al 19/03/2024", "1,040.00", "1,030.00", ["20/FEB 20/FEB SHOP + $10.00"], "10.00", "0.00")
+
+
+def test_rejected_file_is_no_predecessor(load):
+    wrong = [(f, n, t.replace("Cargos 10.00", "Cargos 11.00")) for f, n, t in FEB]
+    out = load(DEC + wrong + MAR)
+    assert report(out) == {"a-dec.pdf": ("ok", 3, None), "b-feb.pdf": ("error", 0, "charges"), "c-mar.pdf": ("error", 0, "chain")}
+    assert [r["source_file"] for r in out.statements.collect()] == ["a-dec.pdf"]
+    again = load(FEB + MAR, out.movements, out.statements)
+    assert {k: v[0] for k, v in report(again).items()} == {"b-feb.pdf": "ok", "c-mar.pdf": "ok"}
+
+
+def test_unreadable_account_brings_nothing(load):
+    nobody = [(f, n, t.replace("Cuenta: 7", "Cuenta: ?")) for f, n, t in FEB]
+    out = load(DEC + nobody)
+    assert report(out) == {"a-dec.pdf": ("ok", 3, None), "b-feb.pdf": ("error", 0, "readable")}
+    assert out.report.count() == 2
+    assert {r["source_file"] for r in out.movements.collect()} == {"a-dec.pdf"} and out.movements.count() == 3
+    assert {r["source_file"] for r in out.quarantined.collect()} == {"b-feb.pdf"}
+    assert [r["source_file"] for r in out.statements.collect()] == ["a-dec.pdf"]
+
+
+def test_undated_file_is_no_predecessor(load):
+    undated = [("0-undated.pdf", n, t.replace("al 18/02/2024", "al --")) for _, n, t in FEB]
+    out = load(undated + DEC)
+    assert report(out) == {"0-undated.pdf": ("error", 0, "readable"), "a-dec.pdf": ("ok", 3, None)}
+
+
+def test_known_gap_is_accepted(spark, load):
+    first = load(DEC)
+    late = statement("c.pdf", "19/01/2024 al 18/02/2024", "999.00", "989.00", ["20/ENE 20/ENE SHOP + $10.00"], "10.00", "0.00")
+    gaps = spark.createDataFrame([(7, D("1050.00"), D("999.00"))], "account_id long, previous_closing decimal(14,2), opening decimal(14,2)")
+    lines = spark.createDataFrame(late, LDDL)
+    out = st.import_statements(lines, catalog.STATEMENT, first.movements, first.statements, gaps)
+    assert report(out) == {"c.pdf": ("ok", 1, None)}
