@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -21,12 +22,15 @@ from tallyspark.operators import (
     statements as st,
     wealth as wl,
 )
-from tallyspark.plans.picks import without_known
-from tallyspark.sources import bindings as b, readers, rendered as r
+from tallyspark.session import checkpoint_dir
+from tallyspark.sources import bindings as b, feeds, readers, rendered as r
+from tallyspark.streaming.ingest import ingest_stream, read_table
 
 AS_OF = "2001-06-15"
 LOADED_BEFORE = "1998-01-01"
 MONTH = "1997-05"
+# Every month of the test tables.
+MONTHS = [f"{year}-{month:02d}" for year in range(1992, 2003) for month in range(1, 13)]
 # Ids of the test tables leave wide gaps: about 16,000 orders per block.
 ID_BLOCK = 2**37
 
@@ -52,6 +56,11 @@ def query(fn: Query) -> Query:
     return run
 
 
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, for what a query writes and reads back."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _base(spark: SparkSession, sf: str, **kw: object) -> DataFrame:
     return rp.monthly_base(b.ledger(spark, sf), b.accounts(spark, sf), b.categories(spark), **kw)
 
@@ -117,7 +126,7 @@ def category_month_matrix(spark, sf):
 @query
 def category_month_view(spark, sf):
     return rp.category_month_view(
-        _base(spark, sf, currency="MXN"), b.categories(spark), ["1996-01", "1997-01", "1998-01"]
+        _base(spark, sf, currency="MXN"), b.categories(spark), MONTHS
     )
 
 
@@ -170,6 +179,16 @@ def export_ledger(spark, sf):
     return rp.export_ledger(b.ledger(spark, sf, text=True), b.accounts(spark, sf), b.categories(spark))
 
 
+@query
+def write_export(spark, sf):
+    """The export as a file set, read back."""
+    path = _fresh_folder(spark, "export")
+    rp.write_export(rp.export_ledger(b.ledger(spark, sf, text=True), b.accounts(spark, sf), b.categories(spark)), path)
+    return spark.read.parquet(path).groupBy("month", "kind", "frequency").agg(
+        F.count("*").alias("rows"), F.sum("amount").alias("amount"), F.max("account").alias("last_account")
+    )
+
+
 @query
 def account_calendar(spark, sf):
     return calendar.account_calendar(b.accounts(spark, sf), AS_OF)
@@ -321,12 +340,54 @@ def append_statements(spark, sf):
 def append_new(spark, sf):
     rows = b.ledger(spark, sf)
     loaded = rows.filter(F.col("date") < F.lit(LOADED_BEFORE).cast("date"))
-    fresh = without_known(rows, loaded, ["account_id", "source_file", "source_row", "id"])
-    return fresh.groupBy(dates.month_key(F.col("date")).alias("month")).agg(
-        F.count("*").alias("rows"), F.sum("amount").alias("amount")
+    path = _fresh_folder(spark, "ledger")
+    added = ingest.append_new(dd.dedupe_positional(rows, loaded), path)
+    written = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    return written.groupBy("month").agg(
+        F.count("*").alias("rows"), F.sum("amount").alias("amount"), F.lit(added).cast("long").alias("added")
     )
 
 
+def _card_folder(spark: SparkSession, sf: str) -> str:
+    """Card rows as CSV files of the feed's layout, some of which hold a date that is none."""
+    rows, path = r.card_rows(spark, sf), _fresh_folder(spark, "cards")
+    printed = [c if c in rows.columns else None for c in readers.CARD_COLUMNS]
+    cells = [F.col(f"`{c}`") if c else F.lit("").alias(n) for c, n in zip(printed, readers.CARD_COLUMNS)]
+    rows.select(*cells).write.option("header", True).option("emptyValue", "").csv(path)
+    broken = b.table(spark, sf, "region").select(
+        *[(F.col("r_name") if c == "Fecha de Compra" else F.lit("1.00")).alias(c) for c in readers.CARD_COLUMNS]
+    )
+    broken.coalesce(1).write.mode("append").option("header", True).csv(path)
+    return path
+
+
+@query
+def ingest_feed_rows(spark, sf):
+    rows, _ = feeds.ingest_feed(spark, "card", _card_folder(spark, sf))
+    return rows.groupBy("date").agg(
+        F.count("*").alias("rows"), F.sum("amount").alias("amount"), F.count("external_ref").alias("with_reference")
+    )
+
+
+@query
+def ingest_feed_status(spark, sf):
+    """Files are named by the writer, so they are added up by their state."""
+    _, status = feeds.ingest_feed(spark, "card", _card_folder(spark, sf))
+    return status.groupBy("status", "error").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def ingest_stream_rows(spark, sf):
+    """Staged rows as a stream of files, loaded twice: the second time adds nothing."""
+    inbox, path = _fresh_folder(spark, "inbox"), _fresh_folder(spark, "stream")
+    staged = schema.align_schema(b.ledger(spark, sf), schema.TRANSACTION)
+    staged.filter(F.col("external_ref").isNotNull()).write.parquet(inbox)
+    for run in ("first", "second"):
+        source = spark.readStream.schema(staged.schema).parquet(inbox)
+        ingest_stream(source, path, f"{path}-{run}", dd.dedupe_by_reference).awaitTermination()
+    return read_table(spark, path).groupBy("account_id").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
+
+
 @query
 def upsert_dimension(spark, sf):
     known = b.accounts(spark, sf)
@@ -813,7 +874,7 @@ def table_region_once(spark, sf):
 @query
 def fill_dates(spark, sf):
     rows = b.ledger(spark, sf).withColumn("printed", F.when(~F.col("source_row").isin(2, 5), F.col("date")))
-    filled = ex.fill_dates(rows, ["account_id"], "id", F.col("printed"), ID_BLOCK)
+    filled = ex.fill_dates(rows, ["account_id"], "id", F.col("printed"), ID_BLOCK, ["date", "amount"])
     return filled.select("id", "account_id", "printed", "filled_date")
 
 
@@ -869,8 +930,8 @@ def column_streams(spark, sf):
 
 @query
 def headerless_page_end(spark, sf):
-    words = r.document_words(spark, sf).withColumn("text", F.lower(F.substring("text", 1, 1)))
-    kept = ex.end_at_headerless_page(words, ["a", "e"])
+    words = r.document_words(spark, sf).withColumn("text", F.lower("text"))
+    kept = ex.end_at_headerless_page(words, ["the", "of"])
     return kept.groupBy("source_file").agg(F.count("*").alias("n_words"), F.max("page").alias("last_page"))
 
 

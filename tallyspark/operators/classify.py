@@ -19,7 +19,6 @@ from tallyspark.functions.text import fold_accents, haystack, matches
 from tallyspark.operators.reports import is_spend
 from tallyspark.plans.small import small
 
-MAX_RULES = 5_000
 
 
 @dataclass(frozen=True)
@@ -58,10 +57,10 @@ class Rule:
         )
 
 
-def rules_from_table(rules: DataFrame, limit: int = MAX_RULES) -> list[Rule]:
-    """Read a rule table, whose size is checked, into rules."""
-    rows = rules.limit(limit + 1).collect()
-    if len(rows) > limit:
+def rules_from_table(rules: DataFrame, limit: int | None = None) -> list[Rule]:
+    """Read a rule table into rules; with ``limit``, a longer one is an error."""
+    rows = (rules if limit is None else rules.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} rules")
     names = set(Rule.__dataclass_fields__)
     out = []
@@ -153,17 +152,12 @@ def matched_category(rules: Sequence[Rule]) -> Column:
 def category_ids(rules: Iterable[Rule], categories: DataFrame) -> dict[str, int]:
     """Ids of the categories that the rules name (at most one per rule).
 
-    Names are looked up alone, so a name that two categories share is an error.
-    A name that does not exist is absent.
+    Of categories that share a name the one with the greatest id counts. A name that
+    does not exist is absent.
     """
     wanted = sorted({r.category for r in rules})
-    rows = (
-        categories.filter(F.col("name").isin(*wanted)).select("category_id", "name").limit(2 * len(wanted) + 1).collect()
-    )
-    names = [r["name"] for r in rows]
-    twice = sorted({n for n in names if names.count(n) > 1})
-    if twice:
-        raise ValueError(f"ambiguous category names: {twice}")
+    named = categories.filter(F.col("name").isin(*wanted)).groupBy("name").agg(F.max("category_id").alias("category_id"))
+    rows = named.collect()
     return {r["name"]: r["category_id"] for r in rows}
 
 

@@ -255,11 +255,13 @@ def end_at_headerless_page(words: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def fill_dates(rows: DataFrame, group: list[str], row_no: str, date: Column, block: int = BLOCK) -> DataFrame:
+def fill_dates(
+    rows: DataFrame, group: list[str], row_no: str, date: Column, block: int = BLOCK, ties: list[str] | None = None
+) -> DataFrame:
     """Add ``filled_date``: the row's date, else the last one before it; rows with
-    none at all keep NULL and belong in quarantine."""
+    none at all keep NULL and belong in quarantine. ``ties`` order rows of one number."""
     blocked = rows.withColumn("_block", block_of(F.col(row_no), block))
-    return carry_forward(blocked, group, "_block", [row_no], date, "filled_date").drop("_block")
+    return carry_forward(blocked, group, "_block", [row_no, *(ties or [])], date, "filled_date").drop("_block")
 
 
 def period_from_labels(docs: DataFrame, pattern: str, kind: str) -> DataFrame:

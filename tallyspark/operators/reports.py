@@ -25,7 +25,6 @@ from tallyspark.functions.text import (
 )
 from tallyspark.plans.small import only_named, small
 
-MAX_CATEGORIES = 10_000
 
 
 def in_dates(df: DataFrame, date_from: date | str | None = None, date_to: date | str | None = None) -> DataFrame:
@@ -206,27 +205,18 @@ def month_breakdown(base: DataFrame, month: str) -> DataFrame:
     )
 
 
-def _category_names(categories: DataFrame) -> list[str]:
-    """Expense names of the category dimension, which must stay a small table."""
-    names = (
-        categories.filter(F.col("kind") == "expense").select("name").distinct().limit(MAX_CATEGORIES + 1).collect()
-    )
-    if len(names) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} expense categories")
-    return sorted(r.name for r in names)
-
-
 def category_month_cells(base: DataFrame, categories: DataFrame) -> DataFrame:
     """Every category in every month of an owner and currency; empty cells are 0."""
-    names = _category_names(categories) + [UNCATEGORISED]
+    keys = ["owner_id", "currency", "month"]
     kind, tag = F.col("kind"), F.col("spend_frequency")
     label = F.when(kind == "expense", F.col("category")).when(_uncategorised(), F.lit(UNCATEGORISED))
-    months = (
-        base.filter(kind.isin("income", "expense") | _uncategorised() | tag.isNotNull())
-        .groupBy("owner_id", "currency", "month")
-        .agg(*[_sum_where(label == n, -1).alias(n) for n in names])
-    )
-    return months.unpivot(["owner_id", "currency", "month"], names, "category", "amount")
+    seen = base.filter(kind.isin("income", "expense") | _uncategorised() | tag.isNotNull())
+    expense = categories.filter((F.col("kind") == "expense") & F.col("name").isNotNull())
+    names = expense.agg(F.array_union(F.collect_set("name"), F.array(F.lit(UNCATEGORISED))).alias("names"))
+    grid = seen.select(*keys).distinct().select(*keys, F.explode(names.scalar()).alias("category"))
+    spent = base.filter(label.isNotNull()).groupBy(*keys, label.alias("category")).agg((-F.sum("amount")).alias("amount"))
+    cells = grid.join(spent, [*keys, "category"], "left")
+    return cells.select(*keys, "category", F.coalesce("amount", F.lit(0)).cast(SUM).alias("amount"))
 
 
 def category_month_matrix(base: DataFrame, categories: DataFrame) -> DataFrame:

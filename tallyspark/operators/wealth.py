@@ -188,7 +188,7 @@ def net_worth(balances: DataFrame) -> DataFrame:
 
 
 def running_balance(ledger: DataFrame, anchors: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """Balance of an account after each of its transactions, by date and id.
+    """Balance of an account after each of its transactions, by date, id and amount.
 
     ``anchors`` (``account_id, opening``) holds opening balances, one per account.
     Days cut an account, blocks of ids cut a day, so neither a hot account nor a
@@ -196,7 +196,7 @@ def running_balance(ledger: DataFrame, anchors: DataFrame | None = None, block:
     gaps need a wider one.
     """
     rows = ledger.withColumn("_block", block_of(F.col("id"), block))
-    summed = running_sum(rows, ["account_id"], ["date", "_block"], ["id"], F.col("amount").cast(SUM), "_run")
+    summed = running_sum(rows, ["account_id"], ["date", "_block"], ["id", "amount"], F.col("amount").cast(SUM), "_run")
     if anchors is None:
         return summed.withColumn("balance", F.col("_run").cast(SUM)).drop("_run", "_block")
     joined = summed.join(anchors.select("account_id", "opening"), "account_id", "left")

@@ -207,9 +207,10 @@ ORACLE["category_month_matrix"] = (
 )
 ORACLE["category_month_view"] = _MATRIX + """
 SELECT owner_id, 'MXN' AS currency, category,
-  CAST(coalesce(sum(amount) FILTER (month = '1996-01'), 0) AS DOUBLE) AS "1996-01",
-  CAST(coalesce(sum(amount) FILTER (month = '1997-01'), 0) AS DOUBLE) AS "1997-01",
-  CAST(coalesce(sum(amount) FILTER (month = '1998-01'), 0) AS DOUBLE) AS "1998-01",
+  """ + " ".join(
+    f"""CAST(coalesce(sum(amount) FILTER (month = '{y}-{m:02d}'), 0) AS DOUBLE) AS "{y}-{m:02d}","""
+    for y in range(1992, 2003) for m in range(1, 13)
+) + """
   CAST(coalesce(sum(amount) FILTER (month = 'Total'), 0) AS DOUBLE) AS "Total"
 FROM matrix GROUP BY ALL"""
 ORACLE["category_month_lookup"] = _BASE + """
@@ -249,6 +250,12 @@ SELECT l.id, l.date, strftime(l.date, '%Y-%m') AS month, a.name AS account, a.in
   CASE l.spend_frequency WHEN 'fijo' THEN 'Fijo' WHEN 'variable' THEN 'Variable' ELSE '' END AS frequency, l.source_file
 FROM ledger l JOIN account a USING (account_id) LEFT JOIN category c USING (category_id)"""
 
+ORACLE["write_export"] = (
+    "SELECT month, kind, frequency, count(*) AS rows, sum(amount) AS amount, max(account) AS last_account FROM ("
+    + ORACLE["export_ledger"] + ") GROUP BY ALL"
+)
+
+
 def _cutoff(as_of: str, day: str) -> str:
     first = f"CAST(date_trunc('month', {as_of}) AS DATE)"
     here = f"({first} + CAST(least({day}, day(last_day({first}))) - 1 AS INTEGER))"
@@ -453,8 +460,18 @@ _CHECK = _CHECK_COLUMNS.format(ok="ok")
 ORACLE["append_statements"] = _STATEMENTS + f"""
 SELECT account_id, source_file, {_d('opening', 'closing')} FROM statement WHERE period_end >= DATE '1998-01-01'"""
 ORACLE["append_new"] = _TABLES + """
-SELECT strftime(date, '%Y-%m') AS month, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
-FROM ledger WHERE date >= DATE '1998-01-01' GROUP BY 1"""
+SELECT strftime(date, '%Y-%m') AS month, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount,
+  CAST(sum(count(*)) OVER () AS BIGINT) AS added
+FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger k WHERE k.date < DATE '1998-01-01' AND k.account_id = l.account_id
+  AND k.source_file = l.source_file AND k.source_row = l.source_row) GROUP BY 1"""
+ORACLE["ingest_feed_rows"] = _TABLES + """
+SELECT date, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount, count(external_ref) AS with_reference FROM ledger GROUP BY 1"""
+ORACLE["ingest_feed_status"] = _TABLES + """
+SELECT 'ok' AS status, NULL AS error, count(*) AS rows FROM ledger
+UNION ALL SELECT 'error', 'unreadable: date', 0"""
+ORACLE["ingest_stream_rows"] = _TABLES + """
+SELECT account_id, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
+FROM (SELECT DISTINCT account_id, external_ref, date, amount FROM ledger WHERE external_ref IS NOT NULL) GROUP BY 1"""
 ORACLE["upsert_dimension"] = "WITH " + _ACCOUNT + """,
 incoming AS (SELECT 'Customer#' || lpad(CAST(s_suppkey * 20 AS VARCHAR), 9, '0') AS name, s_suppkey + 1000000 AS account_id,
   CAST(s_suppkey % 28 + 1 AS INTEGER) AS cutoff, s_suppkey % 2 = 0 AS card FROM supplier)
@@ -625,7 +642,7 @@ SELECT s_suppkey AS account_id, CAST(principal AS DOUBLE) AS initial_investment,
   round(CAST(paid AS DOUBLE) / months / CAST(principal AS DOUBLE) * 100, 3) AS average_monthly_return_pct
 FROM (SELECT s_suppkey, abs(CAST(s_acctbal AS DECIMAL(14,2))) + 1000 AS principal FROM supplier)
 LEFT JOIN (SELECT account_id, count(*) AS months, sum(proportional_income) AS paid FROM alt GROUP BY 1) ON account_id = s_suppkey"""
-_RUN = "CAST({opening} + sum(amount) OVER (PARTITION BY account_id ORDER BY date, id) AS DOUBLE) AS balance"
+_RUN = "CAST({opening} + sum(amount) OVER (PARTITION BY account_id ORDER BY date, id, amount ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance"
 ORACLE["running_balance"] = _TABLES + f"""
 SELECT id, account_id, date, CAST(amount AS DOUBLE) AS amount, {_RUN.format(opening='0')} FROM ledger"""
 ORACLE["running_balance_anchored"] = _TABLES + f"""
@@ -754,8 +771,9 @@ ended AS (SELECT m.source_file, min(line_no) AS off_line FROM marked m JOIN begu
 SELECT source_file, count(*) AS n_lines, max(line_no) AS last_line FROM state LEFT JOIN ended USING (source_file)
 WHERE state = 'on' AND mark IS NULL AND (off_line IS NULL OR line_no < off_line) GROUP BY 1"""
 ORACLE["fill_dates"] = _TABLES + """,
-p AS (SELECT id, account_id, CASE WHEN source_row NOT IN (2, 5) THEN date END AS printed FROM ledger)
-SELECT *, last_value(printed IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY id) AS filled_date FROM p"""
+p AS (SELECT id, account_id, date, amount, CASE WHEN source_row NOT IN (2, 5) THEN date END AS printed FROM ledger)
+SELECT id, account_id, printed, last_value(printed IGNORE NULLS) OVER
+  (PARTITION BY account_id ORDER BY id, date, amount ROWS UNBOUNDED PRECEDING) AS filled_date FROM p"""
 ORACLE["statement_period"] = f"""
 WITH o AS (SELECT *, {_DAY} AS d FROM orders),
 f AS (SELECT *, 'o' || o_orderkey || '.txt-' || upper(substr({_MONTHS_FULL}[month(d)], 1, 1)) || substr({_MONTHS_FULL}[month(d)], 2) AS source_file FROM o)
@@ -790,7 +808,7 @@ SELECT source_file, page, CASE WHEN x0 < 40 THEN 'left' WHEN x0 < 90 THEN 'mid'
   md5(string_agg(text, ' ' ORDER BY base + off, x0, line_no)) AS text_md5
 FROM words GROUP BY ALL"""
 ORACLE["headerless_page_end"] = _WORDS + """,
-pages_ AS (SELECT source_file, page, count(*) AS n, bool_or(lower(substr(text, 1, 1)) = 'a') AND bool_or(lower(substr(text, 1, 1)) = 'e') AS has
+pages_ AS (SELECT source_file, page, count(*) AS n, bool_or(lower(text) = 'the') AND bool_or(lower(text) = 'of') AS has
   FROM words GROUP BY ALL),
 firsts AS (SELECT source_file, min(page) AS f FROM pages_ WHERE has GROUP BY 1),
 stops AS (SELECT p.source_file, min(page) AS s FROM pages_ p JOIN firsts USING (source_file) WHERE NOT has AND page > f GROUP BY 1)

@@ -31,11 +31,10 @@ def only_named(rows: DataFrame, key: str, named: DataFrame, name: str, value: st
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table out to all cores if it has fewer splits than that.
+    """Deal the rows of a table of a single split out to all cores.
 
     A small file with one row group is one task, which costs more than the shuffle
-    when each row is expensive (patterns, parsing). Big tables have splits enough
-    and pass through untouched.
+    when each row is expensive (patterns, parsing). A split has a bounded size
+    (``spark.sql.files.maxPartitionBytes``), so no more than that is ever dealt out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df

@@ -38,11 +38,11 @@ RULES = (
     Rule(501, 5, 1, "Salary", r"cold (rod|plate)"),
     Rule(601, 6, 1, "Travel", r"Brand#12 red widget"),
     Rule(
-        602, 6, 2, "Travel", r"blue widget|\bTKT\b",
+        602, 6, 2, "Travel", r"blue widget|\bZORK\b",
         valid_from=date(1997, 4, 1), valid_until=date(1997, 8, 31), abs_amount=Decimal("50000.00"),
     ),
     Rule(701, 7, 1, "Travel", r"hot gizmo", sign=1),
-    Rule(801, 8, 1, "Housing", r"Brand#2\b", pattern2=r"bolt|anvil|\b1RA\b", valid_from=date(1996, 8, 1)),
+    Rule(801, 8, 1, "Housing", r"Brand#2\b", pattern2=r"bolt|anvil|\b9ZQ\b", valid_from=date(1996, 8, 1)),
     Rule(901, 9, 1, "Health", r"large bolt", valid_from=date(1996, 1, 1), valid_until=date(1998, 12, 31)),
     Rule(902, 9, 2, "Dining", r"large bolt", valid_from=date(1998, 6, 1)),
     Rule(1001, 10, 1, "Transport", r"Brand#15 .*plate"),

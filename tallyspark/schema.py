@@ -23,7 +23,7 @@ CATEGORY = ("category_id long, name string, kind string, nature string, parent_i
 TRANSACTION = (
     "id long, account_id long, date date, amount decimal(14,2), currency string, description string,"
     " category_id long, spend_frequency string, benefit_tag string, external_ref string,"
-    " source_file string, source_row int, raw_description string"
+    " source_file string, source_row int, raw_description string, quantity decimal(24,8)"
 )
 HOLDING_SNAPSHOT = (
     "id long, account_id long, date date, sub_portfolio string, market_value decimal(14,2),"

@@ -2,7 +2,9 @@
 
 A feed maps file extensions to a staging function ``(spark, path) -> movements``.
 Files with another extension are skipped. A file whose rows cannot be read in
-full is reported with its errors and contributes no row; the others go on.
+full is reported with its errors and contributes no row; the others go on. Every
+file of the feed is reported, also one without a row. Units of symbol currencies
+keep eight decimals in ``quantity``.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyspark.functions.text import file_extension, file_name
 from tallyspark.sources import readers
 
 Stage = Callable[[SparkSession, str], DataFrame]
 
 STAGED = (
     "source_file string, source_row int, date date, amount decimal(14,2), currency string,"
-    " description string, external_ref string, raw_description string"
+    " description string, external_ref string, raw_description string, quantity decimal(24,8)"
 )
 
 
@@ -27,7 +30,8 @@ def _card_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _sectioned_csv(spark: SparkSession, path: str) -> DataFrame:
     texts = readers.read_texts(spark, path, "*.[cC][sS][vV]", "ISO-8859-1")
-    return readers.stage_sectioned_movements(texts, "Fecha").withColumn("amount", F.col("units").cast("decimal(14,2)"))
+    rows = readers.stage_sectioned_movements(texts, "Fecha").withColumn("quantity", F.col("units"))
+    return rows.withColumn("amount", F.col("units").cast("decimal(14,2)"))
 
 
 def _xml(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +52,7 @@ def stage_feed(spark: SparkSession, feed: str, path: str) -> DataFrame:
     out = None
     for stage in FEEDS[feed].values():
         rows = stage(spark, path)
-        for name in ("source_row", "currency", "external_ref", "raw_description"):
+        for name in ("source_row", "currency", "external_ref", "raw_description", "quantity"):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None))
         cast = [F.expr(f"cast(`{f.split()[0]}` as {f.split()[1]})").alias(f.split()[0]) for f in STAGED.split(", ")]
@@ -66,17 +70,26 @@ def _problems() -> Column:
     )
 
 
-def file_status(staged: DataFrame) -> DataFrame:
-    """Per file: rows and the fields that could not be read somewhere in it."""
+def feed_files(spark: SparkSession, feed: str, path: str) -> DataFrame:
+    """Names of the files of a folder that belong to the feed; contents are not read."""
+    listed = spark.read.format("binaryFile").load(path).select(file_name(F.col("path")).alias("source_file"))
+    return listed.filter(F.lower(file_extension(F.col("source_file"))).isin(*FEEDS[feed]))
+
+
+def file_status(staged: DataFrame, files: DataFrame) -> DataFrame:
+    """Per file of ``files``: rows and the fields that could not be read somewhere in it."""
     rows = staged.select("source_file", _problems().alias("_p"))
+    found = rows.groupBy("source_file").agg(
+        F.count("*").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_p")))).alias("_bad")
+    )
+    bad = F.coalesce(F.size("_bad"), F.lit(0)) > 0
     return (
-        rows.groupBy("source_file")
-        .agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_p")))).alias("_bad"))
+        files.join(found, "source_file", "left")
         .select(
             "source_file",
-            F.when(F.size("_bad") > 0, "error").otherwise("ok").alias("status"),
-            F.when(F.size("_bad") > 0, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("rows"),
-            F.when(F.size("_bad") > 0, F.concat(F.lit("unreadable: "), F.array_join("_bad", ", "))).alias("error"),
+            F.when(bad, "error").otherwise("ok").alias("status"),
+            F.when(bad, F.lit(0)).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("rows"),
+            F.when(bad, F.concat(F.lit("unreadable: "), F.array_join("_bad", ", "))).alias("error"),
         )
         .orderBy("source_file")
     )
@@ -86,4 +99,4 @@ def ingest_feed(spark: SparkSession, feed: str, path: str) -> tuple[DataFrame, D
     """Rows of the readable files of a folder and the status of every file."""
     staged = stage_feed(spark, feed, path)
     bad = staged.filter(F.size(_problems()) > 0).select("source_file").distinct()
-    return staged.join(bad, "source_file", "left_anti"), file_status(staged)
+    return staged.join(bad, "source_file", "left_anti"), file_status(staged, feed_files(spark, feed, path))

@@ -46,10 +46,10 @@ def test_missing_category_does_not_fall_through(spark, cats):
     assert run(rows(spark, {"text": "shop"}), rules, cats) == [None]
 
 
-def test_ambiguous_name_is_an_error(spark, cats):
+def test_of_equal_names_the_last_category_counts(spark, cats):
     twice = cats.unionByName(spark.createDataFrame([(9, "Food", "income", None, None)], schema.CATEGORY))
-    with pytest.raises(ValueError):
-        cl.classify(rows(spark, {"text": "shop"}), [Rule(1, 1, 1, "Food", "shop")], twice)
+    out = cl.classify(rows(spark, {"text": "shop"}), [Rule(1, 1, 1, "Food", "shop")], twice)
+    assert [r["category_id"] for r in out.collect()] == [9]
 
 
 def test_anchored_rule_never_hits_without_raw_text(spark, cats):

@@ -115,6 +115,21 @@ def test_periods_are_never_overwritten(spark):
     assert [r["net"] for r in out] == [7]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_period_entries_equal_sequential_import(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randint(1, 3), date(2024, 1, rng.randint(1, 4)), f"f{rng.randint(1, 3)}") for i in range(40)]
+    known = rows[:5]
+    seen, kept = {(r[1], r[2]) for r in known}, []
+    for r in sorted(rows[5:], key=lambda r: (r[3], r[0])):
+        if (r[1], r[2]) not in seen:
+            seen.add((r[1], r[2]))
+            kept.append(r[0])
+    ddl = "id long, account_id long, date date, source_file string"
+    out = dd.dedupe_periods(spark.createDataFrame(rows[5:], ddl), spark.createDataFrame(known, ddl), ["account_id", "date"])
+    assert sorted(r["id"] for r in out.collect()) == sorted(kept)
+
+
 def test_upsert_refreshes_only_listed_columns(spark):
     old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "name string, bank string, day int")
     new = spark.createDataFrame([("a", "z", 9), ("c", "w", 3)], "name string, bank string, day int")
@@ -229,6 +244,7 @@ def test_card_feed_folder(spark, tmp_path):
     write(tmp_path / "b.CSV", "\n".join([CARD_HEADER, card_line("03 Jan 2024", "two\nlines", "-7.00", "")]))
     write(tmp_path / "bad.csv", "\n".join([CARD_HEADER, card_line("not a date", "x", "1", ""), good[0]]))
     write(tmp_path / "note.txt", "ignored")
+    write(tmp_path / "none.csv", CARD_HEADER)
     rows, status = feeds.ingest_feed(spark, "card", str(tmp_path))
     got = {(r["source_file"], r["source_row"]): r for r in rows.collect()}
     assert sorted(got) == [("a.csv", 0), ("a.csv", 1), ("a.csv", 2), ("b.CSV", 0)]
@@ -237,10 +253,18 @@ def test_card_feed_folder(spark, tmp_path):
     assert got[("b.CSV", 0)]["amount"] == D("7.00") and got[("b.CSV", 0)]["external_ref"] is None
     assert "SHOP 1" in first["raw_description"]
     assert [(r["source_file"], r["status"], r["rows"]) for r in status.collect()] == [
-        ("a.csv", "ok", 3), ("b.CSV", "ok", 1), ("bad.csv", "error", 0),
+        ("a.csv", "ok", 3), ("b.CSV", "ok", 1), ("bad.csv", "error", 0), ("none.csv", "ok", 0),
     ]
 
 
+def test_units_keep_eight_decimals(spark, tmp_path):
+    text = "\r\n".join(["Fecha,Op,,Activo,Sim,Uni,,Fiat", "05/08/2024,Compra,,Bitcoin,BTC,0.00123456,,1.00 USD", "Fecha,Op"])
+    write(tmp_path / "r.csv", text, "latin-1")
+    rows, status = feeds.ingest_feed(spark, "exchange", str(tmp_path))
+    assert [(r["quantity"], r["currency"]) for r in rows.collect()] == [(D("0.00123456"), "BTC")]
+    assert [(r["status"], r["rows"]) for r in status.collect()] == [("ok", 1)]
+
+
 def test_card_rows_keep_their_number_when_a_file_is_split(spark, tmp_path):
     lines = [card_line("02 Jan 2024", f"SHOP {i}", f"{i}.00", "") for i in range(400)]
     write(tmp_path / "big.csv", "\n".join([CARD_HEADER, *lines]))
