@@ -261,6 +261,17 @@ def rule_audit(spark, sf):
     return cl.rule_audit(_unclassified(spark, sf), rulebook.RULES)
 
 
+@query
+def classify_many_rules(spark, sf):
+    out = cl.classify(b.ledger(spark, sf, text=True).withColumn("category_id", F.lit(None).cast("long")), rulebook.MANY_RULES, b.categories(spark))
+    return out.select("id", "category_id")
+
+
+@query
+def rule_audit_many(spark, sf):
+    return cl.rule_audit(_unclassified(spark, sf), rulebook.MANY_RULES)
+
+
 # --- Dedupe and ingest -------------------------------------------------------
 
 

@@ -136,12 +136,46 @@ def merged(rules: Sequence[Rule]) -> list[Rule]:
     return out
 
 
+#: Rules that one combined pattern stands before.
+RUN = 16
+
+
+def _runs(rules: Sequence[Rule]) -> list[list[Rule]]:
+    """Neighbours that can share a guard: a row that their patterns joined by "or" do not
+    match is hit by none of them."""
+    out: list[list[Rule]] = []
+    for rule in rules:
+        guarded = rule.pattern is not None and rule.abs_amount is None
+        last = out[-1][-1] if out else None
+        joins = last is not None and last.pattern is not None and last.abs_amount is None and last.fold == rule.fold
+        if guarded and joins and len(out[-1]) < RUN:
+            out[-1].append(rule)
+        else:
+            out.append([rule])
+    return out
+
+
+def _guard(run: Sequence[Rule]) -> Column:
+    """Whether any rule of a run can hit. One pattern costs one reading of the text."""
+    if len(run) == 1:
+        return F.lit(True)
+    words = F.col(_FOLDED if run[0].fold else _TEXT)
+    return F.coalesce(matches(words, "|".join(f"(?:{r.pattern})" for r in run)), F.lit(False))
+
+
 def _first_hit(rules: Sequence[Rule], result) -> Column:
-    chain = None
-    for rule in merged(rules):
-        hit, value = condition(rule), result(rule)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return F.lit(None) if chain is None else chain
+    listed = merged(rules)
+    if not listed:
+        return F.lit(None)
+    found = []
+    for run in _runs(listed):
+        chain = None
+        for rule in run:
+            # In a struct, as a rule may give NULL and still end the search.
+            value = F.struct(result(rule).alias("v"))
+            chain = F.when(condition(rule), value) if chain is None else chain.when(condition(rule), value)
+        found.append(chain if len(run) == 1 else F.when(_guard(run), chain))
+    return F.coalesce(*found)["v"]
 
 
 def matched_category(rules: Sequence[Rule]) -> Column:
@@ -261,7 +295,10 @@ def rule_audit(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     listed = ordered(rules)
     open_rows = with_text(ledger.filter(F.col("category_id").isNull()), listed)
-    hits = open_rows.select(*[condition(r).alias(f"_h{i}") for i, r in enumerate(listed)])
+    runs = _runs(listed)
+    guards = open_rows.select("*", *[_guard(run).alias(f"_g{k}") for k, run in enumerate(runs)])
+    guard_of = [k for k, run in enumerate(runs) for _ in run]
+    hits = guards.select(*[(F.col(f"_g{k}") & condition(r)).alias(f"_h{i}") for i, (r, k) in enumerate(zip(listed, guard_of))])
     first = F.when(F.col("_h0"), 0)
     for i in range(1, len(listed)):
         first = first.when(F.col(f"_h{i}"), i)

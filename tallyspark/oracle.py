@@ -357,19 +357,23 @@ SELECT count(*) FILTER (old_category IS NULL AND is_transfer) AS transfers_class
   count(*) FILTER (old_category IS NULL AND NOT is_transfer AND category_id IS NOT NULL) AS merchants_classified,
   count(*) FILTER (spend_frequency IS NULL AND new_tag IS NOT NULL) AS spend_frequency_tagged
 FROM tagged"""
-_HITS = "[x for x in [" + ", ".join(
-    f"CASE WHEN {_rule(r)} THEN {r.rule_id} END" for r in rulebook.RULES
-) + "] if x IS NOT NULL]"
-_RULE_ROWS = ", ".join(f"({r.rule_id}, {_q(r.category)})" for r in rulebook.RULES)
-ORACLE["rule_audit"] = _TABLES + f""",
-rules(rule_id, category) AS (VALUES {_RULE_ROWS}),
-hits AS (SELECT {_HITS} AS h FROM ledger),
+def _audit(rules) -> str:
+    hits = ", ".join(f"CASE WHEN {_rule(r)} THEN {r.rule_id} END" for r in rules)
+    listed = ", ".join(f"({r.rule_id}, {_q(r.category)})" for r in rules)
+    return _TABLES + f""",
+rules(rule_id, category) AS (VALUES {listed}),
+hits AS (SELECT [x for x in [{hits}] if x IS NOT NULL] AS h FROM ledger),
 every AS (SELECT unnest(h) AS rule_id, count(*) AS n FROM hits GROUP BY 1),
 firsts AS (SELECT h[1] AS rule_id, count(*) AS n FROM hits WHERE len(h) > 0 GROUP BY 1)
 SELECT r.rule_id, r.category, coalesce(e.n, 0) AS any_hits, coalesce(f.n, 0) AS first_hits,
   coalesce(e.n, 0) = 0 AS zero_hit, coalesce(e.n, 0) > 0 AND coalesce(f.n, 0) = 0 AS shadowed
 FROM rules r LEFT JOIN every e USING (rule_id) LEFT JOIN firsts f USING (rule_id)"""
 
+
+ORACLE["rule_audit"] = _audit(rulebook.RULES)
+ORACLE["rule_audit_many"] = _audit(rulebook.MANY_RULES)
+ORACLE["classify_many_rules"] = _TABLES + f" SELECT id, {_named(_first_rule(rulebook.MANY_RULES))} AS category_id FROM ledger"
+
 # --- Dedupe and ingest -------------------------------------------------------
 
 _FEED = """WITH feed AS (

@@ -12,21 +12,6 @@ HOLDER_EXCLUDED = ("Customer#000000007", "Customer#000000011", "Customer#0000001
 TRANSFER_CATEGORY = "Own transfer"
 FIXED_PATTERNS = (r"\bring$", r"Brand#1\d (old|new)", r"cold g")
 
-STAGES = {
-    1: "own payments and refunds",
-    2: "events",
-    3: "transfers to investment accounts",
-    4: "contributions to investments",
-    5: "income",
-    6: "event memos inside a window",
-    7: "trip refunds",
-    8: "shared rent by counterparty and memo",
-    9: "dated counterparties",
-    10: "known counterparties",
-    11: "rent",
-    12: "merchants",
-}
-
 RULES = (
     Rule(101, 1, 1, "Card payment", r"Brand#1\b.*ring"),
     Rule(102, 1, 2, "Card payment", r"Brand#3\b.*ring"),
@@ -59,4 +44,10 @@ RULES = (
     Rule(1210, 12, 10, "Transport", r"widget"),
 )
 
+# A long rule book: neighbours name different categories, so none of them merge.
+MANY_RULES = tuple(
+    Rule(5000 + k, 12, k, ("Travel", "Dining", "Groceries", "Transport", "Health")[k % 5], rf"Brand#{1 + k // 8}\b.*{noun}")
+    for k, noun in enumerate(("ring", "rod", "plate", "gear", "bolt", "anvil", "widget", "gizmo") * 30)
+)
+
 DATED_RULES = tuple(r for r in RULES if r.stage in (6, 7, 8, 9))
