@@ -30,7 +30,7 @@ MISS = 1e-5
 SIGNATURE = 1024
 LOW_BITS = 2
 SIGMAS = 4
-BLOCK = 128
+BLOCK = 256
 #: Partners of a node in a block, from which place to which, by round.
 ROUNDS = ((0, 2), (2, 16), (16, BLOCK))
 MAX_BROADCAST = 2_000_000
