@@ -31,8 +31,8 @@ SIGNATURE = 1024
 LOW_BITS = 2
 SIGMAS = 4
 BLOCK = 256
-#: Partners of a node in a block, from which place to which, by round.
-ROUNDS = ((0, 2), (2, 16), (16, BLOCK))
+#: Likeliest partners of a node in a block that are tried, by round; in the last one all.
+ROUNDS = (2, 16, None)
 MAX_BROADCAST = 2_000_000
 
 
@@ -231,8 +231,8 @@ def _blocks(members: DataFrame, group: Grouping, hubs: DataFrame) -> DataFrame:
     return everyone.select(*columns, F.lit(False).alias("small")).unionByName(few.select(*columns, F.lit(True).alias("small")))
 
 
-def _block_pairs(blocks: DataFrame, nodes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
-    """Of every small node the partners from place ``first`` to ``last`` by estimate in its block."""
+def _block_pairs(blocks: DataFrame, nodes: DataFrame, percent: int, partners: int | None) -> DataFrame:
+    """Of every small node its first ``partners`` by estimate in a block, or all that could be linked."""
     least = gate(percent)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +246,7 @@ def _block_pairs(blocks: DataFrame, nodes: DataFrame, percent: int, first: int,
         open_pair &= (a != hub)[:, None] & (b != hub)[None, :]
         open_pair &= 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
         est = np.where(open_pair & (est >= least), est, -1.0)
-        order = np.lexsort((np.broadcast_to(b, est.shape), -est), axis=1)[:, first:last]
+        order = np.lexsort((np.broadcast_to(b, est.shape), -est), axis=1)[:, :partners]
         ranked = np.take_along_axis(est, order, axis=1)
         x, y = np.nonzero(ranked >= 0)
         left, right = a[x], b[order[x, y]]
@@ -283,11 +283,11 @@ def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     group.join(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")))
     group.join(group.apart(likely.select("a", "b")))
     slim = members.select("node", "key")
-    for first, last in ROUNDS:
+    for partners in ROUNDS:
         blocks = written(_blocks(slim, group, hubs))
         if blocks.isEmpty():
             break
-        group.join(_block_pairs(blocks, nodes, percent, first, last))
+        group.join(_block_pairs(blocks, nodes, percent, partners))
     return group.of
 
 
