@@ -7,7 +7,7 @@ import os
 import time
 
 from tallyspark.catalog import QUERIES
-from tallyspark.session import local_session
+from tallyspark.session import drop_staged, local_session
 
 HEADLINE = (
     "monthly_summary",
@@ -17,12 +17,14 @@ HEADLINE = (
     "export_ledger",
     "classify_all",
     "rule_audit",
+    "classify_many_rules",
     "dedupe_card_feed",
     "dedupe_snapshots",
     "append_new",
     "check_totals",
     "check_chain",
     "import_report",
+    "import_statement_report",
     "net_worth",
     "running_balance",
     "savings_goal_summary",
@@ -64,6 +66,7 @@ def main() -> None:
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

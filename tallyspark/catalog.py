@@ -492,7 +492,7 @@ def _card_movements(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         F.col("o_custkey").alias("account_id"),
         r.order_file().alias("source_file"),
-        F.when(fee, "PENALIZACION POR PAGO TARDIO")
+        F.when(fee, "RECARGO ZETA POR PAGO TARDIO")
         .when(line == 2, "TIENDA A 03 MESES S/I")
         .when(line == 3, "02 DE 03 ANUALIDAD")
         .otherwise("COMPRA")
@@ -506,7 +506,7 @@ def check_equation(spark, sf):
     return rc.check_equation(_card_statements(spark, sf))
 
 
-FEE = "PENALIZACION"
+FEE = "RECARGO ZETA"
 
 
 @query
@@ -523,7 +523,7 @@ def check_fee_remainder(spark, sf):
 @query
 def synthesize_costs(spark, sf):
     return rc.synthesize_costs(
-        _card_statements(spark, sf), _card_movements(spark, sf), FEE, "Intereses y comisiones del periodo"
+        _card_statements(spark, sf), _card_movements(spark, sf), FEE, "Costos del resumen"
     )
 
 
@@ -824,8 +824,8 @@ def extract_activity_rows(spark, sf):
 TOTAL_FIELDS = {
     "opening": r"Saldo Anterior\s+([\d,]+\.\d{2})",
     "closing": r"Saldo Final\s+([\d,]+\.\d{2})",
-    "charges": r"TOTAL IMPORTE CARGOS\s+([\d,]+\.\d{2})\s+TOTAL MOVIMIENTOS CARGOS\s+\d+",
-    "n_charges": r"TOTAL IMPORTE CARGOS\s+[\d,]+\.\d{2}\s+TOTAL MOVIMIENTOS CARGOS\s+(\d+)",
+    "charges": r"SUMA DE CARGOS\s+([\d,]+\.\d{2})\s+RENGLONES DE CARGOS\s+\d+",
+    "n_charges": r"SUMA DE CARGOS\s+[\d,]+\.\d{2}\s+RENGLONES DE CARGOS\s+(\d+)",
 }
 
 

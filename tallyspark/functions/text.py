@@ -19,12 +19,13 @@ _LATIN = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), rang
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Letters that decompose to one bare letter, and those that give several."""
+    """Letters of any script that decompose to one bare letter, and Latin ones that give several."""
     source, target, several = [], [], {}
-    for code in (c for block in _LATIN for c in block):
+    for code in (c for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000):
         bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(bare) > 1:
-            several[chr(code)] = bare
+            if any(code in block for block in _LATIN):
+                several[chr(code)] = bare
         elif bare and bare != chr(code):
             source.append(chr(code))
             target.append(bare)
@@ -35,9 +36,10 @@ _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility decomposition of Latin letters without combining marks.
+    """Compatibility decomposition of letters without combining marks.
 
-    Single letters go by table. Ligatures and the like are rare, so they are only
+    Single letters of every script go by table; signs of other scripts that stand for
+    several letters (Hangul syllables, squared abbreviations) stay as they are. Ligatures and the like are rare, so they are only
     replaced in texts that have one.
     """
     folded = F.translate(text, _FOLD_FROM, _FOLD_TO)

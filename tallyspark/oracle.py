@@ -593,9 +593,9 @@ SELECT account_id, source_file, 'fee_remainder' AS "check", CAST(0 AS DOUBLE) AS
   CAST(least(remainder, 0) AS DOUBLE) AS actual, CAST(0 AS DOUBLE) AS tolerance, remainder >= 0 AS ok FROM fee"""
 ORACLE["synthesize_costs"] = _CARD + """
 SELECT account_id, source_file, n_rows AS source_row, cutoff_date AS op_date, cutoff_date AS charge_date,
-  'Intereses y comisiones del periodo' AS description, CAST(-remainder AS DOUBLE) AS amount FROM fee WHERE remainder > 0"""
+  'Costos del resumen' AS description, CAST(-remainder AS DOUBLE) AS amount FROM fee WHERE remainder > 0"""
 ORACLE["drop_disclosures"] = _CARD + """
-SELECT CASE WHEN n = 1 THEN 'PENALIZACION POR PAGO TARDIO' ELSE 'COMPRA' END AS description, count(*) AS rows,
+SELECT CASE WHEN n = 1 THEN 'RECARGO ZETA POR PAGO TARDIO' ELSE 'COMPRA' END AS description, count(*) AS rows,
   CAST(sum(amount) AS DOUBLE) AS amount FROM rows WHERE n NOT IN (2, 3) GROUP BY 1"""
 ORACLE["check_components"] = """
 SELECT l_suppkey AS account_id, 'k' || l_orderkey AS source_file, 'components' AS "check",

@@ -44,13 +44,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tally-ckpt-")
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the tables this process has staged so far; returns their number. To be
+    called when their results have been read, at the latest before the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    count = len(_STAGED)
+    while _STAGED:
+        table = path(_STAGED.pop())
+        table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+    return count
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a new table in the checkpoint folder and read it back.
 
     The plan behind it runs once, however often the result is used, and a lost
-    executor costs no recomputation. Like checkpoint files, the table stays until
-    the folder is cleaned.
+    executor costs no recomputation. The table stays until ``drop_staged``.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,8 +119,8 @@ def total_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Saldo Anterior "), printed(F.col("total"))),
         F.when(F.col("key") % 31 != 0, F.concat(F.lit("Saldo Final "), printed(F.col("total") + 10))),
         F.concat(
-            F.lit("TOTAL IMPORTE CARGOS "), printed(F.col("total") + F.col("key") % 90),
-            F.lit("\nTOTAL MOVIMIENTOS CARGOS "), (F.col("key") % 90).cast("string"),
+            F.lit("SUMA DE CARGOS "), printed(F.col("total") + F.col("key") % 90),
+            F.lit("\nRENGLONES DE CARGOS "), (F.col("key") % 90).cast("string"),
         ),
     )
     return o.select("source_file", F.array_join(lines, "\n").alias("text"))

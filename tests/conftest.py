@@ -7,13 +7,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tallyspark.session import local_session  # noqa: E402
+from tallyspark.session import drop_staged, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", cores="4", partitions=4)
     yield session
+    drop_staged(session)
     session.stop()
 
 

@@ -49,15 +49,15 @@ def test_label_amount(spark):
         row = ex.extract_label_amount(lines(spark, *texts), "Repartición neta").first()
         return None if row is None else row["amount"]
 
-    assert got("x", "REPARTICION NETA total $ 2 38,964 MXN 7") == D("238964")
+    assert got("x", "REPARTICION NETA total $ 7 15,208 MXN 7") == D("715208")
     assert got("repartición neta $ -") == 0 and got("repartición neta") == 0
     assert got("repartición neta $ -5.50 $ 3") == D("-5.50")
     assert got("other $ 1") is None
 
 
 def test_signed_rows(spark):
-    out = {r["description"]: r["amount"] for r in ex.extract_signed_rows(lines(spark, "CLUB - TURISMO + $1,000.00 x", "PAGO - $5.00", "HARD - CLUB 5.00")).collect()}
-    assert out == {"CLUB - TURISMO": D("-1000.00"), "PAGO": D("5.00")}
+    out = {r["description"]: r["amount"] for r in ex.extract_signed_rows(lines(spark, "PARK - LANTERN + $1,000.00 x", "PAGO - $5.00", "MOSS - PARK 5.00")).collect()}
+    assert out == {"PARK - LANTERN": D("-1000.00"), "PAGO": D("5.00")}
 
 
 def test_template_needs_exactly_one_marker(spark):

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import os
+
 import random
 
 from pyspark.sql import functions as F
 
+from tallyspark.session import drop_staged, written
 from tallyspark.plans.ordered import block_of, carry_forward, running_sum
 from tallyspark.plans.picks import first_per_key, last_per_key, without_known
 from tallyspark.plans.small import only_named, small
@@ -83,3 +86,10 @@ def test_no_plan_gathers_the_ledger_in_one_task(spark):
         assert "BroadcastNestedLoopJoin" not in plan, name
         if name not in ("rule_audit", "classification_counts"):
             assert "SinglePartition" not in plan, name
+
+
+def test_staged_tables_are_removed(spark):
+    table = written(spark.range(3))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 3 and os.path.exists(path)
+    assert drop_staged(spark) >= 1 and not os.path.exists(path)
