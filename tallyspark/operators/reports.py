@@ -211,9 +211,11 @@ def category_month_cells(base: DataFrame, categories: DataFrame) -> DataFrame:
     kind, tag = F.col("kind"), F.col("spend_frequency")
     label = F.when(kind == "expense", F.col("category")).when(_uncategorised(), F.lit(UNCATEGORISED))
     seen = base.filter(kind.isin("income", "expense") | _uncategorised() | tag.isNotNull())
+    # The categories of the dimension become literals; their number has no limit here.
     expense = categories.filter((F.col("kind") == "expense") & F.col("name").isNotNull())
-    names = expense.agg(F.array_union(F.collect_set("name"), F.array(F.lit(UNCATEGORISED))).alias("names"))
-    grid = seen.select(*keys).distinct().select(*keys, F.explode(names.scalar()).alias("category"))
+    names = [*sorted(r["name"] for r in expense.select("name").distinct().collect()), UNCATEGORISED]
+    listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("category")
+    grid = seen.select(*keys).distinct().select(*keys, listed)
     spent = base.filter(label.isNotNull()).groupBy(*keys, label.alias("category")).agg((-F.sum("amount")).alias("amount"))
     cells = grid.join(spent, [*keys, "category"], "left")
     return cells.select(*keys, "category", F.coalesce("amount", F.lit(0)).cast(SUM).alias("amount"))
