@@ -231,6 +231,58 @@ def test_passages(docs, prose):
     assert clean[3] == rows[3][1] and clean[50] is None and len(clean[8].split()) <= len(rows[8][1].split()) - 26
 
 
+def changed(text, how, spots):
+    """``text`` with a word replaced, added or left out at every spot."""
+    words = text.split()
+    for s in sorted(spots, reverse=True):
+        words[s : s + (how != "added")] = [] if how == "missing" else [f"zz{s}"]
+    return " ".join(words)
+
+
+def runs_of(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_passages_with_edits_against_brute_force(docs, prose):
+    """Edited copies of 51 to 100 words that are 80 % alike, each found in both documents."""
+    rows, planted = [], {}
+    for k in range(90):
+        size, how = 51 + k * 49 // 89, ("replaced", "added", "missing")[k % 3]
+        shared = prose(5000 + k, size)
+        spots = [size // 2 if k % 2 else 2 + k * 7 % (size - 4)] + ([size // 4] if size >= 97 and how == "replaced" and k % 2 else [])
+        other = changed(shared, how, spots)
+        a, b = runs_of(shared.split()), runs_of(other.split())
+        assert len(a & b) >= 0.8 * len(a | b)
+        for doc, text in ((2 * k, shared), (2 * k + 1, other)):
+            rows.append((doc, " ".join([prose(7000 + doc, 20 + k), text, prose(9000 + doc, 30)]), "en", "a"))
+            planted[doc] = (20 + k, 20 + k + len(text.split()), min(spots), max(spots))
+    found = defaultdict(list)
+    for r in passages.repeated_passages(docs(rows)).collect():
+        found[r["doc_id"]].append(r)
+    for doc, (start, end, first, last) in planted.items():
+        (r,) = found[doc]
+        assert r["cluster_id"] == doc - doc % 2 and r["kept"] == (doc % 2 == 0)
+        # A rest of fewer than four words behind an edit counts as edited too.
+        assert r["start_word"] <= start + (first + 1 if first < 4 else 0)
+        assert r["end_word"] >= end - (5 if end - start - last < 6 else 0)
+
+
+def test_passages_chain_and_second_match(docs, prose):
+    """One cluster where neighbours only are alike; places unlike the first one of their run."""
+    seed, tail = prose(40, 14), prose(41, 60)
+    rows = [(1, f"{prose(42, 30)} {seed} {prose(43, 30)}", "en", "a")]
+    rows += [(k, f"{prose(50 + k, 30)} {seed} {tail} {prose(60 + k, 30)}", "en", "a") for k in (2, 3)]
+    base = prose(44, 200)
+    for k in range(4):
+        base = edited(base, [40 * k + 20], f"e{k}")
+        rows.append((10 + k, base, "en", "a"))
+    got_rows = passages.repeated_passages(docs(rows)).collect()
+    spans = {r["doc_id"]: r for r in got_rows}
+    assert 1 not in spans and spans[2]["kept"] and not spans[3]["kept"]
+    assert spans[2]["start_word"] == 30 and spans[2]["n_words"] == 74 == spans[3]["n_words"]
+    assert {spans[k]["cluster_id"] for k in range(10, 14)} == {10} and {spans[k]["n_words"] for k in range(10, 14)} == {200}
+
+
 def test_language(spark, docs):
     english, french = "the and with this that from have ", "les des une dans pour avec être "
     rows = [(k, (english if k % 2 else french) * (2 + k % 9), "en" if k % 2 else "fr", "a") for k in range(200)]
