@@ -387,18 +387,29 @@ def ingest_feed_status(spark, sf):
     return status.groupBy("status", "error").agg(F.sum("rows").alias("rows"))
 
 
-@query
-def ingest_stream_rows(spark, sf):
+def _streamed_twice(spark: SparkSession, staged: DataFrame) -> DataFrame:
     """Staged rows as a stream of files, loaded twice: the second time adds nothing."""
     inbox, path = _fresh_folder(spark, "inbox"), _fresh_folder(spark, "stream")
-    staged = schema.align_schema(b.ledger(spark, sf), schema.TRANSACTION)
-    staged.filter(F.col("external_ref").isNotNull()).write.parquet(inbox)
+    staged.write.parquet(inbox)
     for run in ("first", "second"):
         source = spark.readStream.schema(staged.schema).parquet(inbox)
         ingest_stream(source, path, f"{path}-{run}", dd.dedupe_by_reference).awaitTermination()
     return read_table(spark, path).groupBy("account_id").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
 
 
+@query
+def ingest_stream_rows(spark, sf):
+    """Rows with a reference only; ``ingest_stream_ledger`` streams the whole ledger."""
+    staged = schema.align_schema(b.ledger(spark, sf), schema.TRANSACTION)
+    return _streamed_twice(spark, staged.filter(F.col("external_ref").isNotNull()))
+
+
+@query
+def ingest_stream_ledger(spark, sf):
+    """The whole ledger; rows without a reference are known by file and row."""
+    return _streamed_twice(spark, schema.align_schema(b.ledger(spark, sf), schema.TRANSACTION))
+
+
 @query
 def upsert_dimension(spark, sf):
     known = b.accounts(spark, sf)

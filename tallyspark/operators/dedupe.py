@@ -45,7 +45,9 @@ def _with_reference_key(df: DataFrame) -> DataFrame:
 def dedupe_by_reference(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """New by reference, date and amount, inside the batch too (first row wins);
     rows without a reference are new by file and row."""
-    once = first_per_key(_with_reference_key(staged), ["_key"], _order())
+    # Rows that share a file and a row number: the smallest amount, so that a replay picks the same one.
+    ties = [F.col("amount"), F.col("date")]
+    once = first_per_key(_with_reference_key(staged), ["_key"], [*_order(), *ties])
     return without_known(once, _with_reference_key(ledger), ["_key"]).drop("_key")
 
 

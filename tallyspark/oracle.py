@@ -476,6 +476,12 @@ UNION ALL SELECT 'error', 'unreadable: date', 0"""
 ORACLE["ingest_stream_rows"] = _TABLES + """
 SELECT account_id, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
 FROM (SELECT DISTINCT account_id, external_ref, date, amount FROM ledger WHERE external_ref IS NOT NULL) GROUP BY 1"""
+ORACLE["ingest_stream_ledger"] = _TABLES + """
+SELECT account_id, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM (
+  SELECT account_id, amount FROM (SELECT DISTINCT account_id, external_ref, date, amount FROM ledger WHERE external_ref IS NOT NULL)
+  UNION ALL
+  SELECT account_id, min(amount) FROM ledger WHERE external_ref IS NULL GROUP BY account_id, source_file, source_row
+) GROUP BY 1"""
 ORACLE["upsert_dimension"] = "WITH " + _ACCOUNT + """,
 incoming AS (SELECT 'Customer#' || lpad(CAST(s_suppkey * 20 AS VARCHAR), 9, '0') AS name, s_suppkey + 1000000 AS account_id,
   CAST(s_suppkey % 28 + 1 AS INTEGER) AS cutoff, s_suppkey % 2 = 0 AS card FROM supplier)

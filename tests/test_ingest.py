@@ -382,3 +382,13 @@ def test_export_is_written_whole(spark, tmp_path, fmt):
     reports.write_export(export, path, fmt)
     back = spark.read.option("header", True).format(fmt).load(path)
     assert sorted(r["description"] for r in back.collect()) == ["Básico", "a,b"]
+
+
+def test_registered_stream_takes_rows_without_a_reference(spark):
+    from tallyspark.catalog import QUERIES
+    from tallyspark.sources import bindings
+
+    sf = "/root/testdata/sf0.001"
+    keys = bindings.ledger(spark, sf).filter("external_ref is null").select("account_id", "source_file", "source_row").distinct()
+    loaded = {n: QUERIES[n](spark, sf).agg(F.sum("rows")).first()[0] for n in ("ingest_stream_rows", "ingest_stream_ledger")}
+    assert keys.count() > 0 and loaded["ingest_stream_ledger"] == loaded["ingest_stream_rows"] + keys.count()
