@@ -283,6 +283,17 @@ def test_passages_chain_and_second_match(docs, prose):
     assert {spans[k]["cluster_id"] for k in range(10, 14)} == {10} and {spans[k]["n_words"] for k in range(10, 14)} == {200}
 
 
+def test_passages_are_whole(docs, prose):
+    """All words of an exact passage, which then leave the later document altogether."""
+    shared = prose(900, 70)
+    own = {k: (prose(k, 45), prose(100 + k, 33)) for k in (3, 8, 11)}
+    rows = [(k, f"{a} {shared} {b}", "en", "a") for k, (a, b) in own.items()]
+    found = passages.repeated_passages(docs(rows))
+    assert got(found, "doc_id", "start_word", "end_word", "kept") == [(11, 45, 115, False), (3, 45, 115, True), (8, 45, 115, False)]
+    clean = {r["doc_id"]: r["text"].split() for r in passages.without_passages(docs(rows)).collect()}
+    assert clean[3] == rows[0][1].split() and all(clean[k] == " ".join(own[k]).split() for k in (8, 11))
+
+
 def test_language(spark, docs):
     english, french = "the and with this that from have ", "les des une dans pour avec être "
     rows = [(k, (english if k % 2 else french) * (2 + k % 9), "en" if k % 2 else "fr", "a") for k in range(200)]
