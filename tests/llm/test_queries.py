@@ -294,6 +294,19 @@ def test_passages_are_whole(docs, prose):
     assert clean[3] == rows[0][1].split() and all(clean[k] == " ".join(own[k]).split() for k in (8, 11))
 
 
+def test_passages_send_no_fingerprints_to_the_driver(docs, prose, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self, *args):
+        raise AssertionError("rows were fetched by the driver")
+
+    rows = [(k, f"{prose(k, 30)} {prose(900, 20)} w{k} {prose(901, 40)}", "en", "a") for k in range(3)]
+    found = passages.matches(docs(rows).select("doc_id", "text"))
+    assert found.count() > 0
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    assert passages.repeated_passages(docs(rows)).count() == 3
+
+
 def test_language(spark, docs):
     english, french = "the and with this that from have ", "les des une dans pour avec être "
     rows = [(k, (english if k % 2 else french) * (2 + k % 9), "en" if k % 2 else "fr", "a") for k in range(200)]
