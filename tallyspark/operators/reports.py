@@ -314,12 +314,14 @@ def search_transactions(
     limit: int = 200,
 ) -> DataFrame:
     """Newest transactions first. Names join the rows that are left by the limit,
-    unless a name is what is searched for."""
+    unless a name is what is searched for; rows without an account do not count for it."""
     rows = in_dates(ledger, date_from, date_to)
     names = accounts.select("account_id", F.col("name").alias("account"))
     labels = categories.select("category_id", F.col("name").alias("category"))
     if account is not None:
         rows = only_named(rows, "account_id", names, "account", account)
+    else:
+        rows = rows.join(names.select("account_id"), "account_id", "left_semi")
     if category is not None:
         rows = only_named(rows, "category_id", labels, "category", category)
     order = [F.desc("date"), F.asc("id")]

@@ -120,6 +120,14 @@ def test_search_limit_has_a_total_order(spark, world):
     assert [r["id"] for r in same_day] == [10, 11]
 
 
+def test_search_limit_is_filled_by_rows_with_an_account(spark, world):
+    ledger, accounts, categories = world
+    ledger = ledger.withColumn("description", F.lit("x"))
+    stray = ledger.filter("id = 9").withColumn("id", F.lit(99).cast("long")).withColumn("account_id", F.lit(77).cast("long"))
+    got = rp.search_transactions(ledger.unionByName(stray.withColumn("date", F.lit("2030-01-01").cast("date"))), accounts, categories, limit=3)
+    assert [r["id"] for r in got.collect()] == [9, 8, 7]
+
+
 def test_expense_ratio(spark):
     rows = [(1, "MXN", "a", D("0"), D("5")), (1, "MXN", "b", D("1"), D("50")), (1, "MXN", "c", D("200"), D("101"))]
     df = spark.createDataFrame(rows, "owner_id long, currency string, month string, income decimal(24,2), total_expense decimal(24,2)")
