@@ -56,5 +56,52 @@ with k as (
     from k
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from g
+""",
+    "op12_filter_audit": r"""
+with t as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents
+), f as (
+    select t, min(doc_id) as least from t group by t
+), l as (
+    select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id
+), d as (
+    select part,
+           case when len(w) < 200 then 'A' else '' end
+           || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+           || case when 100 * length(regexp_replace(t.t, '[^A-Z]+', '', 'g')) > 2 * length(t.t) then 'C' else '' end
+           || case when regexp_matches(t.t, '[#$%&*|]') then 'D' else '' end
+           || case when t.doc_id > f.least then 'E' else '' end as fails,
+           coalesce(quality, 0) = 1 as good, coalesce(toxic, 0) = 1 as bad
+    from t join f on t.t = f.t left join l on l.doc_id = t.doc_id
+), m as (
+    select part, fails, good, bad, count(*) as n from d group by all
+), c as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), o as (
+    select v.x || w.x || y.x || z.x || u.x as filter_order
+    from c v, c w, c y, c z, c u
+    where len(list_distinct([v.x, w.x, y.x, z.x, u.x])) = 5
+), s as (
+    select filter_order, step, substr(filter_order, step, 1) as letter, substr(filter_order, 1, step - 1) as before
+    from o, unnest(range(1, 6)) r(step)
+), g as (
+    select part, filter_order, step, letter,
+           sum(case when not gone and not fails_here then n else 0 end) as kept,
+           sum(case when not gone and fails_here then n else 0 end) as removed,
+           sum(case when gone and fails_here then n else 0 end) as redundant,
+           sum(case when fails = letter then n else 0 end) as unique_fails,
+           sum(case when not gone and fails_here and good then n else 0 end) as good_lost,
+           sum(case when not gone and fails_here and bad then n else 0 end) as toxic_lost
+    from (
+        select m.*, s.*, contains(fails, letter) as fails_here, length(translate(fails, before, '')) < length(fails) as gone
+        from m, s
+    ) group by all
+)
+select part, filter_order, cast(step as integer) as step, kept::bigint as kept, removed::bigint as removed,
+       redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+       toxic_lost::bigint as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from g
 """,
 }

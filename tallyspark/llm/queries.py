@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm.common import remainder, table
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.filter_audit import filter_audit
 from tallyspark.llm.language import identify
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
@@ -71,6 +72,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op12_filter_audit": op12_filter_audit,
 }

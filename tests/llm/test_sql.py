@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
     df = QUERIES[name](spark, SF_DIR)
     cursor = con.execute(ORACLE[name])
@@ -24,4 +24,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12] and set(ORACLE) <= set(QUERIES)
