@@ -15,6 +15,7 @@ from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import near_duplicates
 from tallyspark.llm.page_text import extract
 from tallyspark.llm.packing import pack
+from tallyspark.llm.pattern_packing import pack_by_patterns
 from tallyspark.llm.passages import repeated_passages
 from tallyspark.llm.token_files import read_token_files, write_token_files
 from tallyspark.llm.topk import top_k
@@ -76,6 +77,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_patterns(table(spark, sf_dir, "documents"), end_id=0, size=2048)
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
@@ -88,4 +93,5 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op12_filter_audit": op12_filter_audit,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
