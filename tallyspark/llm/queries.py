@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyspark.llm.alignment import align
 from tallyspark.llm.common import remainder, table
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.filter_audit import filter_audit
@@ -73,6 +74,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_best_fit_packing": op13_best_fit_packing,
 }

@@ -59,14 +59,16 @@ class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     At most ``max_words`` pieces and a fifth as many other parts are remembered; what comes
-    later is encoded again each time, so memory stays bounded for any corpus.
+    later is encoded again each time, so memory stays bounded for any corpus. With ``plain``
+    the strings of special tokens inside a text are text like any other.
     """
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_words: int = MAX_WORDS, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
@@ -77,7 +79,7 @@ class Encoder:
             and spec.get("normalizer") is None
             and spec["model"].get("type") == "BPE"
         )
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if not (plain and t["special"])]
         self.split, self.unsafe = regex.compile(SPLIT).findall, re.compile(UNSAFE).search
         self.letters = byte_letters()
         self.model = self.whole.model
@@ -111,16 +113,21 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process for a vocabulary.
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What this worker process has under ``key``, made on first use.
 
     Functions arrive in a worker by value and anew for each task; what serves several
     tasks hangs on a module of its own.
     """
-    kept = sys.modules.setdefault("_tally_encoders", types.ModuleType("_tally_encoders"))
-    found = getattr(kept, "by_path", None)
+    module = sys.modules.setdefault("_tally_encoders", types.ModuleType("_tally_encoders"))
+    found = getattr(module, "by_key", None)
     if found is None:
-        found = kept.by_path = {}
-    if path not in found:
-        found[path] = Encoder(path)
-    return found[path]
+        found = module.by_key = {}
+    if key not in found:
+        found[key] = make()
+    return found[key]
+
+
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """The encoder of this worker process for a vocabulary."""
+    return kept((path, plain), lambda: Encoder(path, plain=plain))
