@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyspark import rulebook, schema
 from tallyspark.functions import dates, money as m, text as t
 from tallyspark.operators import (
     calendar,
+    card_statements as cs,
     classify as cl,
     dedupe as dd,
     extract as ex,
@@ -22,8 +23,8 @@ from tallyspark.operators import (
     statements as st,
     wealth as wl,
 )
-from tallyspark.session import checkpoint_dir
-from tallyspark.sources import bindings as b, feeds, readers, rendered as r
+from tallyspark.session import checkpoint_dir, written
+from tallyspark.sources import bindings as b, feeds, readers, rendered as r, rendered_cards as rcards
 from tallyspark.streaming.ingest import ingest_stream, read_table
 
 AS_OF = "2001-06-15"
@@ -671,6 +672,92 @@ def registered_statements(spark, sf):
     return _imported(spark, sf).statements.select("account_id", "source_file", "period_start", "period_end", "opening", "closing")
 
 
+_NEW_MONEY, _OLD_MONEY = r"(\$-?[\d,]+\.\d{2})$", r"(\$ -?[\d,]+\.\d{2})$"
+# Fixed formats of the two rendered card layouts.
+NEW_CARD = cs.CardLayout(
+    name="nova",
+    marker="TARJETA NOVA",
+    fields={
+        "account_id": r"^Cuenta: (\d+)$",
+        "period_start": r"^Periodo: (\S+) al \S+$",
+        "period_end": r"^Periodo: \S+ al (\S+)$",
+        "cutoff_date": r"^Corte: (\S+)$",
+        "opening": r"^Deuda previa " + _NEW_MONEY,
+        "regular": r"^Consumos del mes " + _NEW_MONEY,
+        "instalments": r"^Consumos a plazos " + _NEW_MONEY,
+        "interest": r"^Interes del mes " + _NEW_MONEY,
+        "fees": r"^Comision del mes " + _NEW_MONEY,
+        "tax": r"^Impuesto del mes " + _NEW_MONEY,
+        "payments": r"^Abonos del mes " + _NEW_MONEY,
+        "closing": r"^Deuda al corte " + _NEW_MONEY,
+        "table_charges": r"^SUMA CONSUMOS " + _NEW_MONEY,
+        "table_credits": r"^SUMA ABONOS " + _NEW_MONEY,
+    },
+    date_kind="dd-mmm-y",
+    table_on=r"^MOVIMIENTOS NOVA$",
+    table_off=r"^SUMA CONSUMOS ",
+    row=r"^(\d{2}-[a-z]{3}-\d{4}) (\d{2}-[a-z]{3}-\d{4}) (.*?) ([+-]) (\$[\d,]+\.\d{2})$",
+    disclosure=rc.ENROLMENT,
+    disclosures_counted=True,
+    fee=r"RECARGO ZETA",
+)
+OLD_CARD = cs.CardLayout(
+    name="azul",
+    marker="TARJETA AZUL",
+    fields={
+        "account_id": r"^Cuenta: (\d+)$",
+        "period_start": r"^Periodo: (\S+) al \S+$",
+        "period_end": r"^Periodo: \S+ al (\S+)$",
+        "cutoff_date": r"^Corte: (\S+)$",
+        "opening": r"^Inicio " + _OLD_MONEY,
+        "bought": r"^Compras mes " + _OLD_MONEY,
+        "other_charges": r"^Cargos varios " + _OLD_MONEY,
+        "instalments": r"^Compras plazos " + _OLD_MONEY,
+        "interest": r"^Interes " + _OLD_MONEY,
+        "fees": r"^Comision " + _OLD_MONEY,
+        "tax": r"^Impuesto " + _OLD_MONEY,
+        "paid": r"^Pagos " + _OLD_MONEY,
+        "other_credits": r"^Abonos varios " + _OLD_MONEY,
+        "closing": r"^Saldo corte " + _OLD_MONEY,
+    },
+    parts={"regular": ("bought", "other_charges"), "payments": ("paid", "other_credits")},
+    date_kind="dd/MM/y",
+    table_on=r"^Movimientos Azul$",
+    table_off=r"^TOTAL AZUL",
+    row=r"^(\d{2}/\d{2}/\d{4}) (\d{2}/\d{2}/\d{4}) (.*?) ()(\$ [\d,]+\.\d{2})$",
+    disclosure=rc.DISCLOSURE,
+    disclosures_counted=False,
+    tolerance="0.02",
+)
+
+
+def _cards(spark: SparkSession, sf: str) -> st.Imported:
+    """All card statements as a batch. Those before the cut are registered and their rows
+    loaded already, as are the rows of every eleventh key."""
+    heads = written(rcards.card_heads(spark, sf))
+    cut = F.col("period_end") < F.lit(LOADED_BEFORE).cast("date")
+    place = Window.partitionBy("key").orderBy("line_no")
+    rows = rcards.card_rows(spark, sf).withColumn("source_row", (F.row_number().over(place) - 1).cast("int"))
+    loaded = rows.join(heads.filter(cut | (F.col("key") % 11 == 0)).select("key", "account_id", "source_file"), "key")
+    lines = rcards.card_lines(spark, sf, heads)
+    return cs.import_cards(lines, [NEW_CARD, OLD_CARD], loaded, heads.filter(cut), block=2**33)
+
+
+@query
+def import_card_report(spark, sf):
+    return _cards(spark, sf).report
+
+
+@query
+def import_card_rows(spark, sf):
+    return _cards(spark, sf).movements.groupBy("account_id", "op_date").agg(
+        F.count("*").alias("rows"),
+        F.sum("amount").alias("amount"),
+        F.count_if(F.col("description") == cs.COSTS).alias("from_summary"),
+        F.max("description").alias("last_description"),
+    )
+
+
 @query
 def evolved_ledger(spark, sf):
     """A table that gained a column: its old part has no tag column at all."""

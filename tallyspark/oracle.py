@@ -566,6 +566,66 @@ FROM moves WHERE statement_file NOT IN (SELECT source_file FROM import_bad) GROU
 ORACLE["registered_statements"] = _IMPORT + f"""
 SELECT account_id, source_file, period_start, period_end, {_d('opening', 'closing')} FROM statement
 WHERE period_end >= DATE '1998-01-01' AND source_file NOT IN (SELECT source_file FROM import_bad)"""
+_CARD_IMPORT = """WITH RECURSIVE item AS (
+  SELECT l_orderkey AS k, l_linenumber AS kind, CAST(l_shipdate AS DATE) AS d, l_linenumber > 3 AND l_returnflag = 'R' AS credit,
+    CASE WHEN l_linenumber = 1 THEN CAST(1 AS DECIMAL(14,2)) ELSE CAST(l_extendedprice AS DECIMAL(14,2)) END AS price,
+    CASE l_linenumber WHEN 1 THEN 'RECARGO ZETA POR PAGO TARDIO' WHEN 2 THEN 'TIENDA A 03 MESES S/I' WHEN 3 THEN '02 DE 03 ANUALIDAD'
+      ELSE 'COMPRA ' || l_suppkey END AS description,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY (CAST(l_linenumber AS BIGINT) * 1048576 + (l_partkey * 509 + l_suppkey) % 1048576) * 64 + l_quantity) - 1 AS n
+  FROM lineitem),
+sums AS (
+  SELECT k, sum(CASE WHEN NOT credit AND kind <> CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END THEN price ELSE 0 END) AS charges,
+    sum(CASE WHEN credit THEN price ELSE 0 END) AS credits, count(*) AS n_rows,
+    sum(CASE WHEN k % 2 = 0 AND kind = 1 THEN 1 ELSE 0 END) AS itemised
+  FROM item GROUP BY k),
+head AS (
+  SELECT o_orderkey AS k, o_custkey AS account_id, CAST(o_orderdate AS DATE) AS period_end, coalesce(charges, 0) AS charges, coalesce(credits, 0) AS credits,
+    coalesce(n_rows, 0) AS n_rows, coalesce(itemised, 0) AS itemised,
+    'c' || o_custkey || '-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS source_file,
+    o_orderkey % 7 + o_orderkey % 5 + o_orderkey % 3 AS costs,
+    CASE WHEN o_orderkey % 2 = 0 THEN 25 ELSE 0 END AS extra
+  FROM orders LEFT JOIN sums ON k = o_orderkey),
+run AS (
+  SELECT *, sum(charges + extra + costs - credits) OVER (PARTITION BY account_id ORDER BY period_end, k ROWS UNBOUNDED PRECEDING) AS total FROM head),
+file AS (
+  SELECT *, total - (charges + extra + costs - credits) AS opening,
+    total + CASE WHEN k % 2 = 1 AND k % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 41 = 0 THEN 0.05 ELSE 0 END AS closing,
+    costs - itemised AS remainder, period_end < DATE '1998-01-01' AS known
+  FROM run),
+own AS (
+  SELECT k, 'template' AS "check" FROM file WHERE k % 37 = 0
+  UNION ALL SELECT k, 'charges' FROM file WHERE k % 37 <> 0 AND k % 17 = 0
+  UNION ALL SELECT k, 'equation' FROM file WHERE k % 37 <> 0 AND (k % 41 = 0 OR k % 31 = 0)
+  UNION ALL SELECT k, 'fee_remainder' FROM file WHERE k % 37 <> 0 AND remainder < 0
+  UNION ALL SELECT k, 'readable' FROM file WHERE k % 37 <> 0 AND k % 31 = 0),
+queue AS (
+  SELECT account_id, k, opening, closing, row_number() OVER (PARTITION BY account_id ORDER BY source_file) AS n
+  FROM file WHERE NOT known AND k NOT IN (SELECT k FROM own)),
+registered AS (SELECT account_id, arg_max(closing, source_file) AS closing FROM file WHERE known GROUP BY 1),
+walk(account_id, n, k, ok, last_closing) AS (
+  SELECT q.account_id, q.n, q.k, coalesce(abs(r.closing - q.opening) <= 0.01, true),
+    CASE WHEN coalesce(abs(r.closing - q.opening) <= 0.01, true) THEN q.closing ELSE r.closing END
+  FROM queue q LEFT JOIN registered r USING (account_id) WHERE q.n = 1
+  UNION ALL
+  SELECT q.account_id, q.n, q.k, abs(w.last_closing - q.opening) <= 0.01,
+    CASE WHEN abs(w.last_closing - q.opening) <= 0.01 THEN q.closing ELSE w.last_closing END
+  FROM walk w JOIN queue q ON q.account_id = w.account_id AND q.n = w.n + 1),
+checked AS (SELECT k, "check" FROM own UNION ALL SELECT k, 'chain' FROM walk WHERE NOT ok),
+bad AS (SELECT k, string_agg("check", '; ' ORDER BY "check") AS error FROM checked GROUP BY 1),
+fresh AS (
+  SELECT f.account_id, f.k, i.d AS op_date, i.description, CASE WHEN i.credit THEN i.price ELSE -i.price END AS amount, 0 AS synthetic
+  FROM file f JOIN item i USING (k)
+  WHERE NOT known AND k % 11 <> 0 AND i.kind <> CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END
+  UNION ALL
+  SELECT account_id, k, period_end, 'Costos del resumen', -remainder, 1 FROM file WHERE remainder > 0)"""
+ORACLE["import_card_report"] = _CARD_IMPORT + """
+SELECT CASE WHEN f.k % 37 <> 0 THEN f.account_id END AS account_id, f.source_file, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN error IS NULL THEN (SELECT count(*) FROM fresh r WHERE r.k = f.k) ELSE 0 END AS rows, error
+FROM file f LEFT JOIN bad USING (k)"""
+ORACLE["import_card_rows"] = _CARD_IMPORT + """
+SELECT account_id, op_date, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(synthetic) AS BIGINT) AS from_summary,
+  max(description) AS last_description
+FROM fresh WHERE k NOT IN (SELECT k FROM bad) GROUP BY ALL"""
 ORACLE["evolved_ledger"] = _TABLES + """
 SELECT CASE WHEN date >= DATE '1998-01-01' THEN spend_frequency END AS spend_frequency, 'none' AS benefit_tag,
   count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
