@@ -7,11 +7,15 @@ join has one row per statement on either side.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyspark.functions.money import SUM, within
 from tallyspark.functions.text import matches
 from tallyspark.plans.ordered import carry_forward
+from tallyspark.plans.scan import scan_in_order
 
 KEY = ["account_id", "source_file"]
 CENT = "0.01"
@@ -132,57 +136,93 @@ def _type(df: DataFrame, column: Column) -> T.DataType:
     return df.select(column).schema[0].dataType
 
 
-def previous_statement(statements: DataFrame) -> DataFrame:
-    """Add ``previous_file`` and ``previous_closing``: the statement of the same
-    account with the latest period end on or before this period start.
+def _neighbour(statements: DataFrame, forward: bool) -> DataFrame:
+    """Each statement with the nearest other one of its account, behind or ahead, as a struct.
 
-    Ends and starts are laid on one time line per account; the last end is
-    carried to each start. Years cut the line, so no pairs are formed.
+    Ends and starts are laid on one time line per account; what is looked for is carried
+    along the line to where it is needed, backwards for what lies ahead. Years cut the
+    line, so no pairs are formed and no account is one task.
     """
-    end = F.struct("source_file", "closing")
+    mine, other = ("period_end", "period_start") if forward else ("period_start", "period_end")
+    # A statement without the date is nobody's neighbour; its row comes first on the line.
+    far = F.when(F.col(other).isNotNull(), F.struct("source_file", F.col("opening" if forward else "closing").alias("balance")))
     row = F.struct(*statements.columns)
+    none = lambda column: F.lit(None).cast(_type(statements, column))
+    day = lambda c: F.unix_date(F.col(c)) * (-1 if forward else 1)
     events = F.array(
-        F.struct(F.col("period_end").alias("_at"), F.lit(0).alias("_kind"), end.alias("_end"), F.lit(None).cast(_type(statements, row)).alias("_row")),
-        F.struct(F.col("period_start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(_type(statements, end)).alias("_end"), row.alias("_row")),
+        F.struct(day(other).alias("_at"), F.lit(0).alias("_kind"), far.alias("_far"), none(row).alias("_row")),
+        F.struct(day(mine).alias("_at"), F.lit(1).alias("_kind"), none(far).alias("_far"), row.alias("_row")),
     )
     line = statements.select("account_id", F.col("source_file").alias("_file"), F.inline(events)).withColumn(
-        "_year", F.year("_at")
+        "_year", F.floor(F.col("_at") / 366)
     )
-    carried = carry_forward(line, ["account_id"], "_year", ["_at", "_kind", "_file"], F.col("_end"), "_prev")
-    return carried.filter(F.col("_kind") == 1).select(
-        "_row.*",
-        F.col("_prev.source_file").alias("previous_file"),
-        F.col("_prev.closing").alias("previous_closing"),
+    carried = carry_forward(line, ["account_id"], "_year", ["_at", "_kind", "_file"], F.col("_far"), "_near")
+    return carried.filter(F.col("_kind") == 1).select("_row.*", F.col("_near"))
+
+
+def previous_statement(statements: DataFrame) -> DataFrame:
+    """Add ``previous_file`` and ``previous_closing``: the statement of the same
+    account with the latest period end on or before this period start."""
+    near = _neighbour(statements, forward=False)
+    return near.select(
+        *statements.columns,
+        F.col("_near.source_file").alias("previous_file"),
+        F.col("_near.balance").alias("previous_closing"),
     )
 
 
-def check_chain(statements: DataFrame, known_gaps: DataFrame | None = None, tolerance: str = CENT) -> DataFrame:
+def next_statement(statements: DataFrame) -> DataFrame:
+    """Add ``next_file`` and ``next_opening``: the statement of the same account with the
+    earliest period start on or after this period end."""
+    near = _neighbour(statements, forward=True)
+    return near.select(
+        *statements.columns,
+        F.col("_near.source_file").alias("next_file"),
+        F.col("_near.balance").alias("next_opening"),
+    )
+
+
+def _known_break(rows: DataFrame, known_gaps: DataFrame | None, closing: str, opening: str) -> DataFrame:
+    """Add ``_known``: whether (account, closing, opening) is an accepted break."""
+    if known_gaps is None:
+        return rows.withColumn("_known", F.lit(False))
+    key = lambda account, c, o: F.struct(F.col(account), F.col(c).cast(SUM).alias("c"), F.col(o).cast(SUM).alias("o"))
+    gaps = known_gaps.select(key("account_id", "previous_closing", "opening").alias("_gap"), F.lit(True).alias("_known")).distinct()
+    marked = rows.withColumn("_gap", key("account_id", closing, opening)).join(gaps, "_gap", "left").drop("_gap")
+    return marked.withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
+def _links(rows: DataFrame, name: str, expected: str, actual: str, tolerance: str) -> DataFrame:
+    found = rows.select(*KEY, _row(name, F.col(expected), F.col(actual), tolerance).alias("c"), "_known")
+    return found.select(*KEY, "c.check", "c.expected", "c.actual", "c.tolerance", (F.col("c.ok") | F.col("_known")).alias("ok"))
+
+
+def check_chain(
+    statements: DataFrame, known_gaps: DataFrame | None = None, tolerance: str = CENT, full: bool = False
+) -> DataFrame:
     """Previous closing against this opening; statements without one are left out.
 
-    ``known_gaps`` (account_id, previous_closing, opening) lists accepted breaks.
+    ``known_gaps`` (account_id, previous_closing, opening) lists accepted breaks. With
+    ``full`` every statement is also held against the one after it (``chain_next``: this
+    closing against that opening), so a file that was filled in later is checked on both
+    sides.
     """
-    rows = previous_statement(statements).filter(F.col("previous_file").isNotNull())
-    if known_gaps is not None:
-        gap = known_gaps.select(
-            F.col("account_id").alias("_ga"),
-            F.col("previous_closing").cast(SUM).alias("_gc"),
-            F.col("opening").cast(SUM).alias("_go"),
-            F.lit(True).alias("_known"),
-        ).distinct()
-        rows = rows.join(
-            gap,
-            (rows.account_id == gap["_ga"])
-            & (rows.previous_closing.cast(SUM) == gap["_gc"])
-            & (rows.opening.cast(SUM) == gap["_go"]),
-            "left",
-        )
-        known = F.coalesce("_known", F.lit(False))
-    else:
-        known = F.lit(False)
-    checks = rows.select(
-        *KEY, _row("chain", F.col("previous_closing"), F.col("opening"), tolerance).alias("c"), known.alias("_k")
+    rows = _known_break(
+        previous_statement(statements).filter("previous_file is not null"), known_gaps, "previous_closing", "opening"
     )
-    return checks.select(*KEY, "c.check", "c.expected", "c.actual", "c.tolerance", (F.col("c.ok") | F.col("_k")).alias("ok"))
+    checks = _links(rows, "chain", "previous_closing", "opening", tolerance)
+    if full:
+        ahead = _known_break(next_statement(statements).filter("next_file is not null"), known_gaps, "closing", "next_opening")
+        checks = checks.unionByName(_links(ahead, "chain_next", "closing", "next_opening", tolerance))
+    return checks
+
+
+class _Registered:
+    """The registered statements of an account by period end, and its accepted breaks."""
+
+    def __init__(self) -> None:
+        self.ends: list[tuple] = []
+        self.gaps: set[tuple] = set()
 
 
 def check_chain_in_order(
@@ -194,46 +234,59 @@ def check_chain_in_order(
     latest end on or before its start. Registered are those of ``known`` and the files
     of the batch that came before and were accepted: a rejected or undated file is nobody's
     predecessor, so a hole stays visible to every file behind it. Files in ``failed`` get no
-    row. The few statements of an account are folded in one row.
+    row. Whether a file is accepted depends on every one before it, so the statements of an
+    account are scanned in order; the scan holds one balance per registered statement and
+    finds the predecessor by bisection.
     """
-    end = "struct<period_end: date, source_file: string, closing: decimal(24,2)>"
-    link = "struct<source_file: string, previous: string, expected: decimal(24,2), actual: decimal(24,2), ok: boolean>"
-    amount = lambda c: F.col(c).cast("decimal(24,2)").alias(c)
     sound = _on_key(fresh, failed.select(*KEY).distinct(), "left_anti").filter(
         "account_id is not null and period_start is not null and period_end is not null"
     )
-    item = F.struct("source_file", "period_start", "period_end", amount("opening"), amount("closing"))
-    batch = sound.groupBy("account_id").agg(F.array_sort(F.collect_list(item)).alias("batch"))
+    nothing = {"string": ["source_file"], "date": ["period_start", "period_end"], SUM: ["opening", "closing"]}
+    types = {name: kind for kind, names in nothing.items() for name in names}
+
+    def rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
+        picked = [
+            (F.col(columns[n]) if n in columns else F.lit(None)).cast(t).alias(n) for n, t in types.items()
+        ]
+        return df.select("account_id", F.lit(kind).alias("kind"), *picked)
+
     dated = known.filter("account_id is not null and period_end is not null")
-    last = dated.groupBy("account_id").agg(
-        F.collect_list(F.struct("period_end", "source_file", amount("closing"))).alias("registered")
+    line = rows(dated, 1, source_file="source_file", period_end="period_end", closing="closing").unionByName(
+        rows(sound, 2, **{n: n for n in types})
     )
-    rows = batch.join(last, "account_id", "left")
     if known_gaps is not None:
-        gap = F.struct(F.col("previous_closing").cast("decimal(24,2)").alias("c"), F.col("opening").cast("decimal(24,2)").alias("o"))
-        rows = rows.join(known_gaps.groupBy("account_id").agg(F.collect_set(gap).alias("gaps")), "account_id", "left")
-    else:
-        rows = rows.withColumn("gaps", F.lit(None).cast("array<struct<c: decimal(24,2), o: decimal(24,2)>>"))
-    before = "array_max(filter(acc.registered, r -> r.period_end <= x.period_start))"
-    ok = (
-        f"coalesce(abs({before}.closing - x.opening) <= {tolerance}BD, {before} is null)"
-        f" or coalesce(exists(gaps, g -> g.c = {before}.closing and g.o = x.opening), false)"
-    )
-    folded = F.expr(
-        f"aggregate(batch, struct(cast(coalesce(registered, array()) as array<{end}>) as registered,"
-        f" cast(array() as array<{link}>) as links), (acc, x) -> struct("
-        f"if({ok}, concat(acc.registered, cast(array(struct(x.period_end, x.source_file, x.closing)) as array<{end}>)), acc.registered) as registered,"
-        f" concat(acc.links, cast(array(struct(x.source_file, {before}.source_file, {before}.closing, x.opening, {ok})) as array<{link}>)) as links)).links"
-    )
-    links = rows.select("account_id", F.explode(folded).alias("l")).filter("l.previous is not null")
+        gaps = known_gaps.filter("account_id is not null")
+        line = line.unionByName(rows(gaps, 0, closing="previous_closing", opening="opening"))
+    limit, last = Decimal(tolerance), "\U0010ffff"
+
+    def step(row: dict, state: _Registered) -> dict | None:
+        entry = (row["period_end"], row["source_file"], row["closing"])
+        if row["kind"] == 0:
+            state.gaps.add((row["closing"], row["opening"]))
+            return None
+        if row["kind"] == 1:
+            insort(state.ends, entry, key=lambda e: e[:2])
+            return None
+        at = bisect_right(state.ends, (row["period_start"], last), key=lambda e: e[:2])
+        if at == 0:
+            insort(state.ends, entry, key=lambda e: e[:2])
+            return None
+        before, opening = state.ends[at - 1][2], row["opening"]
+        near = before is not None and opening is not None and abs(before - opening) <= limit
+        ok = near or (before, opening) in state.gaps
+        if ok:
+            insort(state.ends, entry, key=lambda e: e[:2])
+        return {"account_id": row["account_id"], "source_file": row["source_file"], "expected": before, "actual": opening, "ok": ok}
+
+    schema = f"account_id long, source_file string, expected {SUM}, actual {SUM}, ok boolean"
+    links = scan_in_order(line, "account_id", ["kind", "source_file", "period_start"], _Registered, step, schema)
     return links.select(
-        "account_id",
-        "l.source_file",
+        *KEY,
         F.lit("chain").alias("check"),
-        F.col("l.expected").cast(SUM).alias("expected"),
-        F.col("l.actual").cast(SUM).alias("actual"),
+        "expected",
+        "actual",
         F.lit(tolerance).cast("decimal(6,2)").alias("tolerance"),
-        "l.ok",
+        "ok",
     )
 
 
