@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,15 +49,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Remove the tables this process has staged so far; returns their number. To be
-    called when their results have been read, at the latest before the session ends."""
+def drop_staged(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> int:
+    """Remove the tables this process has staged, from number ``since`` on and but for those
+    in ``keep``; returns their number. To be called when their results have been read, at
+    the latest before the session ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    count = len(_STAGED)
-    while _STAGED:
-        table = path(_STAGED.pop())
+    gone = [p for p in _STAGED[since:] if p not in keep]
+    for name in gone:
+        table = path(name)
         table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
-    return count
+        _STAGED.remove(name)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables staged inside at the end, but for those written with the function
+    that is given: they are whole by then and need no other."""
+    since, kept = len(_STAGED), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df)
+        kept.append(_STAGED[-1])
+        return out
+
+    yield keep
+    drop_staged(spark, since, kept)
 
 
 def written(df: DataFrame) -> DataFrame:
