@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm.common import written
-from tallyspark.llm.tokens import byte_letters, encoder, kept, vocabulary_path
+from tallyspark.llm.tokens import SPLIT, byte_letters, encoder, kept, vocabulary_path
 
 SECOND = "piece_bpe_32k.model"
-CHUNK_LINKS = 1 << 19
-#: Windows a worker remembers, and the longest of them in ids of both sides together.
-MAX_WINDOWS, MAX_IDS = 200_000, 64
+CHUNK_WINDOWS = 1 << 17
+#: Windows and words a worker remembers, and the longest window in ids of both sides together.
+MAX_WINDOWS, MAX_WORDS, MAX_IDS = 50_000, 50_000, 64
+#: Added to the ids of B where a window holds those of both.
+OF_B = 1 << 31
+#: Texts that are tokenised together.
+TEXTS = 512
 CHUNK = (
     "chunk long, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
     "groups_sha256 array<string>, n_windows array<bigint>, windows binary, window_links binary, links binary, "
@@ -72,9 +78,8 @@ class Side:
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in self.tokens])
 
-    def spells(self, ids: np.ndarray, data: bytes) -> bool:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()]) == data
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the tokens that start with a space, and the bytes before each."""
@@ -83,106 +88,228 @@ class Side:
         return at, (np.cumsum(lengths) - lengths)[at]
 
 
+class RankEncoder:
+    """Encodes texts by a byte-level vocabulary, merging by rank, to little-endian 32-bit ids.
+
+    Merging by the ids of merged tokens gives what the vocabulary's list of merges gives if
+    ids follow that list and every token encodes to itself: a pair outside the list that
+    spells a token then never comes up. Where this does not hold the vocabulary's own
+    encoder is used.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.tokens = byte_level_tokens(path)
+        self.ranks = tiktoken.Encoding(
+            "own", pat_str=SPLIT, mergeable_ranks={t: i for i, t in enumerate(self.tokens) if t}, special_tokens={}
+        )
+        own = encoder(path, plain=True)
+        model, letters = own.model, byte_letters()
+        alone = own.by_word and not own.added and all(
+            [m.id for m in model.tokenize("".join([letters[b] for b in t]))] == [i] for i, t in enumerate(self.tokens) if t
+        )
+        self.encode = self._by_rank if alone and merges_follow_ids(path) else own.encode
+
+    def _by_rank(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.ranks.encode_ordinary(t)).tobytes() for t in texts]
+
+
+def merges_follow_ids(path: str) -> bool:
+    """Whether a later merge of a vocabulary always makes a token of a greater id."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(p)] for p in pairs]
+    return all(x < y for x, y in zip(made, made[1:]))
+
+
+class PieceEncoder:
+    """Encodes texts by a sentence piece model to little-endian unsigned 32-bit ids.
+
+    Pieces have the mark of a space at their start only, so words behind single spaces are
+    encoded apart; new ones of many texts together, and at most ``max_words`` are
+    remembered. Texts with other runs of spaces, or marks of their own, are encoded whole.
+    """
+
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = map(self.model.id_to_piece, range(self.model.vocab_size()))
+        self.by_word = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+        self.max_words = max_words
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+    def _single_spaces(self, text: str) -> bool:
+        return self.by_word and "  " not in text and text[:1] != " " and text[-1:] != " " and SPACE_MARK not in text
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [t.split(" ") if t and self._single_spaces(t) else None for t in texts]
+        new = list(set(chain.from_iterable(w for w in split if w)).difference(self.known))
+        fresh = dict(zip(new, self._encoded(new)))
+        room = max(0, self.max_words - len(self.known))
+        self.known.update(islice(fresh.items(), room))
+        whole = iter(self._encoded([t for t, w in zip(texts, split) if w is None]))
+        if room >= len(fresh):
+            of = self.known.__getitem__
+        else:
+            known = self.known
+            of = lambda w: known.get(w) or fresh[w]
+        return [next(whole) if w is None else b"".join(map(of, w)) for w in split]
+
+
 class Aligner:
     """Tokenises texts both ways and aligns the ids window by window."""
 
     def __init__(self, first: str, second: str, max_windows: int = MAX_WINDOWS):
-        import sentencepiece
-
-        self.encode_a = encoder(first, plain=True).encode
-        self.model_b = sentencepiece.SentencePieceProcessor(model_file=second)
-        self.a, self.b = Side(byte_level_tokens(first)), Side(piece_tokens(self.model_b))
+        ranks, pieces = RankEncoder(first), PieceEncoder(second)
+        self.encode_a, self.encode_b = ranks.encode, pieces.encode
+        self.a, self.b = Side(ranks.tokens), Side(piece_tokens(pieces.model))
         self.max_windows = max_windows
-        self.known: dict[tuple[bytes, bytes], tuple[str, np.ndarray]] = {}
+        # An id of A as text before another of its group and at its end, then one of B before
+        # another, at the end of its group and at the end of its window.
+        sides = [(self.a, ",|"), (self.b, ",;\n")]
+        self.written = [f"{i}{c}" for side, marks in sides for c in marks for i in range(len(side.tokens))]
+        self.known: dict[bytes, tuple[str, bytes] | None] = {}
 
     def ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides, empty where a side does not spell the text behind a space."""
+        """Ids of both sides; none where the text is empty or A does not spell it behind a space."""
         none = np.empty(0, dtype="<u4")
-        both = zip(texts, self.encode_a([" " + t for t in texts]), self.model_b.encode(texts, num_threads=1))
+        both = zip(texts, self.encode_a([" " + t for t in texts]), self.encode_b(texts))
         for text, a, b in both:
-            a, b, data = np.frombuffer(a, dtype="<u4"), np.array(b, dtype="<u4"), b" " + text.encode()
-            yield (a, b) if text and self.a.spells(a, data) and self.b.spells(b, data) else (none, none)
+            a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+            yield (a, b) if text and self.a.joined(a.tolist()) == b" " + text.encode() else (none, none)
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """The id tuples, as bytes, between anchors of two spellings of the same text."""
-        if len(a) == 0:
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The ids between anchors: of each window those of A, then those of B with OF_B added."""
+        if len(a) == 0 or len(b) == 0:
             return []
         at_a, before_a = self.a.marks(a)
         at_b, before_b = self.b.marks(b)
-        _, x, y = np.intersect1d(before_a, before_b, assume_unique=True, return_indices=True)
-        from_a, from_b = [0, *(4 * at_a[x]).tolist()], [0, *(4 * at_b[y]).tolist()]
-        if len(from_a) > 1 and from_a[1] == 0:  # the space before the text is an anchor itself
-            del from_a[0], from_b[0]
-        a_bytes, b_bytes = a.tobytes(), b.tobytes()
-        to_a, to_b = [*from_a[1:], len(a_bytes)], [*from_b[1:], len(b_bytes)]
-        return [(a_bytes[p:q], b_bytes[r:s]) for p, q, r, s in zip(from_a, to_a, from_b, to_b)]
-
-    def align(self, window: tuple[bytes, bytes]) -> tuple[str, np.ndarray]:
-        """The groups of a window as text, and its linked pairs, A's id in the upper half."""
-        found = self.known.get(window)
-        if found is None:
-            found = self._align(*(np.frombuffer(w, dtype="<u4").tolist() for w in window))
-            if len(self.known) < self.max_windows and len(window[0]) + len(window[1]) <= 4 * MAX_IDS:
-                self.known[window] = found
-        return found
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[str, np.ndarray]:
-        tokens_a, tokens_b = self.a.tokens, self.b.tokens
-        groups, pairs, i, j, first_i, first_j, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += len(tokens_a[a[i]])
-                i += 1
-            else:
-                end_b += len(tokens_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-                first_i, first_j = i, j
-        return ";".join(groups), np.array(pairs, dtype=np.int64)
+        place = np.searchsorted(before_b, before_a)
+        hit = np.append(before_b, -1)[place] == before_a
+        from_a, from_b = at_a[hit], at_b[place[hit]]
+        if len(from_a) == 0 or from_a[0] or from_b[0]:  # else the space before the text is the first anchor
+            from_a, from_b = np.append(0, from_a), np.append(0, from_b)
+        n_a, n_b = np.diff(from_a, append=len(a)), np.diff(from_b, append=len(b))
+        mixed = np.empty(len(a) + len(b), dtype="<u4")
+        mixed[np.arange(len(a)) + np.repeat(from_b, n_a)] = a
+        mixed[np.arange(len(b)) + np.repeat(from_a + n_a, n_b)] = b + OF_B
+        data, cuts = mixed.tobytes(), (4 * (from_a + from_b)).tolist()
+        return [data[p:q] for p, q in zip(cuts, [*cuts[1:], len(data)])]
+
+    def align(self, windows: list[bytes]) -> list[tuple[str, bytes] | None]:
+        """Of each window its groups as text and its linked pairs as 64-bit numbers, A's id
+        in the upper half; none where the sides spell different bytes."""
+        out = list(map(self.known.get, windows))
+        new = [k for k, found in enumerate(out) if found is None]
+        room = self.max_windows - len(self.known)
+        for k, found in zip(new, self._aligned([windows[k] for k in new])):
+            out[k] = found
+            if room > 0 and len(windows[k]) <= 4 * MAX_IDS:
+                self.known[windows[k]] = found
+                room -= 1
+        return out
+
+    def _aligned(self, windows: list[bytes]) -> list[tuple[str, bytes] | None]:
+        """``align`` for windows that are not known, all of them at once."""
+        if not windows:
+            return []
+        mixed = np.frombuffer(b"".join(windows), dtype="<u4")
+        of = np.repeat(np.arange(len(windows)), [len(w) // 4 for w in windows])
+        in_b = mixed >= OF_B
+        ids, of = (mixed[~in_b], mixed[in_b] - OF_B), (of[~in_b], of[in_b])
+        lengths = [side.lengths[i] for side, i in zip((self.a, self.b), ids)]
+        size_a, size_b = (np.bincount(o, weights=n, minlength=len(windows)) for o, n in zip(of, lengths))
+        if self.a.joined(ids[0].tolist()) != self.b.joined(ids[1].tolist()) or (size_a != size_b).any():
+            if len(windows) > 1:  # find the ones to blame
+                half = len(windows) // 2
+                return self._aligned(windows[:half]) + self._aligned(windows[half:])
+            return [None]
+        ends = [np.cumsum(n) for n in lengths]
+        _, last_a, last_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        pairs = ids[0][last_a].astype(np.int64) << 32 | ids[1][last_b].astype(np.int64)
+        # Every token as its place in ``written``, in the order of groups, those of A first.
+        many_a, many_b = len(self.a.tokens), len(self.b.tokens)
+        code_a, code_b = ids[0].astype(np.int64), ids[1] + np.int64(2 * many_a)
+        code_a[last_a] += many_a
+        code_b[last_b] += many_b
+        final = np.append(np.diff(of[0][last_a]) > 0, True)
+        code_b[last_b[final]] += many_b
+        per_a, per_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        codes = np.empty(len(mixed), dtype=np.int64)
+        codes[np.arange(len(code_a)) + np.repeat(np.cumsum(per_b) - per_b, per_a)] = code_a
+        codes[np.arange(len(code_b)) + np.repeat(np.cumsum(per_a), per_b)] = code_b
+        parts = map(self.written.__getitem__, codes.tolist())
+        texts = "".join(parts).split("\n")
+        data, cuts = pairs.tobytes(), (8 * np.cumsum(np.bincount(of[0][last_a], minlength=len(windows)))).tolist()
+        return [(t, data[p:q]) for t, p, q in zip(texts, [0, *cuts], cuts)]
+
+
+class _Numbers(dict):
+    """Numbers of windows in the order of their first use."""
+
+    def __missing__(self, window: bytes) -> int:
+        self[window] = number = len(self)
+        return number
+
+
+def narrow(values: np.ndarray, kinds: int) -> bytes:
+    """Numbers below ``kinds`` in two bytes each where they fit, else four."""
+    return values.astype("<u2" if kinds <= 1 << 16 else "<u4").tobytes()
+
+
+def widened(data: bytes, kinds: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if kinds <= 1 << 16 else "<u4")
 
 
 class Chunk:
-    """The windows of some whole documents, each kind of window once."""
+    """Some whole documents as runs of windows, each kind of window once."""
 
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.docs: list[tuple] = []
+        self.number = _Numbers()
+        self.docs: list[tuple[int | None, int, int]] = []
         self.seen: list[np.ndarray] = []
-        self.links = 0
+        self.size = 0
 
     def add(self, doc_id: int | None, a: np.ndarray, b: np.ndarray) -> None:
-        number, of = self.number, []
-        for window in self.aligner.windows(a, b):
-            k = number.get(window)
-            if k is None:
-                k = number[window] = len(number)
-                text, pairs = self.aligner.align(window)
-                self.texts.append(text)
-                self.pairs.append(pairs)
-            of.append(k)
-        groups = ";".join([self.texts[k] for k in of])
-        n_groups = sum([len(self.pairs[k]) for k in of])
-        sha = hashlib.sha256(groups.encode()).hexdigest() if of else ""
-        self.docs.append((doc_id, len(a), len(b), n_groups, sha, len(of)))
+        of = list(map(self.number.__getitem__, self.aligner.windows(a, b)))
+        self.docs.append((doc_id, len(a), len(b)))
         self.seen.append(np.array(of, dtype="<u4"))
-        self.links += n_groups
+        self.size += len(of)
 
     def row(self, number: int) -> dict[str, list]:
-        links = np.concatenate([*self.pairs, np.empty(0, dtype=np.int64)])
-        per_window = np.array([len(p) for p in self.pairs], dtype="<u4")
+        """The chunk with the groups of every document, and the pairs that it links."""
+        found = self.aligner.align(list(self.number))
+        wrong = np.array([f is None for f in found], dtype=bool)
+        texts, aligned = [f[0] if f else "" for f in found], [f[1] if f else b"" for f in found]
+        some_wrong = wrong.any()
+        columns: list[list] = [[] for _ in range(6)]
+        for k, (doc_id, n_a, n_b) in enumerate(self.docs):
+            if some_wrong and wrong[self.seen[k]].any():  # the sides differ: the text has no tokens
+                self.seen[k] = self.seen[k][:0]
+            of = self.seen[k].tolist()
+            groups = ";".join(map(texts.__getitem__, of))
+            sha = hashlib.sha256(groups.encode()).hexdigest() if of else ""
+            values = (doc_id, *((n_a, n_b) if of else (0, 0)), groups.count("|"), sha, len(of))
+            for column, value in zip(columns, values):
+                column.append(value)
         seen = np.concatenate(self.seen)
+        used = np.bincount(seen, minlength=len(aligned))
+        aligned = [p if n else b"" for p, n in zip(aligned, used.tolist())]
+        links = np.frombuffer(b"".join(aligned), dtype="<i8")
+        per_window = np.array([len(p) // 8 for p in aligned], dtype="<u4")
         pairs, place = np.unique(links, return_inverse=True)
-        times = np.repeat(np.bincount(seen, minlength=len(per_window)), per_window)
-        counts = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
-        doc_id, n_a, n_b, n_groups, sha, n_windows = (list(c) for c in zip(*self.docs))
+        counts = np.bincount(place, weights=np.repeat(used, per_window), minlength=len(pairs)).astype(np.int64)
         values = [
-            number, doc_id, n_a, n_b, n_groups, sha, n_windows,
-            seen.tobytes(), per_window.tobytes(), place.astype("<u4").tobytes(), pairs.tolist(), counts.tolist(),
+            number, *columns, narrow(seen, len(per_window)), per_window.tobytes(), narrow(place, len(pairs)),
+            pairs.tolist(), counts.tolist(),
         ]
         return {name: [v] for name, v in zip(_names(CHUNK), values)}
 
@@ -197,19 +324,19 @@ def _types(schema: str) -> list[pa.DataType]:
     return [kinds[c.split()[1]] for c in schema.split(", ")]
 
 
-def chunks(docs: DataFrame, first: str, second: str, chunk_links: int = CHUNK_LINKS) -> DataFrame:
-    """Documents (doc_id, text) as aligned chunks of at least ``chunk_links`` links, or what a task has."""
+def chunks(docs: DataFrame, first: str, second: str, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
+    """Documents (doc_id, text) as aligned chunks of at least ``chunk_windows`` windows, or what a task has."""
     schema = pa.schema(list(zip(_names(CHUNK), _types(CHUNK))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept((first, second), lambda: Aligner(first, second))
         number, chunk = TaskContext.get().partitionId() << 32, Chunk(aligner)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids, texts = (batch.column(c).slice(at, 64).to_pylist() for c in ("doc_id", "text"))
+            for at in range(0, batch.num_rows, TEXTS):
+                ids, texts = (batch.column(c).slice(at, TEXTS).to_pylist() for c in ("doc_id", "text"))
                 for doc_id, (a, b) in zip(ids, aligner.ids([t or "" for t in texts])):
                     chunk.add(doc_id, a, b)
-                    if chunk.links >= chunk_links or len(chunk.docs) >= chunk_links:
+                    if chunk.size >= chunk_windows or len(chunk.docs) >= chunk_windows:
                         yield pa.RecordBatch.from_pydict(chunk.row(number), schema)
                         number, chunk = number + 1, Chunk(aligner)
         if chunk.docs:
@@ -233,10 +360,11 @@ def with_counts(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(right.column("pair").to_numpy())
     n, best = right.column("n").to_numpy()[order], right.column("best").to_numpy()[order].astype(np.int64)
     for row in left.to_pylist():
-        seen, per_window, links = (np.frombuffer(row[c], dtype="<u4") for c in ("windows", "window_links", "links"))
+        per_window = np.frombuffer(row["window_links"], dtype="<u4")
+        seen, links = widened(row["windows"], len(per_window)), widened(row["links"], len(order))
         first = np.cumsum(per_window, dtype=np.int64) - per_window
-        # Every window ends where both sides end, so none is without a link.
-        sums = [np.add.reduceat(v[links], first)[seen] if len(first) else v[:0] for v in (n, best)]
+        running = [np.append(0, np.cumsum(v[links])) for v in (n, best)]
+        sums = [(r[first + per_window] - r[first])[seen] for r in running]
         ends = np.cumsum(np.array(row["n_windows"], dtype=np.int64))
         total, bests = (np.diff(np.concatenate([[0], np.cumsum(s)])[ends], prepend=0) for s in sums)
         columns["n_links"] += row["n_groups"]
@@ -253,7 +381,7 @@ def align(
     second: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_links: int = CHUNK_LINKS,
+    chunk_windows: int = CHUNK_WINDOWS,
 ) -> DataFrame:
     """One row per row of ``docs``: how its tokens by two vocabularies align.
 
@@ -268,7 +396,7 @@ def align(
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     paths = first or vocabulary_path(), second or vocabulary_path(SECOND)
-    made = written(chunks(rows, *paths, chunk_links))
+    made = written(chunks(rows, *paths, chunk_windows))
     counts = written(pair_counts(made))
     wanted = made.select(F.col("chunk").alias("of_chunk"), F.explode("pairs").alias("pair")).join(counts, "pair")
     left = made.drop("pairs", "pair_counts").groupBy("chunk")
