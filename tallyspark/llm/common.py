@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.session import written
+from tallyspark.session import scratch, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "table", "texts", "written", "remainder", "checked_broadcast"]
+__all__ = ["SPACE", "WORD", "table", "texts", "scratch", "written", "remainder", "checked_broadcast"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,8 +6,10 @@ Candidates are never all pairs of a bucket:
 1. every node is held against the central node of each of its buckets (the one whose
    buckets are largest; in a family of edited copies this is the text they come from),
 2. what is still apart is compared by signature in blocks of bounded size, outside the
-   largest component of the bucket against all of it, and only pairs whose estimate
-   could reach the threshold are held against each other, the likeliest first.
+   largest component of the bucket against all of it. Only nodes with a pair that could
+   reach the threshold bring their sets; inside the block the likeliest pair of two
+   components is held against each other first, and what leaves it are the links that
+   join components, fewer than its nodes.
 
 Pairs inside one component are left out at every step, as they cannot change the result.
 """
@@ -20,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyspark.llm.common import checked_broadcast, shingle_hashes, texts, word_hashes, written
+from tallyspark.llm.common import checked_broadcast, scratch, shingle_hashes, texts, word_hashes, written
 from tallyspark.llm.components import components
 
 ROWS = 5
@@ -31,8 +34,6 @@ SIGNATURE = 1024
 LOW_BITS = 2
 SIGMAS = 4
 BLOCK = 256
-#: Likeliest partners of a node in a block that are tried, by round; in the last one all.
-ROUNDS = (2, 16, None)
 MAX_BROADCAST = 2_000_000
 
 
@@ -88,13 +89,13 @@ def banded(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per document (doc_id, text): size and digest of its shingle set and its band keys."""
     bands = bands_for(percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(bands * ROWS, 1)
         powers = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, ROWS + 1)], dtype=np.uint64)
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch["text"]:
-                grams = shingle_hashes(word_hashes(text), words)
+            for text in batch.column("text"):
+                grams = shingle_hashes(word_hashes(text.as_py()), words)
                 sizes.append(len(grams))
                 if len(grams) == 0:
                     digests.append(None)
@@ -105,11 +106,12 @@ def banded(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 key = (least * powers).sum(axis=1) + np.arange(bands, dtype=np.uint64)
                 key ^= key >> np.uint64(31)
                 keys.append((key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "digest": digests, "keys": keys}
-            )
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            # Ids pass as they are: no float in between.
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -159,19 +161,21 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long, est double")
 
 
+def are_linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct hashes reach the threshold."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["grams_a"], batch["grams_b"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            sets = [[np.frombuffer(g, dtype=np.uint64) for g in batch[c]] for c in ("grams_a", "grams_b")]
+            yield batch.loc[[are_linked(x, y, percent) for x, y in zip(*sets)], ["a", "b"]]
 
     return _two_sides(pairs, nodes, "grams").select("a", "b", "grams_a", "grams_b").mapInPandas(run, "a long, b long")
 
@@ -195,7 +199,10 @@ class Grouping:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        links = confirmed(pairs, self.nodes, self.percent)
+        self.merge(confirmed(pairs, self.nodes, self.percent))
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the components of confirmed links (a, b)."""
         edges = _two_sides(written(links), self.of, "comp")
         merged = written(components(edges, "comp_a", "comp_b"))
         moved = merged.select(F.col("node").alias("comp"), F.col("component").alias("to"))
@@ -231,29 +238,67 @@ def _blocks(members: DataFrame, group: Grouping, hubs: DataFrame) -> DataFrame:
     return everyone.select(*columns, F.lit(False).alias("small")).unionByName(few.select(*columns, F.lit(True).alias("small")))
 
 
-def _block_pairs(blocks: DataFrame, nodes: DataFrame, percent: int, partners: int | None) -> DataFrame:
-    """Of every small node its first ``partners`` by estimate in a block, or all that could be linked."""
-    least = gate(percent)
+def _open_pairs(few: pd.DataFrame, rest: pd.DataFrame, percent: int) -> np.ndarray:
+    """Estimates of the pairs of two components that could be linked, -1 for all others.
+
+    The hub of a bucket has been held against all its nodes before."""
+    est = estimate(_words(few["sig"])[:, None, :], _words(rest["sig"])[None, :, :])
+    hub, a, b = few["hub"].iloc[0], few["node"].to_numpy(), rest["node"].to_numpy()
+    size_a, size_b = few["size"].to_numpy()[:, None], rest["size"].to_numpy()[None, :]
+    open_pair = few["comp"].to_numpy()[:, None] != rest["comp"].to_numpy()[None, :]
+    open_pair &= (a != hub)[:, None] & (b != hub)[None, :]
+    open_pair &= 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return np.where(open_pair & (est >= gate(percent)), est, -1.0)
+
+
+def spanning_links(few: pd.DataFrame, rest: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between ``few`` and ``rest`` that join all components their links join.
+
+    The likeliest pair is tried first, and none whose components are joined already."""
+    est = _open_pairs(few, rest, percent)
+    x, y = np.nonzero(est >= 0)
+    order = np.argsort(-est[x, y], kind="stable")
+    parent: dict[int, int] = {}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        few, rest = rows[rows["small"]], rows[~rows["small"]]
+    def root(comp: int) -> int:
+        while (up := parent.get(comp, comp)) != comp:
+            parent[comp] = parent.get(up, up)
+            comp = up
+        return comp
+
+    sides = [(d["node"].tolist(), d["comp"].tolist(), d["grams"].tolist()) for d in (few, rest)]
+    (node_a, comp_a, set_a), (node_b, comp_b, set_b) = sides
+    links = []
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        p, q = root(comp_a[i]), root(comp_b[j])
+        if p != q and are_linked(np.frombuffer(set_a[i], np.uint64), np.frombuffer(set_b[j], np.uint64), percent):
+            parent[p] = q
+            links.append((node_a[i], node_b[j]))
+    return links
+
+
+def _block_links(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) inside the blocks, no more of a block than it has nodes."""
+
+    def halves(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return rows[rows["small"]], rows[~rows["small"]]
+
+    def active(rows: pd.DataFrame) -> pd.DataFrame:
+        few, rest = halves(rows)
         if len(few) == 0 or len(rest) == 0:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        est = estimate(_words(few["sig"])[:, None, :], _words(rest["sig"])[None, :, :])
-        hub, a, b = few["hub"].iloc[0], few["node"].to_numpy(), rest["node"].to_numpy()
-        size_a, size_b = few["size"].to_numpy()[:, None], rest["size"].to_numpy()[None, :]
-        open_pair = few["comp"].to_numpy()[:, None] != rest["comp"].to_numpy()[None, :]
-        open_pair &= (a != hub)[:, None] & (b != hub)[None, :]
-        open_pair &= 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-        est = np.where(open_pair & (est >= least), est, -1.0)
-        order = np.lexsort((np.broadcast_to(b, est.shape), -est), axis=1)[:, :partners]
-        ranked = np.take_along_axis(est, order, axis=1)
-        x, y = np.nonzero(ranked >= 0)
-        left, right = a[x], b[order[x, y]]
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
-
-    rows = blocks.join(nodes.select("node", "size", "sig"), "node")
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+            return rows.iloc[:0].drop(columns=["size", "sig"])
+        hit = _open_pairs(few, rest, percent) >= 0
+        return pd.concat([few[hit.any(axis=1)], rest[hit.any(axis=0)]]).drop(columns=["size", "sig"])
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        few, rest = halves(rows)
+        links = spanning_links(few, rest, percent) if len(few) and len(rest) else []
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    signed_rows = blocks.join(nodes.select("node", "size", "sig"), "node").select(*blocks.columns, "size", "sig")
+    some = written(signed_rows.groupBy("key", "i", "j").applyInPandas(active, blocks.schema))
+    whole = some.join(nodes.select("node", "size", "sig", "grams"), "node")
+    return whole.groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -282,12 +327,9 @@ def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     likely = written(estimated(pairs, nodes, percent))
     group.join(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")))
     group.join(group.apart(likely.select("a", "b")))
-    slim = members.select("node", "key")
-    for partners in ROUNDS:
-        blocks = written(_blocks(slim, group, hubs))
-        if blocks.isEmpty():
-            break
-        group.join(_block_pairs(blocks, nodes, percent, partners))
+    blocks = written(_blocks(members.select("node", "key"), group, hubs))
+    if not blocks.isEmpty():
+        group.merge(_block_links(blocks, nodes, percent))
     return group.of
 
 
@@ -305,17 +347,20 @@ def near_duplicates(
     An empty table gives no rows. Other columns are ignored.
     """
     source = texts(docs, id_col, text_col)
-    rows = written(banded(source, words, percent))
-    full = rows.filter("digest is not null and doc_id is not null")
-    # Equal sets are one node, named by its smallest id.
-    equal = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
-    members = written(shared_buckets(written(equal.select("node", F.explode("keys").alias("key")))))
-    wanted = checked_broadcast(members.select(F.col("node").alias("doc_id")).distinct(), MAX_BROADCAST)
-    nodes = written(signed(source.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
-    comps = linked(members, nodes, percent)
-
-    named = equal.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    ids = rows.select("doc_id", "n_shingles", "digest").join(written(named), "digest", "left")
+    with scratch(docs.sparkSession) as keep:
+        made = written(banded(source, words, percent))
+        rows = keep(made.drop("keys"))
+        full = made.filter("digest is not null and doc_id is not null")
+        # Equal sets are one node, named by its smallest id.
+        equal = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+        members = written(shared_buckets(equal.select("node", F.explode("keys").alias("key"))))
+        wanted = checked_broadcast(members.select(F.col("node").alias("doc_id")).distinct(), MAX_BROADCAST)
+        nodes = written(signed(source.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
+        comps = linked(members, nodes, percent)
+        named = equal.select("digest", "node").join(comps, "node", "left")
+        named = keep(named.select("digest", F.coalesce("comp", "node").alias("comp")))
+
+    ids = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("comp", "doc_id")
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -323,7 +368,11 @@ def near_duplicates(
 def without_near_copies(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group, all columns as they are."""
+    """``docs`` with the document of the smallest id of each group, all columns as they are.
+
+    Rows that repeat an id stay or go together, rows without an id stay."""
     found = near_duplicates(docs, words, percent, id_col, text_col)
-    kept = written(found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    dropped = written(found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    rows = docs.select(F.struct("*").alias("_row"))
+    alike = F.col("_row")[id_col] == F.col("_dropped")
+    return rows.join(checked_broadcast(dropped, MAX_BROADCAST), alike, "left_anti").select("_row.*")
