@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.common import SPACE, texts, written
+from tallyspark.llm.common import SPACE, checked_broadcast, scratch, texts, written
 
 BITS = 26
+MAX_BROADCAST = 2_000_000
 
 
 def _slot(seed: int, bits: int) -> Column:
@@ -96,22 +97,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are.
 
-    Rows are found again by id. Ids that occur several times are compared by hash and
-    length as well, and one of their fully equal rows stays.
+    What goes is found by the ids of the rows that do not stay, so texts are shuffled only
+    if these are too many to broadcast. Rows whose id is null or occurs several times are
+    compared by hash as well, and of those that are equal to a kept one the longest stays.
     """
-    kept = exact_dedup(docs, id_col, text_col, bits).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    kept = written(kept)
-    rows = docs.withColumn("_id", F.col(f"`{id_col}`"))
-    several = written(docs.groupBy(F.col(f"`{id_col}`").alias("_id")).count().filter("count > 1").select("_id"))
-    match = F.col("_id").eqNullSafe(F.col("_kept_id"))
-    ids = kept.select(F.col("_id").alias("_kept_id"))
-    straight = rows.join(several.select(F.col("_id").alias("_kept_id")), match, "left_anti").join(ids, match, "left_semi")
-    again = rows.join(several.select(F.col("_id").alias("_kept_id")), match, "left_semi")
-    clean = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE, ""), 256)
-    again = again.withColumn("_sha", clean).join(
-        kept.select(F.col("_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")),
-        match & (F.col("_sha") == F.col("_kept_sha")),
-        "left_semi",
-    )
-    longest = again.groupBy("_sha").agg(F.max_by(F.struct(*docs.columns), F.char_length(F.col(f"`{text_col}`"))).alias("_row"))
-    return straight.drop("_id").unionByName(longest.select("_row.*"))
+    with scratch(docs.sparkSession) as keep:
+        found = written(exact_dedup(docs, id_col, text_col, bits).select("doc_id", "kept", "text_sha256"))
+        several = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.struct("doc_id").alias("_id"))
+        several = keep(several)
+        dropped = keep(found.filter("not kept").select(F.struct("doc_id").alias("_id")).distinct())
+        stay = keep(found.filter("kept").select(F.struct("doc_id", "text_sha256").alias("_copy")).distinct())
+    several, dropped = checked_broadcast(several, MAX_BROADCAST), checked_broadcast(dropped, MAX_BROADCAST)
+    # One column, so that no name of the table can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id")).alias("_id"))
+    straight = rows.join(several, "_id", "left_anti").join(dropped, "_id", "left_anti")
+    text = F.coalesce(F.col("_row")[text_col], F.lit(""))
+    sha = F.lower(F.sha2(F.regexp_replace(text, SPACE, ""), 256))
+    again = rows.join(several, "_id", "left_semi").withColumn("_copy", F.struct(F.col("_id.doc_id").alias("doc_id"), sha.alias("text_sha256")))
+    again = again.join(stay, "_copy", "left_semi")
+    longest = again.groupBy("_copy").agg(F.max_by("_row", F.char_length(text)).alias("_row"))
+    return straight.select("_row.*").unionByName(longest.select("_row.*"))
