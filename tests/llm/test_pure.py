@@ -180,3 +180,22 @@ def test_cell_search_against_all_products():
 )
 def test_main_text(page, text):
     assert page_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("how", ["replaced", "missing"])
+def test_edited_passages_collide_and_are_covered(how):
+    """Passages of 51 to 100 words with an edit in the middle, in other surroundings."""
+    rng = np.random.default_rng(11)
+    some = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    met = 0
+    for size in range(51, 101):
+        one = some(size)
+        two = np.delete(one, size // 2)
+        if how == "replaced":
+            two = np.insert(two, size // 2, some(1))
+        a, b = np.concatenate([some(40), one, some(40)]), np.concatenate([some(33), two, some(50)])
+        met += bool(set(passages.paragraphs(a)[0].tolist()) & set(passages.paragraphs(b)[0].tolist()))
+        shifts = (7,) if how == "replaced" else (7, 8)
+        assert all(passages.alike(a, b, s) == [(40, 40 + size, 33, 33 + len(two))] for s in shifts)
+    assert met >= 48
+    assert passages.alike(a[:3], b, 0) == [] and passages.missed(1.0) == 0
