@@ -6,7 +6,6 @@ and the probabilities of all positions of a text are averaged.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ HIDDEN = 8
 MAX_LABELS, MAX_WINDOWS, MAX_PER_TEXT = 256, 8_000, 32
 EPOCHS = 6
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -105,7 +103,7 @@ def pooled(net: Network, column: list[str], n_labels: int, at_once: int = 4096)
 
 def answers(column: list[str], net: Network, labels: list[str]) -> list[tuple[str, float]]:
     """Language and score of each text."""
-    speaks = [bool(LETTER.search(t)) for t in column]
+    speaks = [any(map(str.isalpha, t)) for t in column]  # letters only: no numeral signs
     if not labels:
         return [(UNKNOWN, 0.0)] * len(column)
     p = pooled(net, [t if s else "" for t, s in zip(column, speaks)], len(labels))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tallyspark.llm import common, near_dedup, packing, page_text, passages, simple8b, topk, toxicity
+from tallyspark.llm import common, language, near_dedup, packing, page_text, passages, simple8b, topk, toxicity
 from tallyspark.llm.gru import PAD, Network
 from tallyspark.llm.language import pooled, windows
 from tallyspark.llm.tokens import Encoder, vocabulary_path
@@ -199,3 +199,8 @@ def test_edited_passages_collide_and_are_covered(how):
         assert all(passages.alike(a, b, s) == [(40, 40 + size, 33, 33 + len(two))] for s in shifts)
     assert met >= 48
     assert passages.alike(a[:3], b, 0) == [] and passages.missed(1.0) == 0
+
+
+def test_numeral_signs_are_no_letters():
+    net = language.Network(2, 1)
+    assert [a for a, _ in language.answers(["½ ² ٣ Ⅷ", "_ 1", "", "½ é"], net, ["fr"])] == ["und", "und", "und", "fr"]
