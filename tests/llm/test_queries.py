@@ -202,6 +202,19 @@ def test_top_k(spark):
     assert few.count() == 2
 
 
+def test_top_k_large_components_and_none(spark):
+    kind = "vec_id long, embedding array<double>"
+    large = spark.createDataFrame([(100, [1e6]), (1, [2e6]), (2, [3e5]), (3, [-4e6])], kind)
+    expected = [(100, n + 1, i, 1024_000_000 * 1024 * int(x)) for n, (i, x) in enumerate([(1, 2e6), (2, 3e5), (3, -4e6)])]
+    assert got(topk.top_k(large), "query_id", "rank", "vec_id", "score") == expected
+    none = spark.createDataFrame([(100, []), (7, []), (5, [])], kind)
+    assert got(topk.top_k(none), "query_id", "rank", "vec_id", "score") == [(100, 1, 5, 0), (100, 2, 7, 0)]
+    for value in (1e10, 1e30):
+        beyond = spark.createDataFrame([(100, [value]), (1, [value])], kind)
+        with pytest.raises(Exception, match="long"):
+            topk.top_k(beyond).collect()
+
+
 def test_page_text(spark):
     rows = [(1, "u", "<article><p>x &amp; y"), (2, None, None), (None, "u", ""), (1, "u", "<article><p>x &amp; y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' as text")
