@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(
@@ -45,6 +46,9 @@ POINTS_FOR_NAME = 25.0
 LEVELS = 4
 SIBLING_SHARE = 0.2
 LINK_LIMIT = 0.5
+#: A form with paragraphs and this many times the text around it is the page itself.
+FREE_SHARE = 20
+PROSE = {"p", "article", "main", "section", "pre", "blockquote"}
 
 
 @dataclass(eq=False)
@@ -52,6 +56,8 @@ class Node:
     tag: str
     parent: Node | None
     outside: bool = False
+    form: Node | None = None
+    article: bool = False
     points: float = 0.0
     chars: int = 0
     linked: int = 0
@@ -67,32 +73,39 @@ class Node:
 class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[Node, str]] = field(default_factory=list)
+    #: Text of the page that is in no form, and per form; forms with paragraphs.
+    free: int = 0
+    in_form: dict[int, int] = field(default_factory=dict)
+    prose: set[int] = field(default_factory=set)
 
 
-def _node(tag: str, attributes: str, parent: Node) -> Node:
+def _node(tag: str, attributes: str, parent: Node, page_form: bool = False) -> Node:
     names: set[str] = set()
     for _, *values in ATTRIBUTE.findall(attributes):
         names.update(NAME_PART.findall("".join(values).lower()))
-    outside = tag in OUTSIDE or bool(names & NOISE and tag not in ("html", "body", "article", "main"))
-    if tag == "header":
-        up = parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        outside = outside or up is None
+    outside = tag in OUTSIDE and tag != "form" or bool(names & NOISE and tag not in ("html", "body", "article", "main"))
+    outside = outside and not page_form or tag == "header" and not parent.article
     if tag in ("article", "main") and parent.tag in ("nav", "header", "form"):
-        inherited = False  # an element before it was never closed
+        inherited, form = False, None  # an element before it was never closed
     else:
-        inherited = parent.outside
-    node = Node(tag, parent, inherited or outside)
+        inherited, form = parent.outside, parent.form
+    node = Node(tag, parent, inherited or outside, form, parent.article or tag in ("article", "main"))
+    if tag == "form" and not page_form and form is None:
+        node.form = node
     if tag in ("article", "main") or names & GOOD:
         node.points += POINTS_FOR_NAME
     return node
 
 
-def parse(source: str) -> Page:
-    """Block elements and blocks of text, in order; broken markup is read as browsers do, roughly."""
+def parse(source: str, page_form: int | None = None) -> Page:
+    """Block elements and blocks of text, in order; broken markup is read as browsers do, roughly.
+
+    The element with the number ``page_form`` is a form that holds the page and counts as
+    any other element."""
     page, root = Page(), Node("", None)
     page.nodes.append(root)
+    numbers: dict[int, int] = {}
+    opened: Counter[str] = Counter()
     top, at, links, breaks = root, 0, 0, 0
     text: list[str] = []
     chars = linked = 0
@@ -101,7 +114,13 @@ def parse(source: str) -> Page:
         nonlocal chars, linked
         if text:
             block = " ".join("".join(text).split())
-            if block and not top.outside:
+            if block and not top.outside and top.form is not None:
+                number = numbers[id(top.form)]
+                page.in_form[number] = page.in_form.get(number, 0) + len(block)
+                if top.tag in PROSE:
+                    page.prose.add(number)
+            elif block and not top.outside:
+                page.free += len(block)
                 page.blocks.append((top, block))
                 share = linked / chars if chars else 0
                 earned = 1 + block.count(",") + min(len(block) / 100, 3)
@@ -109,11 +128,8 @@ def parse(source: str) -> Page:
                 while up and level < LEVELS:
                     up.points += earned / (1 if level == 0 else 2 * level)
                     up, level = up.parent, level + 1
-                up = top
-                while up:
-                    up.chars += len(block)
-                    up.linked += round(len(block) * share)
-                    up = up.parent
+                top.chars += len(block)
+                top.linked += round(len(block) * share)
         text.clear()
         chars = linked = 0
 
@@ -129,6 +145,11 @@ def parse(source: str) -> Page:
         chars += size
         linked += size if links else 0
 
+    def leave() -> None:
+        nonlocal top
+        opened[top.tag] -= 1
+        top = top.parent
+
     for m in TOKEN.finditer(source):
         if m.start() < at:
             continue
@@ -153,44 +174,50 @@ def parse(source: str) -> Page:
             flush()
             links = 0
             if m[1]:
-                up = top
-                while up and up.tag != tag:
-                    up = up.parent
-                if up and up.parent:
-                    top = up.parent
+                if opened[tag]:
+                    while top.tag != tag:
+                        leave()
+                    leave()
                 continue
-            if top.tag == "p" and top.parent:
-                top = top.parent
-            while top.tag in ENDS.get(tag, ()) and top.parent:
-                top = top.parent
+            if top.tag == "p":
+                leave()
+            while top.tag in ENDS.get(tag, ()):
+                leave()
             if tag == "hr":
                 continue
-            top = _node(tag, m[3], top)
+            number = len(page.nodes)
+            top = _node(tag, m[3], top, number == page_form)
+            opened[tag] += 1
+            if top.form is top:
+                numbers[id(top)] = number
             page.nodes.append(top)
     add(source[at:])
     flush()
+    # Parents come before their children, so counts go up in one pass from the end.
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     return page
 
 
-def _within(node: Node | None, kept: set[int]) -> bool:
-    while node:
-        if id(node) in kept:
-            return True
-        node = node.parent
-    return False
-
-
-def _is_list_of_links(node: Node | None, stop: set[int]) -> bool:
-    while node and id(node) not in stop:
-        if node.tag in LISTS and node.density() > LINK_LIMIT:
-            return True
-        node = node.parent
-    return False
+def _shown(nodes: list[Node], kept: set[int]) -> set[int]:
+    """Elements inside a kept one, but for lists of links and what is in them."""
+    shown: set[int] = set()
+    for node in nodes:
+        links = node.tag in LISTS and node.density() > LINK_LIMIT
+        if id(node) in kept or (id(node.parent) in shown and not links):
+            shown.add(id(node))
+    return shown
 
 
 def main_text(source: str) -> str:
     """The article of a page, one line for each block; empty if there is none."""
     page = parse(source)
+    if page.prose:
+        largest = max(sorted(page.prose), key=page.in_form.get)
+        if FREE_SHARE * page.free <= page.in_form[largest]:
+            page = parse(source, largest)
     holders = [n for n in page.nodes if not n.outside and n.chars]
     if not holders:
         return ""
@@ -203,8 +230,8 @@ def main_text(source: str) -> str:
                 text_like = node.tag == "p" and node.chars > 80 and node.density() < 0.25
                 if node.score() >= least or text_like:
                     kept.add(id(node))
-    lines = [t for n, t in page.blocks if _within(n, kept) and not _is_list_of_links(n, kept)]
-    return "\n".join(lines)
+    shown = _shown(page.nodes, kept)
+    return "\n".join(t for n, t in page.blocks if id(n) in shown)
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -215,15 +242,15 @@ def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", u
     an empty table gives none. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[["page_id", "url"]].assign(text=[main_text(s) for s in batch["html"]])
-            yield out.assign(page_id=out["page_id"].astype("Int64"))
+            text = pa.array([main_text(s) for s in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], ["page_id", "url", "text"])
 
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"),
     )
-    found = rows.mapInPandas(run, "page_id long, url string, text string")
+    found = rows.mapInArrow(run, "page_id long, url string, text string")
     return found.select("*", F.char_length("text").cast("long").alias("n_chars"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -176,12 +177,28 @@ def test_cell_search_against_all_products():
         ),
         ("<article><p>open <article2", "open"),
         ("<main>" + "<div>" * 3000 + "<p>deep, text</p>", "deep, text"),
+        (
+            "<body><form id=page><nav><p>Home</p></nav><h1>Title</h1><p>One, two, three</p><p>Four</p></form></body>",
+            "Title\nOne, two, three\nFour",
+        ),
+        ("<body><p>Write to us, please</p><form><p>name, or both</p></form></body>", "Write to us, please"),
     ],
 )
 def test_main_text(page, text):
     assert page_text.main_text(page) == text
 
 
+def test_deep_pages_take_linear_time():
+    """Open elements that are never closed, with a text and a stray end in each."""
+    times = []
+    for depth in (4_000, 40_000):
+        page = "<article>" + "<div>some, text</section>" * depth
+        start = time.perf_counter()
+        assert page_text.main_text(page).count("some, text") >= depth - 10
+        times.append(time.perf_counter() - start)
+    assert times[1] < 40 * times[0]
+
+
 @pytest.mark.parametrize("how", ["replaced", "missing"])
 def test_edited_passages_collide_and_are_covered(how):
     """Passages of 51 to 100 words with an edit in the middle, in other surroundings."""
