@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.session import scratch, written
@@ -10,7 +11,7 @@ from tallyspark.session import scratch, written
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "table", "texts", "scratch", "written", "remainder", "checked_broadcast"]
+__all__ = ["SPACE", "WORD", "table", "texts", "scratch", "written", "remainder", "checked_broadcast", "whole_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,12 @@ def remainder(doc_id: Column, parts: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
+def whole_ids(column: pd.Series) -> pd.arrays.IntegerArray:
+    """Ids that crossed over as text: pandas reads whole numbers beside a null as floats, which
+    changes those above 2**53."""
+    return pd.array([None if pd.isna(i) else int(i) for i in column], dtype="Int64")
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a table of a few fixed-width columns if it has at most ``max_rows``
     rows; else leave its join to Spark, which splits skewed partitions. Both ways

@@ -117,14 +117,15 @@ def predict(docs: DataFrame, net: Network, labels: list[str], columns: list[str]
     fields = [f for f in docs.select(*kept).schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
-                found = answers(list(some["text"]), net, labels)
-                yield some[kept].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                found = answers(some.column("text").to_pylist(), net, labels)
+                answer = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *answer], [*kept, "lang_pred", "score"])
 
-    return docs.select(*columns).mapInPandas(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def identify(

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyspark.llm.common import texts, written
+from tallyspark.llm.common import texts, written, whole_ids
 from tallyspark.llm.tokens import encoder, vocabulary_path
 
 GROUP_ROWS = 2_000
@@ -79,12 +80,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
     """The full windows of each document and what remains of it, with checksums of the ids."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, slot = encoder(vocabulary).encode, TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some, rows = batch.iloc[at : at + 256], []
-                for doc, ids in zip(some["doc_id"], encode(some["text"])):
+            for at in range(0, batch.num_rows, 256):
+                some, rows = batch.slice(at, 256), []
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist())):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, size):
@@ -93,10 +94,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
                         rows.append((doc, start, n, zlib.crc32(part), total, n == size, slot))
                         slot += 1
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "full", "slot"]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                kinds = [pa.bool_() if n == "full" else pa.int64() for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.mapInPandas(run, PIECE)
+    return docs.mapInArrow(run, PIECE)
 
 
 def pack(
@@ -125,7 +126,7 @@ def pack(
         rows = rows.sort_values(["length", "slot"], ascending=[False, True])
         window, offset = best_fit(rows["length"].tolist(), size)
         number = ((key[0] << 36) + np.array(window, dtype=np.int64)) * 2 + 1
-        return rows[keep].assign(doc_id=rows["doc_id"].astype("Int64"), sequence_id=number, offset=offset)
+        return rows[keep].assign(doc_id=whole_ids(rows["doc_id"]), sequence_id=number, offset=offset)
 
-    grouped = rest.withColumn("_group", F.pmod(F.xxhash64("slot"), F.lit(groups)))
+    grouped = rest.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_group", F.pmod(F.xxhash64("slot"), F.lit(groups)))
     return full.unionByName(grouped.groupBy("_group").applyInPandas(fit, PACKED))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.llm import simple8b
-from tallyspark.llm.common import texts
+from tallyspark.llm.common import texts, whole_ids
 from tallyspark.llm.tokens import encoder, vocabulary_path
 
 SEGMENT_IDS = 1 << 17
@@ -31,7 +31,7 @@ def segments(docs: DataFrame, vocabulary: str, end_id: int, parts: int, segment_
         docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at"))
         .repartitionByRange(parts, "doc_id", "_at")
         .sortWithinPartitions("doc_id", "_at")
-        .select("doc_id", "text")
+        .select(F.col("doc_id").cast("string"), "text")
     )
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -104,12 +104,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "part": s.part,
-                        "doc_id": pd.array(list(s.doc_ids), dtype="Int64"),
+                        "doc_id": whole_ids(s.doc_ids),
                         "start": start + s.first,
                         "ids": [ids[4 * a : 4 * (a + n)] for a, n in zip(start.tolist(), sizes.tolist())],
                     }
                 )
 
-    columns = stored.select("part", "first", "n_ids", "doc_ids", "doc_sizes", "offsets", "words")
+    columns = stored.select("part", "first", "n_ids", F.col("doc_ids").cast("array<string>"), "doc_sizes", "offsets", "words")
     docs = columns.mapInPandas(run, "part int, doc_id long, start long, ids binary")
     return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "ids")

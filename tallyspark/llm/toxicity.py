@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.common import LOWER, mix, span_hashes, texts
@@ -130,10 +131,11 @@ def toxicity(
     rows = texts(docs, id_col, text_col)
     index, values = fit(rows, labels.select("doc_id", "toxic"), learn)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
         weights[index] = values
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": score(list(batch["text"]), weights)})
+            scores = pa.array(score(batch.column("text").to_pylist(), weights), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return rows.mapInPandas(run, "doc_id long, score double")
+    return rows.mapInArrow(run, "doc_id long, score double")

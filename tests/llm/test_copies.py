@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, near_dedup
+from tallyspark.llm import exact_dedup, language, near_dedup, packing, page_text, token_files, toxicity
 
 BIG = 9_007_199_254_740_992
 
@@ -79,3 +80,17 @@ def test_without_near_copies_on_odd_rows(odd, prose):
     assert out.columns == table.columns
     assert sorted((str(r["doc_id"]) for r in out.collect())) == ["2", "4", "9", "9", "None"]
     assert near_dedup.without_near_copies(odd([])).collect() == []
+
+
+def test_every_operator_keeps_ids_beyond_floats(spark, docs, prose, tmp_path):
+    rows = [(BIG + 1, prose(1, 80), "en", "a"), (BIG, prose(2, 1500), "fr", "a"), (None, prose(3, 30), "en", "a")]
+    df, every = docs(rows).coalesce(1), {BIG + 1, BIG, None}
+    ids = lambda found: {r["doc_id"] for r in found.select("doc_id").collect()}
+    assert ids(packing.pack(df)) == every
+    labels = spark.createDataFrame([(BIG + 1, 1), (BIG, 0), (None, 1)], "doc_id long, toxic int")
+    assert ids(toxicity.toxicity(df, labels, F.lit(True))) == every
+    assert ids(language.identify(df, F.lit(True))) == every
+    token_files.write_token_files(df, str(tmp_path / "ids"), parts=2)
+    assert ids(token_files.read_token_files(spark, str(tmp_path / "ids"))) == every
+    pages = df.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    assert ids(page_text.extract(pages).withColumnRenamed("page_id", "doc_id")) == every
