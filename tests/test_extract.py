@@ -119,6 +119,15 @@ def test_lines_equal_the_fold(spark, seed):
     assert sorted(r["text"] for r in got) == fold(kept)
 
 
+def test_lines_of_many_heights(spark):
+    """Heights without a gap, far more than a page has, and heights that all stand apart."""
+    rng = random.Random(9)
+    words = [("f", 1, i, f"w{i}", float(i), 0.0, round(rng.uniform(0, 3_000), 3)) for i in range(10_000)]
+    assert sorted(r["text"] for r in layout.words_to_lines(spark.createDataFrame(words, WORD)).collect()) == fold(words)
+    apart = spark.range(10_000).selectExpr("'f' source_file", "1 page", "int(id) word_no", "'w' text", "0D x0", "0D x1", "id * 4D top")
+    assert layout.words_to_lines(apart).count() == 10_000
+
+
 def test_drifting_words_start_a_new_line(spark):
     words = [("f", 1, i, t, float(i), 0.0, top) for i, (t, top) in enumerate([("a", 0.0), ("b", 2.0), ("c", 4.0), ("d", 6.0)])]
     got = layout.words_to_lines(spark.createDataFrame(words, WORD)).collect()
