@@ -15,14 +15,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.common import LOWER, mix, span_hashes, texts
+from tallyspark.llm.common import LOWER, mix, span_hashes, texts, written
 
 BITS = 20
 STEM = 5
 #: Labelled texts of each class that are learned from, at most.
 MAX_PER_CLASS = 3_000
-#: Longer texts (in code points) are scored like all others, but not learned from.
-MAX_CHARS = 50_000
+#: Features of all texts of a class that are learned from, at most (4 bytes each); one text has up to 2**BITS.
+MAX_FEATURES = 6_000_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 EPOCHS = 12
 
@@ -83,9 +83,12 @@ def score(texts_: list[str], weights: np.ndarray, bits: int = BITS) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = MAX_PER_CLASS) -> tuple[pd.DataFrame, dict[int, float]]:
-    """Features of at most ``max_per_class`` labelled texts of each class, and how many
-    labelled rows each of them stands for. Rows are picked by a hash of their id."""
+def training_sample(
+    docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = MAX_PER_CLASS, max_features: int = MAX_FEATURES
+) -> tuple[pd.DataFrame, dict[int, float]]:
+    """Features of at most ``max_per_class`` labelled texts of each class, with at most ``max_features``
+    together, and how many labelled rows each of them stands for. Ids are picked by their hash, whatever
+    the length of their texts; of several texts of an id one is taken."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -96,12 +99,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_per_c
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(features(t)).astype("<i4").tobytes() for t in batch["text"]]
-            yield batch[["doc_id", "toxic"]].assign(found=found)
-
-    rows = docs.filter(F.char_length("text") <= MAX_CHARS).join(F.broadcast(picked), "doc_id")
-    sample = rows.select("doc_id", "text", "toxic").mapInPandas(run, "doc_id long, toxic int, found binary").toPandas()
-    sample = sample.sort_values(["doc_id", "found"]).reset_index(drop=True)
+            for at in range(0, len(batch), 100):
+                some = batch.iloc[at : at + 100]
+                found = [np.unique(features(t)).astype("<i4").tobytes() for t in some["text"]]
+                yield some[["doc_id", "toxic"]].assign(found=found)
+
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    held = rows.mapInPandas(run, "doc_id long, toxic int, found binary")
+    held = written(held.groupBy("doc_id", "toxic").agg(F.max("found").alias("found")))
+    # At most max_per_class rows of three numbers for each class.
+    sizes = held.select("doc_id", "toxic", (F.length("found") / 4).alias("n"), F.xxhash64("doc_id").alias("draw")).toPandas()
+    sizes = sizes.sort_values(["draw", "doc_id"])
+    beyond = sizes[sizes.groupby("toxic")["n"].cumsum() > max_features]
+    if len(beyond):
+        left_out = docs.sparkSession.createDataFrame(beyond[["doc_id"]], "doc_id long")
+        held = held.join(F.broadcast(left_out), "doc_id", "left_anti")
+    sample = held.toPandas().sort_values("doc_id").reset_index(drop=True)
     counts = sample["toxic"].value_counts()
     return sample, {c: totals.get(c, 0) / max(1, int(counts.get(c, 0))) for c in (0, 1)}
 
@@ -124,7 +137,7 @@ def toxicity(
 
     ``labels`` has doc_id and toxic (0 or 1; other values and null ids are left out, of
     several labels of one id the highest counts); ``learn`` says, over doc_id, which labels
-    may be learned from. At most MAX_PER_CLASS texts of each class are; all texts are scored
+    may be learned from. At most MAX_PER_CLASS texts of each class with MAX_FEATURES are; all texts are scored
     as a whole. Null and empty texts get the score of a text without features. Without any
     label every score is about 0. An empty table gives no rows. Other columns are ignored.
     """

@@ -94,3 +94,16 @@ def test_every_operator_keeps_ids_beyond_floats(spark, docs, prose, tmp_path):
     assert ids(token_files.read_token_files(spark, str(tmp_path / "ids"))) == every
     pages = df.selectExpr("doc_id as page_id", "'u' as url", "text as html")
     assert ids(page_text.extract(pages).withColumnRenamed("page_id", "doc_id")) == every
+
+
+def test_toxicity_sample_is_bounded_by_features_not_length(spark, docs, prose):
+    long = prose(7, 20_000)
+    rows = [(k, prose(k, 30), "en", "a") for k in range(40)] + [(50, long, "en", "a"), (50, "short", "en", "a")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(50, 1)], "doc_id long, toxic int")
+    every, importance = toxicity.training_sample(docs(rows), labels, F.lit(True))
+    assert list(every["doc_id"]) == [*range(40), 50] and importance == {0: 1.0, 1: 1.0}
+    assert len(long) > 100_000
+    some, importance = toxicity.training_sample(docs(rows), labels, F.lit(True), max_features=600)
+    sizes = some["found"].map(len).groupby(some["toxic"]).sum() // 4
+    assert 300 < sizes[0] <= 600 and sizes[1] <= 600 and importance[0] > 1
+    assert set(some["doc_id"]) <= set(every["doc_id"])
