@@ -54,12 +54,14 @@ def movement_totals(movements: DataFrame, left_out: Column | None = None) -> Dat
 
 
 def _on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on the key as one struct: a file whose account could not be read has a NULL
-    account and still meets its own rows."""
-    with_key = lambda df: df.withColumn("_key", F.struct(*KEY))
-    other = with_key(right).drop(*KEY)
-    joined = with_key(left).drop(*KEY).join(other, "_key", how) if how == "full" else with_key(left).join(other, "_key", how)
-    return joined.select(*[F.col("_key")[c].alias(c) for c in KEY], "*").drop("_key") if how == "full" else joined.drop("_key")
+    """Join on the key, NULL as a value: a file whose account could not be read has a NULL
+    account and still meets its own rows. The key crosses the network once, as it is."""
+    other = right.withColumnsRenamed({c: f"_other_{c}" for c in KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in KEY]
+    joined = left.join(other, same[0] & same[1], how)
+    if how == "full":
+        joined = joined.withColumns({c: F.coalesce(c, f"_other_{c}") for c in KEY})
+    return joined.drop(*[f"_other_{c}" for c in KEY])
 
 
 def _against(statements: DataFrame, totals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from tallyspark import catalog, schema
-from tallyspark.operators import statements as st
+from tallyspark.operators import reconcile, statements as st
 
 
 def D(x):
@@ -127,3 +127,12 @@ def test_known_gap_is_accepted(spark, load):
     lines = spark.createDataFrame(late, LDDL)
     out = st.import_statements(lines, catalog.STATEMENT, first.movements, first.statements, gaps)
     assert report(out) == {"c.pdf": ("ok", 1, None)}
+
+
+def test_accepted_rows_cross_without_a_copy_of_their_key(spark, rows):
+    """A null account meets its own checks, and the key is not sent a second time as a struct."""
+    moved = spark.createDataFrame([(None, "a", 1), (None, "b", 2), (7, "a", 3)], "account_id long, source_file string, n int")
+    checks = spark.createDataFrame([(None, "a", False), (7, "a", True)], "account_id long, source_file string, ok boolean")
+    kept = reconcile.accept(moved, checks)
+    assert rows(kept, "n") == [("2",), ("3",)] and rows(reconcile.quarantine(moved, checks), "n") == [("1",)]
+    assert "struct" not in kept._jdf.queryExecution().optimizedPlan().toString()
