@@ -78,15 +78,13 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """Line items as signed transactions; ``text=True`` joins the part's words."""
+    """Line items as signed transactions; ``text=True`` joins the part's words.
+
+    What a row needs of its line item is worked out before it meets its order, so that few
+    and narrow columns cross the network and are sorted."""
     item = table(spark, sf_dir, "lineitem")
     if text:
         item = spread(item)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = item.join(orders, item.l_orderkey == orders.o_orderkey)
-    if text:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-        rows = rows.join(part, rows.l_partkey == part.p_partkey)
     price = money("l_extendedprice")
     part_no, supplier, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     # Category 1 + part % 10, none for every 11th part; 1-6 expense, 7-8 income, 9-10 transfer.
@@ -105,22 +103,41 @@ def ledger(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     is_spend = F.when(unknown, is_open & (F.col("l_extendedprice") > 0)).otherwise(digit <= 5)
     columns = [
         ((F.col("l_orderkey") * 8 + line) * 1048576 + (part_no * 509 + supplier) % 1048576).alias("id"),
-        F.col("o_custkey").alias("account_id"),
         F.col("l_shipdate").cast("date").alias("date"),
         amount.alias("amount"),
         F.when(supplier % 20 == 0, "USD").when(supplier % 20 == 1, "EUR").otherwise("MXN").alias("currency"),
         category.alias("category_id"),
         F.when((is_spend & (line != 7)) | (part_no % 97 == 0), tag).alias("spend_frequency"),
-        F.when(line % 3 != 0, F.col("l_orderkey").cast("string")).alias("external_ref"),
-        F.concat(F.lit("s"), supplier.cast("string"), F.when(is_open, ".csv").otherwise(".pdf")).alias("source_file"),
+        supplier.alias("_supplier"),
+        is_open.alias("_open"),
         line.alias("source_row"),
     ]
     if text:
-        columns += [
+        columns.append(part_no.alias("_part"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_order"), F.col("o_custkey").alias("account_id"))
+    rows = item.select(F.col("l_orderkey").alias("_order"), *columns).join(orders, "_order")
+    if text:
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_part"), "p_name", "p_brand")
+        rows = rows.join(part, "_part")
+    supplier = F.col("_supplier")
+    out = [
+        "id",
+        "account_id",
+        "date",
+        "amount",
+        "currency",
+        "category_id",
+        "spend_frequency",
+        F.when(F.col("source_row") % 3 != 0, F.col("_order").cast("string")).alias("external_ref"),
+        F.concat(F.lit("s"), supplier.cast("string"), F.when(F.col("_open"), ".csv").otherwise(".pdf")).alias("source_file"),
+        "source_row",
+    ]
+    if text:
+        out += [
             F.col("p_name").alias("description"),
             F.when(supplier % 7 != 0, F.col("p_brand")).alias("raw_description"),
         ]
-    return rows.select(*columns)
+    return rows.select(*out)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
