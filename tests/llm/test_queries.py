@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, language, mixing, near_dedup, packing, page_text, passages, token_files, topk, toxicity
+from tallyspark.llm import common, exact_dedup, language, mixing, near_dedup, packing, page_text, passages, token_files, topk, toxicity
 from tallyspark.llm.common import remainder
 from tallyspark.llm.components import components
 from tallyspark.llm.tokens import vocabulary_path
@@ -296,6 +296,26 @@ def test_passages_chain_and_second_match(docs, prose):
     assert {spans[k]["cluster_id"] for k in range(10, 14)} == {10} and {spans[k]["n_words"] for k in range(10, 14)} == {200}
 
 
+def test_passages_like_the_first_of_a_bucket_meet_the_others(docs, prose):
+    """The second of three is like both others, which are not alike, and the third meets it only in
+    buckets that the first is in too."""
+    keys = lambda text: set(passages.paragraphs(common.word_hashes(text))[0].tolist())
+    rows, k = [], 0
+    while len(rows) < 24:
+        base, k = prose(8000 + k, 56), k + 1
+        three = [changed(base, "replaced", [19]), base, changed(base, "replaced", [37])]
+        three = [" ".join([prose(60_000 + 3 * k + n, 30), text, prose(90_000 + 3 * k + n, 50)]) for n, text in enumerate(three)]
+        first, second, third = map(keys, three)
+        if first & second and second & third and second & third <= first:
+            rows += [(len(rows) + n, text, "en", "a") for n, text in enumerate(three)]
+    found = defaultdict(list)
+    for r in passages.repeated_passages(docs(rows)).collect():
+        found[r["doc_id"]].append(r)
+    for doc, *_ in rows:
+        (r,) = found[doc]
+        assert (r["cluster_id"], r["start_word"], r["end_word"], r["kept"]) == (doc - doc % 3, 30, 86, doc % 3 == 0)
+
+
 def test_passages_are_whole(docs, prose):
     """All words of an exact passage, which then leave the later document altogether."""
     shared = prose(900, 70)
