@@ -8,7 +8,6 @@ vocabularies for which that does not hold are encoded whole.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sys
@@ -66,23 +65,23 @@ class Encoder:
     def __init__(self, path: str, max_words: int = MAX_WORDS, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        # The file is not parsed a second time: as Python objects a vocabulary is many times its size.
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        pre = spec.get("pre_tokenizer") or {}
+        self.model, pre = self.whole.model, self.whole.pre_tokenizer
         self.by_word = (
-            pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space", True)
-            and spec.get("normalizer") is None
-            and spec["model"].get("type") == "BPE"
+            isinstance(pre, ByteLevel)
+            and pre.use_regex
+            and not pre.add_prefix_space
+            and self.whole.normalizer is None
+            and isinstance(self.model, BPE)
         )
-        self.added = [t["content"] for t in spec.get("added_tokens", []) if not (plain and t["special"])]
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.split, self.unsafe = regex.compile(SPLIT).findall, re.compile(UNSAFE).search
         self.letters = byte_letters()
-        self.model = self.whole.model
         self.parts = _Memory(self._part, max_words // 5)
         self.pieces = _Memory(self._piece, max_words)
 
