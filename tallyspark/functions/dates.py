@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Spanish month names as printed on the statements.
@@ -26,9 +28,23 @@ def full_year(year: Column) -> Column:
     return F.when(y < 100, y + 2000).otherwise(y)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def date_of(year: Column, month: Column, day: Column) -> Column:
-    """Date of three numbers, NULL when there is no such day."""
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d")
+    """Date of three numbers, NULL when there is no such day.
+
+    Years of four digits are cast, which reads a date without a formatter."""
+    m, d = month.cast("string"), day.cast("string")
+
+    def read(y: Column) -> Column:
+        near = F.concat(y.cast("string"), F.lit("-"), m, F.lit("-"), d).try_cast("date")
+        far = F.try_to_date(F.concat_ws("-", y.cast("string"), m, d), "y-M-d")
+        return F.when(y.between(1000, 9999), near).otherwise(far)
+
+    return _bound(year, read)
 
 
 # Fixed formats: printed date tokens, as (pattern, order of the three parts).
@@ -42,15 +58,29 @@ DATE_TOKENS = {
 }
 
 
+# Fixed format: what separates the parts of a token, and the ends of a line that ``$`` lets pass.
+DATE_SEPARATORS = {"dd-mmm-y": "-", "dd/MM/y": "/", "dd-MM-yyyy": "-", "d mmm yyyy": " ", "M/d/y": "/", "mmm dd yyyy": " "}
+LINE_ENDS = "\n\r\u0085\u2028\u2029"
+
+
 def parse_date_token(text: Column, kind: str) -> Column:
-    """Read one printed date token; anything else gives NULL."""
+    """Read one printed date token; anything else gives NULL.
+
+    The pattern is matched once; the parts of a token that fits are cut at their separators."""
     pattern, order = DATE_TOKENS[kind]
-    token = F.trim(text)
-    part = {key: F.regexp_extract(token, pattern, i + 1) for i, key in enumerate(order)}
-    month = month_number(part["b"]) if "b" in part else part["m"].try_cast("int")
-    return F.when(
-        token.rlike(pattern), date_of(full_year(part["y"]), month, part["d"].try_cast("int"))
-    )
+    sep = DATE_SEPARATORS[kind]
+
+    def read(token: Column) -> Column:
+        cut = (
+            F.substring_index(token, sep, 1),
+            F.substring_index(F.substring_index(token, sep, 2), sep, -1),
+            F.rtrim(F.substring_index(token, sep, -1), F.lit(LINE_ENDS)),
+        )
+        part = dict(zip(order, cut))
+        month = month_number(F.substring(part["b"], 1, 3)) if "b" in part else part["m"].try_cast("int")
+        return F.when(token.rlike(pattern), date_of(full_year(part["y"]), month, part["d"].try_cast("int")))
+
+    return _bound(F.trim(text), read)
 
 
 def resolve_year(month: Column, period_start: Column, period_end: Column) -> Column:

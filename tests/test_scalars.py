@@ -144,3 +144,31 @@ def test_file_parts_and_references(spark):
     assert one(spark, t.reference_slash(F.lit("a /REFAB12 c"))) == "AB12"
     assert one(spark, t.unquoted(F.lit(" 'AT26' "))) == "AT26"
     assert one(spark, t.unquoted(F.lit(" "))) is None
+
+
+def test_date_token_is_worked_out_once(spark):
+    """The text of a token is named once in the plan, however many parts are read from it."""
+    df = spark.range(1).select(d.parse_date_token(F.reverse(F.col("id").cast("string")), "dd-mmm-y").alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+
+
+def test_date_tokens_at_the_edges(spark):
+    cases = [
+        ("01-ene-1999\n", "dd-mmm-y", date(1999, 1, 1)),
+        ("01-ENE-99\u2028", "dd-mmm-y", date(2099, 1, 1)),
+        ("29/02/1999", "dd/MM/y", None),
+        ("29/02/2000", "dd/MM/y", date(2000, 2, 29)),
+        ("01/01/0999", "dd/MM/y", date(999, 1, 1)),
+        ("00/01/1999", "dd/MM/y", None),
+        (" 3 Dic 2001 ", "d mmm yyyy", date(2001, 12, 3)),
+        ("3 xyz 2001", "d mmm yyyy", None),
+        ("12/31/04", "M/d/y", date(2004, 12, 31)),
+        ("diciembre 31 2004", "mmm dd yyyy", date(2004, 12, 31)),
+        ("1-1-1999", "dd-MM-yyyy", None),
+        (None, "dd-MM-yyyy", None),
+    ]
+    for text, kind, expected in cases:
+        assert one(spark, d.parse_date_token(F.lit(text).cast("string"), kind)) == expected, (text, kind)
+    none = F.lit(None).cast("int")
+    assert one(spark, d.date_of(F.lit(1999), F.lit(5), none)) is None
+    assert one(spark, d.date_of(none, F.lit(5), F.lit(1))) is None
