@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tallyspark.functions.dates import month_key
 from tallyspark.plans.picks import without_known
@@ -60,17 +60,12 @@ def overlay_manual(table: DataFrame, manual: DataFrame, keys: list[str]) -> Data
 def resolve_account(rows: DataFrame, accounts: DataFrame, prefix: str = "Contract ") -> DataFrame:
     """Join a contract code with the account whose notes name it.
 
-    Files with an unknown code keep all their rows, marked ``rejected``.
+    Files with an unknown code keep all their rows, marked ``rejected``. The rows are made
+    once: a file's rows meet in a window, which is as large as one file.
     """
     code = accounts.filter(F.col("notes").startswith(prefix)).select(
         F.regexp_replace("notes", f"^{prefix}", "").alias("contract"), "account_id"
     )
     joined = rows.join(code, "contract", "left")
-    bad = (
-        joined.filter(F.col("account_id").isNull())
-        .select(F.col("source_file").alias("_bad"))
-        .distinct()
-    )
-    return joined.join(bad, joined.source_file == bad["_bad"], "left").withColumn(
-        "rejected", F.col("_bad").isNotNull()
-    ).drop("_bad")
+    unknown = F.max(F.col("account_id").isNull()).over(Window.partitionBy("source_file"))
+    return joined.withColumn("rejected", F.col("source_file").isNotNull() & unknown)

@@ -392,3 +392,17 @@ def test_registered_stream_takes_rows_without_a_reference(spark):
     keys = bindings.ledger(spark, sf).filter("external_ref is null").select("account_id", "source_file", "source_row").distinct()
     loaded = {n: QUERIES[n](spark, sf).agg(F.sum("rows")).first()[0] for n in ("ingest_stream_rows", "ingest_stream_ledger")}
     assert keys.count() > 0 and loaded["ingest_stream_ledger"] == loaded["ingest_stream_rows"] + keys.count()
+
+
+def test_resolve_account_makes_its_rows_once(spark):
+    rows = spark.createDataFrame(
+        [("a", "C1"), ("a", "C?"), ("b", "C1"), (None, "C?"), ("c", None)], "source_file string, contract string"
+    )
+    accounts = spark.createDataFrame([(1, "Contract C1"), (2, "other")], "account_id long, notes string")
+    out = ingest.resolve_account(rows.withColumn("contract", F.reverse(F.reverse("contract"))), accounts)
+    got = sorted(((r.source_file or "", r.contract or "", r.account_id, r.rejected) for r in out.collect()), key=str)
+    assert got == sorted(
+        [("", "C?", None, False), ("a", "C1", 1, True), ("a", "C?", None, True), ("b", "C1", 1, False), ("c", "", None, True)],
+        key=str,
+    )
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
