@@ -290,35 +290,38 @@ def rule_audit(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Per rule: rows it would hit, rows it hits first, and whether earlier rules
     take them all (``shadowed``) or nothing matches (``zero_hit``).
 
-    One aggregation with two sums per rule; the result has one row, which is then
-    spread out. No row of the ledger is multiplied.
+    Rows are counted by the list of rules they hit. Few lists differ, and each costs
+    one partial count a task; only the counted lists are spread out. No row of the ledger
+    is multiplied.
     """
     listed = ordered(rules)
     open_rows = with_text(ledger.filter(F.col("category_id").isNull()), listed)
-    runs = _runs(listed)
-    guards = open_rows.select("*", *[_guard(run).alias(f"_g{k}") for k, run in enumerate(runs)])
-    guard_of = [k for k, run in enumerate(runs) for _ in run]
-    hits = guards.select(*[(F.col(f"_g{k}") & condition(r)).alias(f"_h{i}") for i, (r, k) in enumerate(zip(listed, guard_of))])
-    first = F.when(F.col("_h0"), 0)
-    for i in range(1, len(listed)):
-        first = first.when(F.col(f"_h{i}"), i)
-    sums = []
-    for i in range(len(listed)):
-        sums.append(F.count_if(F.col(f"_h{i}")).alias(f"_any{i}"))
-        sums.append(F.count_if(F.col("_first") == i).alias(f"_first{i}"))
-    one = hits.withColumn("_first", first).agg(*sums)
-    rows = F.array(
+    found, i = [], 0
+    for run in _runs(listed):
+        hits = F.array_compact(F.array(*[F.when(condition(r), F.lit(i + k)) for k, r in enumerate(run)]))
+        found.append(hits if len(run) == 1 else F.when(_guard(run), hits).otherwise(F.array().cast("array<int>")))
+        i += len(run)
+    lists = open_rows.select(F.concat(*found).alias("hits")).groupBy("hits").agg(F.count("*").alias("n"))
+    spread_out = lists.select(F.posexplode("hits").alias("place", "rule"), "n")
+    counts = spread_out.groupBy("rule").agg(
+        F.sum("n").alias("any_hits"), F.sum(F.when(F.col("place") == 0, F.col("n")).otherwise(0)).alias("first_hits")
+    )
+    entries = F.array(
         *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.category).alias("category"),
-                F.col(f"_any{i}").alias("any_hits"),
-                F.col(f"_first{i}").alias("first_hits"),
-            )
+            F.struct(F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"))
             for i, r in enumerate(listed)
         ]
     )
-    return one.select(F.explode(rows).alias("r")).select(
+    named = ledger.sparkSession.range(1).select(F.inline(entries)).join(counts, "rule", "left")
+    rows = named.select(
+        F.struct(
+            "rule_id",
+            "category",
+            F.coalesce("any_hits", F.lit(0)).alias("any_hits"),
+            F.coalesce("first_hits", F.lit(0)).alias("first_hits"),
+        ).alias("r")
+    )
+    return rows.select(
         "r.*",
         (F.col("r.any_hits") == 0).alias("zero_hit"),
         ((F.col("r.any_hits") > 0) & (F.col("r.first_hits") == 0)).alias("shadowed"),

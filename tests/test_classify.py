@@ -132,3 +132,14 @@ def test_rules_from_a_table_are_bounded(spark):
     assert cl.rules_from_table(df) == [Rule(1, 1, 1, "Food", "a", valid_from=date(2024, 1, 1))]
     with pytest.raises(ValueError):
         cl.rules_from_table(df.union(df), limit=1)
+
+
+def test_rule_audit_counts_lists_of_hits(spark):
+    """Sums do not grow with the rules; a row that several rules hit counts for each of them."""
+    rules = [cl.Rule(k, 1, k, "Travel" if k % 2 else "Dining", f"w{k}x") for k in range(40)]
+    df = rows(spark, {"text": "w3x w20x"}, {"text": "w3x"}, {"text": "w20x w39x"}, {"text": "none"})
+    audit = cl.rule_audit(df, rules)
+    hit = {r["rule_id"]: (r["any_hits"], r["first_hits"], r["shadowed"]) for r in audit.collect() if not r["zero_hit"]}
+    assert hit == {3: (2, 2, False), 20: (2, 1, False), 39: (1, 0, True)}
+    assert audit.count() == 40
+    assert audit._jdf.queryExecution().optimizedPlan().toString().count("sum(") + audit._jdf.queryExecution().optimizedPlan().toString().count("count(") < 10
