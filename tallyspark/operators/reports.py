@@ -215,10 +215,14 @@ def category_month_cells(base: DataFrame, categories: DataFrame) -> DataFrame:
     expense = categories.filter((F.col("kind") == "expense") & F.col("name").isNotNull())
     names = [*sorted(r["name"] for r in expense.select("name").distinct().collect()), UNCATEGORISED]
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("category")
-    grid = seen.select(*keys).distinct().select(*keys, listed)
-    spent = base.filter(label.isNotNull()).groupBy(*keys, label.alias("category")).agg((-F.sum("amount")).alias("amount"))
-    cells = grid.join(spent, [*keys, "category"], "left")
-    return cells.select(*keys, "category", F.coalesce("amount", F.lit(0)).cast(SUM).alias("amount"))
+    # One aggregation: a month's sums by label become a map, which also tells the months.
+    spent = seen.groupBy(*keys, label.alias("category")).agg((-F.sum("amount")).alias("amount"))
+    entry = F.when(F.col("category").isNotNull(), F.struct("category", "amount"))
+    months = spent.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_spent"))
+    whole = F.col("owner_id").isNotNull() & F.col("currency").isNotNull() & F.col("month").isNotNull()
+    found = F.when(whole, F.try_element_at("_spent", F.col("category")))
+    cells = months.select(*keys, "_spent", listed)
+    return cells.select(*keys, "category", F.coalesce(found, F.lit(0)).cast(SUM).alias("amount"))
 
 
 def category_month_matrix(base: DataFrame, categories: DataFrame) -> DataFrame:

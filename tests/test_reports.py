@@ -278,3 +278,43 @@ def test_calendar_only_fills_cards(spark):
     card, bank = calendar.account_calendar(accounts, "2024-02-10").collect()
     assert card["next_cutoff_date"] == date(2024, 2, 29) and card["next_payment_due_date"] == date(2024, 3, 20)
     assert bank["next_cutoff_date"] is None and bank["parent"] == "Card"
+
+
+def test_ledger_rows_are_made_before_their_order_is_joined(spark, tmp_path):
+    """Only what a report uses meets the orders, not the columns it is made of."""
+    from tallyspark.sources import bindings
+
+    sf = str(tmp_path)
+    spark.createDataFrame(
+        [(1, 11, 3, 1, 10.0, "N", "O", "1997-05-02"), (1, 12, 4, 2, 20.0, "R", "F", "1997-06-02"), (9, 12, 4, 1, 5.0, "N", "O", None)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, "
+        "l_linestatus string, l_shipdate string",
+    ).write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{sf}/orders.parquet")
+    found = bindings.ledger(spark, sf).select("account_id", "date", "amount", "currency", "category_id")
+    got = sorted((r.account_id, str(r.date), str(r.amount), r.currency, r.category_id) for r in found.collect())
+    assert got == [(7, "1997-05-02", "-10.00", "MXN", None), (7, "1997-06-02", "20.00", "MXN", 3)]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    item = plan.children().head().output().mkString(",")
+    assert "amount" in item and "l_partkey" not in item and "l_extendedprice" not in item
+
+
+def test_matrix_reads_its_base_once(spark):
+    base = spark.createDataFrame(
+        [
+            (1, "MXN", "2024-01", "Food", "expense", "fijo", True, D("-5")),
+            (1, "MXN", "2024-01", "Pay", "income", None, False, D("9")),
+            (1, "MXN", "2024-02", "Pay", "income", None, False, D("9")),
+            (1, "MXN", "2024-03", None, None, None, True, D("-2")),
+            (1, "MXN", "2024-04", "Move", "transfer", None, True, D("-2")),
+            (None, "MXN", "2024-01", "Food", "expense", None, True, D("-7")),
+        ],
+        "owner_id int, currency string, month string, category string, kind string, spend_frequency string, is_charge boolean, amount decimal(24,2)",
+    ).withColumn("category_id", F.when(F.col("category").isNotNull(), 1)).withColumn("month", F.reverse(F.reverse("month")))
+    cells = rp.category_month_cells(base, spark.createDataFrame(CATEGORIES, "category_id int, name string, kind string, nature string, parent_id int"))
+    got = {(r.owner_id, r.month, r.category): str(r.amount) for r in cells.collect()}
+    assert len(got) == 4 * 3
+    assert {k: v for k, v in got.items() if v != "0.00"} == {(1, "2024-01", "Food"): "5.00", (1, "2024-03", rp.UNCATEGORISED): "2.00"}
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
