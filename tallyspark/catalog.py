@@ -597,7 +597,7 @@ def check_chain(spark, sf):
 @query
 def check_chain_known_gaps(spark, sf):
     rows = b.statements(spark, sf)
-    gaps = rc.previous_statement(rows).filter((F.col("account_id") % 46 == 0) & F.col("previous_closing").isNotNull())
+    gaps = rc.previous_statement(rows.select(*rc.CHAIN)).filter((F.col("account_id") % 46 == 0) & F.col("previous_closing").isNotNull())
     return rc.check_chain(rows, gaps.select("account_id", "previous_closing", "opening"))
 
 

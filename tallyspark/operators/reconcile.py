@@ -18,6 +18,7 @@ from tallyspark.plans.ordered import carry_forward
 from tallyspark.plans.scan import scan_in_order
 
 KEY = ["account_id", "source_file"]
+CHAIN = [*KEY, "period_start", "period_end", "opening", "closing"]
 CENT = "0.01"
 
 
@@ -207,8 +208,9 @@ def check_chain(
     ``known_gaps`` (account_id, previous_closing, opening) lists accepted breaks. With
     ``full`` every statement is also held against the one after it (``chain_next``: this
     closing against that opening), so a file that was filled in later is checked on both
-    sides.
+    sides. Only the columns of the chain are carried.
     """
+    statements = statements.select(*CHAIN)
     rows = _known_break(
         previous_statement(statements).filter("previous_file is not null"), known_gaps, "previous_closing", "opening"
     )

@@ -99,3 +99,14 @@ def test_next_statement(spark):
     assert got["jan"] == ("feb-filled-in", D("10.00")) and got["feb-filled-in"] == ("mar", D("20.00"))
     assert got["mar"] == got["alone"] == (None, None)
     assert rc.check_chain(statements(spark).limit(0), full=True).count() == 0
+
+
+def test_chain_carries_only_its_columns(spark):
+    """What a statement has beside its place and balances is not worked out for the chain."""
+    rows = spark.createDataFrame(
+        [(1, "a", date(2024, 1, 1), date(2024, 1, 31), D("0"), D("5")), (1, "b", date(2024, 2, 1), date(2024, 2, 29), D("6"), D("9"))],
+        "account_id long, source_file string, period_start date, period_end date, opening decimal(24,2), closing decimal(24,2)",
+    ).withColumn("printed_charges", F.reverse(F.reverse("source_file")))
+    checks = rc.check_chain(rows, full=True)
+    assert sorted((r.source_file, r.check, r.ok) for r in checks.collect()) == [("a", "chain_next", False), ("b", "chain", False)]
+    assert "reverse(" not in checks._jdf.queryExecution().optimizedPlan().toString()
