@@ -136,3 +136,23 @@ def test_accepted_rows_cross_without_a_copy_of_their_key(spark, rows):
     kept = reconcile.accept(moved, checks)
     assert rows(kept, "n") == [("2",), ("3",)] and rows(reconcile.quarantine(moved, checks), "n") == [("1",)]
     assert "struct" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_of_any_length_give_the_same_movements(spark):
+    rows = [f"{d:02d}/ENE 05/ENE SHOP {d} + $10.00" for d in range(1, 19)]
+    long = statement("c.pdf", "01/01/2024 al 31/01/2024", "1.00", "1.00", [x for r in rows for x in (r, "nota Referencia 00000007")], "1.00", "0.00")
+    lines = spark.createDataFrame(DEC + FEB + long + [("none.pdf", 0, "DETALLE DE MOVIMIENTOS")], LDDL).repartition(4)
+    files = st.stage_statements(lines, catalog.STATEMENT)
+    assert {r["source_file"]: r["file_lines"] for r in files.collect()} == {"a-dec.pdf": 15, "b-feb.pdf": 11, "c.pdf": 46, "none.pdf": 1}
+    ways = [st.stage_movements(lines, files, catalog.STATEMENT, 7, long_file=n) for n in (100, 20, 0)]
+    whole, some, cut = (sorted(map(str, w.collect())) for w in ways)
+    assert len(whole) == 22 and whole == some == cut
+
+
+def test_lines_of_short_files_cross_the_network_once(spark):
+    lines = spark.createDataFrame(DEC + FEB, LDDL)
+    files = st.written(st.stage_statements(lines, catalog.STATEMENT))
+    plan = st.stage_movements(lines, files, catalog.STATEMENT)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan.replace("SortMergeJoin [source_file", "", 1)
+    plan = st.stage_movements(lines, files, catalog.STATEMENT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2
