@@ -167,3 +167,14 @@ def test_table_ends_at_the_first_page_without_headers(spark):
     words = [("f", p, 0, t, 0.0, 0.0, 0.0) for p, t in [(1, "x"), (2, "H"), (3, "H"), (4, "x"), (5, "H")]]
     got = ex.end_at_headerless_page(spark.createDataFrame(words, WORD), ["H"]).collect()
     assert sorted(r["page"] for r in got) == [2, 3]
+
+
+def test_words_cross_the_network_once(spark):
+    """Also words without a height or page, which are on no line."""
+    words = [("f", 1, 0, "a", 0.0, 0.0, 1.0), ("f", 1, 1, None, None, 0.0, 2.0), ("f", 1, 2, "c", 2.0, 0.0, None), ("f", None, 3, "d", 3.0, 0.0, 1.0)]
+    df = spark.createDataFrame(words, WORD)
+    ways = [layout.words_to_lines(df), layout.words_to_rounded_lines(df), layout.column_streams(df, {"all": (0, 9)})]
+    for out in ways:
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = [sorted((str(r["page"]), r["text"]) for r in out.collect()) for out in ways]
+    assert got == [[("1", "a")], [("1", ""), ("1", "a"), ("1", "c"), ("None", "d")], [("1", "c a"), ("None", "d")]]
