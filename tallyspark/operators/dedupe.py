@@ -46,8 +46,24 @@ def dedupe_by_reference(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """New by reference, date and amount, inside the batch too (first row wins);
     rows without a reference are new by file and row."""
     # Rows that share a file and a row number: the smallest amount, so that a replay picks the same one.
-    ties = [F.col("amount"), F.col("date")]
-    once = first_per_key(_with_reference_key(staged), ["_key"], [*_order(), *ties])
+    # The least row is its own order, so no column crosses the network twice for it; nor does what the
+    # key holds already: account, reference, date and amount of one kind of rows, file and row of the other.
+    has = F.col("external_ref").isNotNull()
+    order = [F.when(has, F.col(c)).alias(c) for c in FILE_ORDER] + [F.when(~has, F.col(c)).alias(c) for c in ("amount", "date")]
+    in_key = ("account_id", "external_ref", *FILE_ORDER, "amount", "date")
+    least = F.min(F.struct(*order, *[c for c in staged.columns if c not in in_key])).alias("_row")
+    key, row = F.col("_key"), F.col("_row")
+    named, value = F.coalesce(F.startswith(key["text"], F.lit("r:")), F.lit(False)), F.substr(key["text"], F.lit(3))
+    held = {
+        "account_id": key["account_id"],
+        "external_ref": F.when(named, value),
+        "source_file": F.when(named, row["source_file"]).otherwise(value),
+        "source_row": F.when(named, row["source_row"]).otherwise(key["row"]),
+        "amount": F.when(named, key["amount"]).otherwise(row["amount"]),
+        "date": F.when(named, key["date"]).otherwise(row["date"]),
+    }
+    picked = _with_reference_key(staged).groupBy("_key").agg(least)
+    once = picked.select("_key", *[held.get(c, row[c]).alias(c) for c in staged.columns])
     return without_known(once, _with_reference_key(ledger), ["_key"]).drop("_key")
 
 

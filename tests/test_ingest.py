@@ -406,3 +406,21 @@ def test_resolve_account_makes_its_rows_once(spark):
         key=str,
     )
     assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
+
+
+def test_rows_of_one_reference_are_picked_whole(spark):
+    """Of rows alike in all that orders them the least stays, whatever order they come in."""
+    ddl = ROW + ", description string"
+    day = date(2024, 1, 1)
+    rows = [
+        (1, day, D("1.00"), "x", "a.csv", 0, "two"), (1, day, D("1.00"), "x", "a.csv", 0, "one"), (1, day, D("1.00"), "x", None, 9, "no file"),
+        (1, day, D("3.00"), None, "a.csv", 1, "dear"), (1, day, D("2.00"), None, "a.csv", 1, "cheap"), (1, None, None, None, None, None, "bare"),
+        (None, day, D("1.00"), "", "r:b.csv", 2, "empty reference"), (2, day, D("1.00"), None, "r:b.csv", 2, None),
+    ]
+    kept = sorted([rows[2], rows[4], rows[5], rows[6], rows[7]], key=str)
+    for batch in (rows, rows[::-1]):
+        df = spark.createDataFrame(batch, ddl).coalesce(1)
+        assert sorted(map(tuple, dd.dedupe_by_reference(df, df.limit(0)).collect()), key=str) == kept
+    for batch in (rows[:2], rows[1::-1]):
+        df = spark.createDataFrame(batch, ddl).coalesce(1)
+        assert [r["description"] for r in dd.dedupe_by_reference(df, df.limit(0)).collect()] == ["one"]
