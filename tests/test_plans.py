@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tallyspark.plans.ordered import block_of, carry_forward, running_sum
 from tallyspark.plans.picks import first_per_key, last_per_key, without_known
 from tallyspark.plans.small import only_named, small
-from tallyspark.session import drop_staged, written
+from tallyspark.session import drop_staged, in_rounds, rounds_of, written
 
 
 def hot_rows(n=600, seed=1):
@@ -92,3 +93,33 @@ def test_staged_tables_are_removed(spark):
     path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert table.count() == 3 and os.path.exists(path)
     assert drop_staged(spark) >= 1 and not os.path.exists(path)
+
+
+def test_shuffles_of_a_staged_table_are_removed(spark):
+    """The files go when the table is whole; the setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        files = folders.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    first = held()
+    rows = spark.range(1000).repartition("id")
+    assert len(rows.collect()) == 1000 and held() - first
+    first = held()
+    assert written(rows).count() == 1000 and spark.conf.get(key, None) == setting
+    # Only those of the count may be left; files are removed in the background.
+    ends = time.time() + 20
+    while len(held() - first) > 4 and time.time() < ends:
+        time.sleep(0.1)
+    assert sum(1 for n in held() - first) <= 4
+
+
+def test_rounds_hold_every_row_once(spark):
+    rows = spark.createDataFrame([(None if k % 5 == 0 else f"f{k % 7}", k) for k in range(50)], "file string, n int")
+    counted = lambda some: some.groupBy("file").agg(F.count("*").alias("n"))
+    once, often = (sorted(map(str, in_rounds(counted, "file", rows, rounds=n).collect())) for n in (1, 4))
+    assert once == often and len(once) == 8
+    assert rounds_of(written(rows)) == 1
