@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from tallyspark import catalog, schema
+from tallyspark import catalog, schema, session
 from tallyspark.operators import reconcile, statements as st
 
 
@@ -156,3 +156,12 @@ def test_lines_of_short_files_cross_the_network_once(spark):
     assert "SortMergeJoin" not in plan.replace("SortMergeJoin [source_file", "", 1)
     plan = st.stage_movements(lines, files, catalog.STATEMENT)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2
+
+
+def test_an_import_in_rounds_leaves_only_what_it_returns(load, monkeypatch):
+    """Files are parsed some after the others; the lines go when the movements are whole."""
+    monkeypatch.setattr(session, "rounds_of", lambda *tables: 2)
+    before = len(session._STAGED)
+    out = load(DEC + FEB)
+    assert len(session._STAGED) - before == 6
+    assert report(out) == {"a-dec.pdf": ("ok", 3, None), "b-feb.pdf": ("ok", 1, None)} and out.movements.count() == 4
