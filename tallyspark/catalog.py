@@ -23,7 +23,7 @@ from tallyspark.operators import (
     statements as st,
     wealth as wl,
 )
-from tallyspark.session import checkpoint_dir, written
+from tallyspark.session import checkpoint_dir, in_rounds, scratch, written
 from tallyspark.sources import bindings as b, feeds, readers, rendered as r, rendered_cards as rcards
 from tallyspark.streaming.ingest import ingest_stream, read_table
 
@@ -612,8 +612,12 @@ def next_statement(spark, sf):
 
 
 def _all_checks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.statements(spark, sf)
-    return rc.check_statement(b.statement_movements(spark, sf), rows).unionByName(rc.check_chain(rows))
+    """Checks of all statements. The statements are made once, and what one check shuffles is removed before the next."""
+    with scratch(spark) as keep:
+        rows = written(b.statements(spark, sf))
+        chain = in_rounds(rc.check_chain, "account_id", rows, write=keep)
+        own = in_rounds(rc.check_statement, "account_id", b.statement_movements(spark, sf), rows, write=keep)
+    return own.unionByName(chain)
 
 
 @query

@@ -165,3 +165,22 @@ def test_an_import_in_rounds_leaves_only_what_it_returns(load, monkeypatch):
     out = load(DEC + FEB)
     assert len(session._STAGED) - before == 6
     assert report(out) == {"a-dec.pdf": ("ok", 3, None), "b-feb.pdf": ("ok", 1, None)} and out.movements.count() == 4
+
+
+def test_checks_of_all_statements_in_rounds(spark, monkeypatch):
+    """Accounts are checked some after the others, a null one too; the statements go at the end."""
+    start, end = date(2024, 1, 1), date(2024, 1, 31)
+    head = [(a, f"{a}.pdf", start, end, D("0.00"), D("5.00"), D("0.00"), D("5.00"), 0, 1) for a in (1, 2, 3, 4, None)]
+    printed = "period_start date, period_end date, opening decimal(24,2), closing decimal(24,2), printed_charges decimal(24,2), printed_credits decimal(24,2), n_charges int, n_credits int"
+    made = spark.createDataFrame(head, f"account_id long, source_file string, {printed}")
+    moved = spark.createDataFrame([(a, f"{a}.pdf", D("5.00")) for a in (1, 2, 3, None)], "account_id long, source_file string, amount decimal(14,2)")
+    monkeypatch.setattr(catalog.b, "statements", lambda *_: made)
+    monkeypatch.setattr(catalog.b, "statement_movements", lambda *_: moved)
+    once = sorted(map(str, catalog._all_checks(spark, "").collect()))
+    monkeypatch.setattr(session, "rounds_of", lambda *tables: 3)
+    before = len(session._STAGED)
+    checks = catalog._all_checks(spark, "")
+    often = sorted(map(str, checks.collect()))
+    assert len(session._STAGED) - before == 6
+    assert once == often and len(once) == 25
+    assert {r["source_file"] for r in checks.collect() if not r["ok"]} == {"4.pdf"}
