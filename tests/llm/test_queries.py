@@ -340,6 +340,21 @@ def test_passages_send_no_fingerprints_to_the_driver(docs, prose, monkeypatch):
     assert passages.repeated_passages(docs(rows)).count() == 3
 
 
+def test_passages_in_rounds(docs, prose):
+    """Rounds give the same stretches, also inside one document, and leave only what is returned."""
+    from tallyspark import session
+
+    shared, twice = prose(900, 60), prose(901, 50)
+    rows = [(k, f"{prose(k, 30)} {shared} w{k} {twice} {prose(50 + k, 20)} {twice}", "en", "a") for k in range(6)]
+    texts = docs(rows).select("doc_id", "text")
+    before = len(session._STAGED)
+    once, often = (got(passages.matches(texts, n), "doc_id", "start", "end", "to_id", "to_start", "to_end") for n in (10**6, 150))
+    assert len(once) > 15 and once == often and any(r[0] == r[3] for r in once)
+    assert len(session._STAGED) - before == 2
+    passages.repeated_passages(docs(rows))
+    assert len(session._STAGED) - before == 3
+
+
 def test_language(spark, docs):
     english, french = "the and with this that from have ", "les des une dans pour avec être "
     rows = [(k, (english if k % 2 else french) * (2 + k % 9), "en" if k % 2 else "fr", "a") for k in range(200)]
